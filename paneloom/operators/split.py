@@ -22,7 +22,9 @@ from paneloom.functions import hash_rank_key
 
 # Four hex digits: 65,536 buckets per class.
 BUCKET_DIGITS = 4
-
+# A target with more values than this has no classes to keep in proportion; the
+# check bounds what is broadcast.
+MAX_CLASSES = 1000
 IN_PART = "_in_part"
 
 
@@ -75,8 +77,15 @@ def class_cuts(
     )
     ranked = in_border.withColumn(
         "_r", F.row_number().over(Window.partitionBy("_class").orderBy("_place"))
+    ).withColumn("_same", F.count(F.lit(1)).over(Window.partitionBy("_class", "_place")))
+    # A cut between two rows with one identity would not be a cut.
+    unique = F.when(
+        F.col("_same") > 1, F.raise_error(F.lit(f"{list(id_cols)} do not identify a row"))
+    ).otherwise(F.lit(True))
+    return (
+        ranked.where((F.col("_r") == F.col("_rest")) & unique)
+        .select("_quota_class", F.col("_place").alias("_cut"))
     )
-    return ranked.where(F.col("_r") == F.col("_rest")).select("_quota_class", F.col("_place").alias("_cut"))
 
 
 def mark_part(
@@ -87,6 +96,10 @@ def mark_part(
     seed: int,
 ) -> DataFrame:
     """The table with a flag for the rows of the part. ``id_cols`` must identify a row."""
+    if class_col is not None:
+        classes = df.select(class_col).distinct().limit(MAX_CLASSES + 1).count()
+        if classes > MAX_CLASSES:
+            raise ValueError(f"{class_col} has more than {MAX_CLASSES} values")
     cuts = class_cuts(df, id_cols, class_col, wanted, seed)
     placed = df.join(
         F.broadcast(cuts), _class_column(class_col).eqNullSafe(F.col("_quota_class")), "left"
