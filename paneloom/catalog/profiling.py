@@ -24,7 +24,7 @@ from paneloom.operators.aggregate import customer_table
 from paneloom.operators.profile import (
     describe,
     distinct_count,
-    dominant_share,
+    dominant_value,
     null_share,
     row_counts,
     rows_per_file,
@@ -122,30 +122,29 @@ _MODE_SQL = (
 
 
 def _dominant(spark, sf_dir):
-    """Columns where one value holds more than 60 % of the rows."""
-    d = dominant_share(screened(spark, sf_dir), SCREENED_COLUMNS)
-    return rounded(d.where(F.col("dominant_share") > 0.6))
+    """Columns where one value holds more than 60 % of the known rows."""
+    d = dominant_value(screened(spark, sf_dir), SCREENED_COLUMNS)
+    return d.where(F.col("n_top") > 0.6 * (F.col("n_rows") - F.col("n_null")))
 
 
 _DOMINANT_SQL = (
-    "SELECT feature, n_rows, null_share, dominant_share FROM ("
+    "SELECT feature, n_rows, n_null, n_top FROM ("
     + _per_column_sql(
         "SELECT '{c}' AS feature, "
         + n("count(*)", "n_rows")
         + ", "
-        + r("avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END)", "null_share")
+        + n("count(*) - count({c})", "n_null")
         + ", "
-        + r(
-            "(SELECT max(k) FROM (SELECT count({c}) AS k FROM (" + SCREENED_SQL + ") GROUP BY {c}))"
-            " / CAST(count(*) AS DOUBLE)",
-            "dominant_share",
+        + n(
+            "(SELECT max(k) FROM (SELECT count({c}) AS k FROM (" + SCREENED_SQL + ") GROUP BY {c}))",
+            "n_top",
         )
         + " FROM ("
         + SCREENED_SQL
         + ")",
         SCREENED_COLUMNS,
     )
-    + ") WHERE dominant_share > 0.6"
+    + ") WHERE n_top > 0.6 * (n_rows - n_null)"
 )
 
 
@@ -205,7 +204,7 @@ QUERIES = {
         ),
         _per_column_sql(_MODE_SQL, SCREENED_NUMBERS),
     ),
-    "dominant_share": Query(_dominant, _DOMINANT_SQL),
+    "dominant_value": Query(_dominant, _DOMINANT_SQL),
     "target_balance": Query(
         lambda spark, sf_dir: rounded(
             target_balance({"labels": customer_labels(spark, sf_dir)}, "target")

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from paneloom.catalog import labelled, panel, profiling
+from paneloom.catalog import labelled, panel, profiling, statistics
 
-CATALOG = {**panel.QUERIES, **labelled.QUERIES, **profiling.QUERIES}
+CATALOG = {**panel.QUERIES, **labelled.QUERIES, **profiling.QUERIES, **statistics.QUERIES}

@@ -170,14 +170,14 @@ def value_profile(df: DataFrame, columns: list[str], null_is_value: bool = False
     return union_all(parts)
 
 
-def dominant_share(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(feature, n_rows, null_share, dominant_share) without a shuffle of the rows.
-
-    ``dominant_share`` is exact whenever one value holds more than 60 % of all
-    rows, which is what constancy filters ask; below that it is a lower bound. Such
-    a value must be the approximate median, so one pass finds the candidate of
-    each number and a second pass counts it. Text has no median; its columns are
-    counted value by value.
+def dominant_value(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(feature, n_rows, n_null, n_top) without a shuffle of the numbers.
+
+    ``n_top`` is the exact number of rows of the most frequent value whenever that
+    value holds more than 60 % of the known rows, which is what constancy filters
+    ask; below that it is a lower bound. Such a value must be the approximate
+    median, so one pass finds the candidate of each number and a second pass counts
+    it. Text has no median; its columns are counted value by value.
     """
     numbers = [c for c in columns if isinstance(df.schema[c].dataType, T.NumericType)]
     others = [c for c in columns if c not in numbers]
@@ -189,29 +189,19 @@ def dominant_share(df: DataFrame, columns: list[str]) -> DataFrame:
 
         def held(c: str) -> Column:
             if middle[c] is None:
-                return F.lit(None)
-            value = F.lit(middle[c]).cast(df.schema[c].dataType)
-            return F.avg(F.coalesce(F.col(c) == value, F.lit(False)).cast("double"))
+                return F.lit(0)
+            return F.count(F.when(F.col(c) == F.lit(middle[c]).cast(df.schema[c].dataType), 1))
 
-        shares = df.agg(
+        counts = df.agg(
             *(F.count(F.lit(1)).alias(f"n_rows|{c}") for c in numbers),
-            *(F.avg(F.col(c).isNull().cast("double")).alias(f"null_share|{c}") for c in numbers),
-            *(held(c).alias(f"dominant_share|{c}") for c in numbers),
+            *(F.count(F.when(F.col(c).isNull(), 1)).alias(f"n_null|{c}") for c in numbers),
+            *(held(c).alias(f"n_top|{c}") for c in numbers),
         )
         parts.append(
-            to_long(
-                shares,
-                numbers,
-                {"n_rows": "long", "null_share": "double", "dominant_share": "double"},
-            )
+            to_long(counts, numbers, {"n_rows": "long", "n_null": "long", "n_top": "long"})
         )
     if others:
-        parts.append(
-            value_profile(df, others).select(
-                "feature",
-                "n_rows",
-                (F.col("n_null") / F.col("n_rows")).alias("null_share"),
-                F.col("mode_share").alias("dominant_share"),
-            )
-        )
+        profile = value_profile(df, others)
+        top = F.coalesce(F.round(F.col("mode_share") * F.col("n_rows")), F.lit(0))
+        parts.append(profile.select("feature", "n_rows", "n_null", top.cast("long").alias("n_top")))
     return union_all(parts)
