@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
-from paneloom.catalog import labelled, panel, profiling, statistics
+from paneloom.catalog import labelled, models, panel, profiling, statistics
 
-CATALOG = {**panel.QUERIES, **labelled.QUERIES, **profiling.QUERIES, **statistics.QUERIES}
+CATALOG = {
+    **panel.QUERIES,
+    **labelled.QUERIES,
+    **profiling.QUERIES,
+    **statistics.QUERIES,
+    **models.QUERIES,
+}

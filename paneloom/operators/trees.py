@@ -1,0 +1,263 @@
+"""Feature importance as the gain of boosted trees, trained by Spark ML.
+
+Spark ML grows trees level by level and knows neither missing values nor
+category names, so numbers are filled with their median next to a flag for
+missing, and categories become codes with missing as a level of its own.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, replace
+
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from paneloom.functions import missing_level
+from paneloom.operators.profile import null_share
+from paneloom.operators.quantiles import medians
+from paneloom.operators.selection import class_weights
+from paneloom.session import new_shared_path
+from paneloom.spec import PanelSpec
+
+# Endings of customer columns that still hold a category, and how
+# many features the main selection keeps.
+CATEGORY_ENDINGS = ("_last", "_first")
+TOP_FEATURES = 400
+
+# Codes of a category are held by the driver and by every split; more levels than
+# this are no category.
+MAX_LEVELS = 10_000
+
+
+@dataclass(frozen=True)
+class TreeSettings:
+    """Depth stands for the number of leaves (about two to the depth)."""
+
+    rounds: int = 200
+    step: float = 0.05
+    depth: int = 7
+    bins: int = 64
+    columns_per_split: str = "all"
+    row_share: float = 1.0
+    weigh_classes: bool = True
+    seed: int = 42
+
+
+# Settings of the main selection and of the screening run.
+MAIN = TreeSettings()
+SCREENING = TreeSettings(
+    rounds=500, depth=8, columns_per_split="0.7", row_share=0.8, weigh_classes=False
+)
+
+
+def category_features(features: list[str], spec: PanelSpec) -> list[str]:
+    """Customer columns that still hold a category, judged by name."""
+    return [
+        f
+        for f in features
+        if f.startswith(tuple(spec.categoricals)) and f.endswith(CATEGORY_ENDINGS)
+    ]
+
+
+@dataclass(frozen=True)
+class Encoding:
+    """How a table becomes vectors; learned from the training table only."""
+
+    features: list[str]
+    fill: dict[str, float]
+    flagged: list[str]
+    indexer: StringIndexerModel | None
+
+    @property
+    def categories(self) -> list[str]:
+        return [] if self.indexer is None else [c[len("_t_"):] for c in self.indexer.getInputCols()]
+
+    @property
+    def slots(self) -> list[str]:
+        """The feature behind each vector entry."""
+        return [*self.features, *self.flagged]
+
+    @property
+    def most_levels(self) -> int:
+        if self.indexer is None:
+            return 0
+        return max(len(levels) + 1 for levels in self.indexer.labelsArray)
+
+    def apply(self, df: DataFrame, keep: list[str]) -> DataFrame:
+        categories = set(self.categories)
+        numbers = [c for c in self.features if c not in categories]
+        flat = df.select(
+            *keep,
+            *(
+                F.coalesce(F.col(c).cast("double"), F.lit(self.fill[c])).alias(f"_n_{c}")
+                for c in numbers
+            ),
+            *(missing_level(F.col(c)).alias(f"_t_{c}") for c in self.categories),
+            *(F.col(c).isNull().cast("double").alias(f"_m_{c}") for c in self.flagged),
+        )
+        if self.indexer is not None:
+            flat = self.indexer.transform(flat)
+        inputs = [f"_c_{c}" if c in categories else f"_n_{c}" for c in self.features]
+        assembler = VectorAssembler(
+            inputCols=[*inputs, *(f"_m_{c}" for c in self.flagged)], outputCol="_vector"
+        )
+        return assembler.transform(flat).select(*keep, "_vector")
+
+
+def learn_encoding(train: DataFrame, features: list[str], categories: list[str]) -> Encoding:
+    categories = [c for c in features if c in set(categories)]
+    numbers = [c for c in features if c not in set(categories)]
+    middles = medians(train, numbers)
+    shares = null_share(train, numbers).where("null_share > 0 AND null_share < 1") if numbers else None
+    holed = {r["feature"] for r in shares.select("feature").collect()} if numbers else set()
+    indexer = None
+    if categories:
+        _require_few_levels(train, categories)
+        texts = train.select(*(missing_level(F.col(c)).alias(f"_t_{c}") for c in categories))
+        indexer = StringIndexer(
+            inputCols=[f"_t_{c}" for c in categories],
+            outputCols=[f"_c_{c}" for c in categories],
+            stringOrderType="alphabetAsc",
+            handleInvalid="keep",
+        ).fit(texts)
+    return Encoding(
+        features=list(features),
+        fill={c: (0.0 if middles[c] is None else middles[c]) for c in numbers},
+        flagged=[c for c in numbers if c in holed],
+        indexer=indexer,
+    )
+
+
+def _require_few_levels(df: DataFrame, categories: list[str]) -> None:
+    about = df.agg(*(F.approx_count_distinct(c).alias(c) for c in categories)).first()
+    many = [c for c in categories if about[c] > MAX_LEVELS]
+    if many:
+        raise ValueError(f"more than {MAX_LEVELS} levels: {many}")
+
+
+@dataclass(frozen=True)
+class TreeModel:
+    model: object
+    encoding: Encoding
+    task: str
+
+    def scored(self, df: DataFrame, keep: list[str]) -> DataFrame:
+        """``keep`` and the model's score: log-odds of class 1, or the predicted value."""
+        predicted = self.model.transform(self.encoding.apply(df, keep))
+        if self.task == "regression":
+            score = F.col("prediction")
+        elif self.task == "binary":
+            # Boosted trees hold half the log-odds.
+            score = 2 * vector_to_array("rawPrediction")[1]
+        else:
+            score = F.array_max(vector_to_array("probability"))
+        return predicted.select(*keep, score.alias("score"))
+
+
+def fit_trees(
+    train: DataFrame,
+    features: list[str],
+    categories: list[str],
+    target: str,
+    settings: TreeSettings = MAIN,
+    task: str = "binary",
+    valid: DataFrame | None = None,
+) -> TreeModel:
+    """Boosted trees for a binary or numeric target, a forest for several classes.
+
+    With ``valid`` boosting stops once that part no longer improves.
+    """
+    encoding = learn_encoding(train, features, categories)
+    rows = encoding.apply(train.where(F.col(target).isNotNull()), [target])
+    rows = rows.withColumn("_held", F.lit(False))
+    if valid is not None and task != "multiclass":
+        held = encoding.apply(valid.where(F.col(target).isNotNull()), [target])
+        rows = rows.unionByName(held.withColumn("_held", F.lit(True)))
+    weight = F.lit(1.0)
+    if settings.weigh_classes and task == "binary":
+        for r in class_weights(train, target).collect():
+            weight = F.when(F.col(target) == r[target], r["weight"]).otherwise(weight)
+    rows = rows.select(
+        F.col(target).cast("double").alias("_y"), "_vector", "_held", weight.alias("_weight")
+    )
+
+    shared = dict(
+        featuresCol="_vector",
+        labelCol="_y",
+        maxDepth=settings.depth,
+        maxBins=max(settings.bins, encoding.most_levels),
+        featureSubsetStrategy=settings.columns_per_split,
+        subsamplingRate=settings.row_share,
+        seed=settings.seed,
+        weightCol="_weight",
+    )
+    if task == "multiclass":
+        learner = RandomForestClassifier(numTrees=settings.rounds, **shared)
+    else:
+        kind = GBTClassifier if task == "binary" else GBTRegressor
+        learner = kind(maxIter=settings.rounds, stepSize=settings.step, **shared)
+        if valid is not None:
+            learner = learner.setValidationIndicatorCol("_held")
+    return TreeModel(learner.fit(rows), encoding, task)
+
+
+def tree_nodes(spark: SparkSession, trees: TreeModel) -> DataFrame:
+    """The nodes of all trees, one row each, from the model's saved form."""
+    path = new_shared_path(spark, "trees")
+    trees.model.write().save(path)
+    node, split = "nodeData", "nodeData.split"
+    size = F.when(
+        F.lit(trees.task == "multiclass"),
+        F.aggregate(f"{node}.impurityStats", F.lit(0.0), lambda a, b: a + b),
+    ).otherwise(F.get(f"{node}.impurityStats", F.lit(0)))
+    nodes = spark.read.parquet(f"{path}/data")
+    weights = spark.read.parquet(f"{path}/treesMetadata")
+    tree_id, _, tree_weight = weights.columns
+    return nodes.join(
+        F.broadcast(weights.select(F.col(tree_id).alias("treeID"), F.col(tree_weight).alias("weight"))),
+        "treeID",
+    ).select(
+        F.col("treeID").alias("tree"),
+        F.col(f"{node}.id").alias("node"),
+        "weight",
+        size.alias("size"),
+        F.col(f"{node}.prediction").alias("prediction"),
+        F.col(f"{node}.gain").alias("gain"),
+        F.col(f"{node}.leftChild").alias("left"),
+        F.col(f"{node}.rightChild").alias("right"),
+        F.col(f"{split}.featureIndex").alias("slot"),
+        F.col(f"{split}.leftCategoriesOrThreshold").alias("border"),
+        F.col(f"{split}.numCategories").alias("levels"),
+    )
+
+
+def gain_importance(spark: SparkSession, trees: TreeModel) -> DataFrame:
+    """(feature, score): total gain of a feature's splits, each weighted by the rows
+    it divides; zero for a feature without a split."""
+    slots = trees.encoding.slots
+    names = spark.createDataFrame(list(enumerate(slots)), "slot int, feature string")
+    gains = (
+        tree_nodes(spark, trees)
+        .where("left >= 0")
+        .groupBy("slot")
+        .agg(F.sum(F.col("gain") * F.col("size")).alias("gain"))
+    )
+    return (
+        names.join(gains, "slot", "left")
+        .groupBy("feature")
+        .agg(F.coalesce(F.sum("gain"), F.lit(0.0)).alias("score"))
+    )
+
+
+def best_features(scores: DataFrame, k: int = TOP_FEATURES) -> list[str]:
+    """Names of at most k features with a gain, best first."""
+    top = scores.where("score > 0").orderBy(F.desc("score"), "feature").limit(k)
+    return [r["feature"] for r in top.collect()]
+
+
+def quick(settings: TreeSettings, rounds: int, depth: int) -> TreeSettings:
+    """The settings with fewer and smaller trees."""
+    return replace(settings, rounds=rounds, depth=depth)
