@@ -67,9 +67,11 @@ def read_csv_tolerant(
         .option("header", True)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", _CORRUPT)
-        .option("columnPruning", False)
     )
-    return _csv(reader, path).where(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
+    # Only columns that are read are parsed and judged; this always holds and reads
+    # all of them.
+    every = F.hash(*schema.names) >= F.lit(-(2**31))
+    return _csv(reader, path).where(F.col(_CORRUPT).isNull() & every).drop(_CORRUPT)
 
 
 def _csv(reader, path: str) -> DataFrame:
