@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paneloom.catalog import labelled, models, panel, profiling, statistics
+from paneloom.catalog import files, labelled, models, panel, profiling, statistics
 
 CATALOG = {
     **panel.QUERIES,
@@ -10,4 +10,5 @@ CATALOG = {
     **profiling.QUERIES,
     **statistics.QUERIES,
     **models.QUERIES,
+    **files.QUERIES,
 }

@@ -70,12 +70,8 @@ _MEDIANS_SQL = ", ".join(
 
 
 def _codes(spark, sf_dir):
-    rows = statements(spark, sf_dir)
-    codes = sel.category_codes(rows, "o_orderpriority").withColumnRenamed("value", "priority")
-    coded = rows.select(
-        "o_orderkey", F.coalesce("o_orderpriority", F.lit("None")).alias("priority")
-    ).join(codes, "priority")
-    return rounded(coded.select("o_orderkey", "priority", "code"))
+    rows = statements(spark, sf_dir).select("o_orderkey", "o_orderpriority")
+    return rounded(sel.with_category_code(rows, "o_orderpriority", "code"))
 
 
 def _missing(spark, sf_dir):
@@ -330,7 +326,7 @@ QUERIES = {
     "median_impute": Query(_imputed, f"SELECT o_orderkey, {_MEDIANS_SQL} FROM ({STATEMENTS_SQL})"),
     "category_codes": Query(
         _codes,
-        f"SELECT o_orderkey, coalesce(o_orderpriority, 'None') AS priority, "
+        f"SELECT o_orderkey, o_orderpriority, "
         f"{n('''dense_rank() OVER (ORDER BY coalesce(o_orderpriority, 'None')) - 1''', 'code')} "
         f"FROM ({STATEMENTS_SQL})",
     ),
@@ -396,6 +392,11 @@ QUERIES = {
     "drift_summary": Query(
         lambda s, d: rounded(sel.drift_summary(sel.drift(*_periods(s, d)))), _DRIFT_SUMMARY_SQL
     ),
+    "chosen_features": Query(
+        lambda s, d: sel.chosen_after_drift(*_periods(s, d)),
+        f"SELECT feature FROM ({_DRIFT_SQL}), (SELECT use FROM ({_DRIFT_SUMMARY_SQL})) "
+        "WHERE (use = 'old' AND status <> 'added') OR (use = 'new' AND status <> 'removed')",
+    ),
     "class_weights": Query(
         lambda s, d: rounded(sel.class_weights(customer_labels(s, d), "target")),
         f"SELECT {n('target', 'target')}, {n('k', 'n')}, {r('max(k) OVER () / CAST(k AS DOUBLE)', 'weight')} "

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from paneloom.operators.profile import to_long
 from paneloom.operators.slots import SLOT, approximate_cuts, with_slots
 
+# Sorted slots of one feature: how many at most, and how many rows each.
 SLOTS = 1000
+ROWS_PER_SLOT = 200_000
 # Up to this many target values their ranks are broadcast.
 FEW_TARGETS = 1000
 # Tasks that each emit one set of pair sums.
@@ -75,26 +77,32 @@ def average_ranks(counts: DataFrame, value: str, slot: str, keep: list[str]) ->
 
 
 def spearman_target(
-    df: DataFrame, columns: list[str], target: str, slots: int = SLOTS
+    df: DataFrame,
+    columns: list[str],
+    target: str,
+    slots: int = SLOTS,
+    rows_per_slot: int = ROWS_PER_SLOT,
 ) -> DataFrame:
     """(feature, score): rank correlation of each column with the target, ties at
     their average rank, over rows where both are known."""
     y = F.col(target).cast("double")
     narrow = df.select(*(F.col(c).cast("double").alias(c) for c in columns), y.alias("_y"))
-    slotted = with_slots(narrow, approximate_cuts(narrow, [*columns, "_y"], slots))
+    slotted = with_slots(narrow, approximate_cuts(narrow, [*columns, "_y"], slots, rows_per_slot))
     entries = [
         F.struct(
-            F.lit(c).alias("feature"),
+            F.lit(i).alias("feature"),
             F.col(c).alias("x"),
             F.col(SLOT + c).alias("xs"),
             F.col("_y").alias("y"),
             F.col(f"{SLOT}_y").alias("ys"),
         )
-        for c in columns
+        for i, c in enumerate(columns)
     ]
     counts = (
         slotted.select(F.inline(F.array(*entries)))
-        .where("x IS NOT NULL AND y IS NOT NULL")
+        # The slots are known where the values are. Saying so keeps the uses of this
+        # table identical, so that its shuffle happens once and is read by all.
+        .where("x IS NOT NULL AND y IS NOT NULL AND xs IS NOT NULL AND ys IS NOT NULL")
         .groupBy("feature", "x", "xs", "y", "ys")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -116,22 +124,30 @@ def spearman_target(
         F.sum(F.col("n") * dy * dy).alias("yy"),
     )
     scores = sums.select(
-        "feature", F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy")).alias("score")
+        F.col("feature").alias("_i"),
+        F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy")).alias("score"),
     )
     # A column without known values has a row too.
-    names = df.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
-    return names.join(scores, "feature", "left")
+    names = df.sparkSession.createDataFrame(list(enumerate(columns)), "_i int, feature string")
+    return names.join(scores, "_i", "left").select("feature", "score")
 
 
-def roc_auc(df: DataFrame, score: str, target: str, slots: int = SLOTS) -> DataFrame:
+def roc_auc(
+    df: DataFrame,
+    score: str,
+    target: str,
+    slots: int = SLOTS,
+    rows_per_slot: int = ROWS_PER_SLOT,
+) -> DataFrame:
     """(n_rows, positives, auc) from average ranks of the scores; null when a class
     is absent."""
     narrow = df.select(
         F.col(score).cast("double").alias("x"), F.col(target).cast("long").alias("y")
     ).where("x IS NOT NULL AND y IS NOT NULL")
     counts = (
-        with_slots(narrow, approximate_cuts(narrow, ["x"], slots))
-        .groupBy(F.lit(score).alias("feature"), "x", F.col(f"{SLOT}x").alias("xs"))
+        with_slots(narrow, approximate_cuts(narrow, ["x"], slots, rows_per_slot))
+        .where(F.col(f"{SLOT}x").isNotNull())
+        .groupBy(F.lit(0).alias("feature"), "x", F.col(f"{SLOT}x").alias("xs"))
         .agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("positive"))
     )
     ranked = average_ranks(counts, "x", "xs", ["positive"])

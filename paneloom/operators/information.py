@@ -31,8 +31,8 @@ def mutual_information(
             cuts[row["feature"]].append(row["value"])
     y = F.col(target) if target_is_class else F.col(SLOT + target)
     entries = [
-        F.struct(F.lit(c).alias("feature"), F.col(SLOT + c).alias("b"), y.alias("y"))
-        for c in columns
+        F.struct(F.lit(i).alias("feature"), F.col(SLOT + c).alias("b"), y.alias("y"))
+        for i, c in enumerate(columns)
     ]
     cells = (
         with_slots(df.select(*columns, target), cuts)
@@ -50,5 +50,8 @@ def mutual_information(
     scores = terms.groupBy("feature").agg(
         F.sum(share * F.log(F.col("n") * F.col("total") / (F.col("nx") * F.col("ny")))).alias("score")
     )
-    names = df.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
-    return names.join(scores, "feature", "left").fillna(0.0, ["score"])
+    scores = scores.withColumnRenamed("feature", "_i")
+    names = df.sparkSession.createDataFrame(list(enumerate(columns)), "_i int, feature string")
+    return names.join(scores, "_i", "left").select(
+        "feature", F.coalesce("score", F.lit(0.0)).alias("score")
+    )

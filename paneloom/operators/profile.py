@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from paneloom.spec import union_all
+from paneloom.spec import feature_name, union_all
 
 # Type names as the schema report spells them.
 TYPE_NAMES = {
@@ -128,7 +130,7 @@ def _family(kind: T.DataType) -> str:
 
 
 def value_counts(df: DataFrame, columns: list[str]) -> dict[str, DataFrame]:
-    """(feature, value, n) per value type, nulls included.
+    """(feature, value, n) per value type, nulls included; the feature is a number.
 
     Values keep their own type (doubles, whole numbers, text), so that equal
     means equal. Rows are counted before the shuffle, so a value that fills a
@@ -140,7 +142,9 @@ def value_counts(df: DataFrame, columns: list[str]) -> dict[str, DataFrame]:
     counts = {}
     for kind, members in families.items():
         entries = [
-            F.struct(F.lit(c).alias("feature"), F.col(c).cast(kind).alias("value")) for c in members
+            F.struct(F.lit(i).alias("feature"), F.col(c).cast(kind).alias("value"))
+            for i, c in enumerate(columns)
+            if c in members
         ]
         counts[kind] = (
             df.select(F.inline(F.array(*entries)))
@@ -167,10 +171,50 @@ def value_profile(df: DataFrame, columns: list[str], null_is_value: bool = False
         )
         for counts in value_counts(df, columns).values()
     ]
-    return union_all(parts)
+    return union_all(parts).withColumn("feature", feature_name(columns))
+
+
+@dataclass(frozen=True)
+class Estimates:
+    """One pass over all columns: rows, known values, and estimates of the distinct
+    values and of the median of numbers."""
+
+    n_rows: int
+    known: dict[str, int]
+    distinct: dict[str, int]
+    median: dict[str, object]
+
+
+DISTINCT_ERROR = 0.02
+
+
+def _is_number(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, T.NumericType)
+
+
+def estimates(df: DataFrame, columns: list[str], distinct_of: list[str] = ()) -> Estimates:
+    """Estimates of distinct values cost most and are made on demand."""
+    numbers = [c for c in columns if _is_number(df, c)]
+    row = df.agg(
+        F.count(F.lit(1)).alias("n"),
+        *(F.count(c).alias(f"known|{c}") for c in columns),
+        *(F.approx_count_distinct(c, DISTINCT_ERROR).alias(f"distinct|{c}") for c in distinct_of),
+        *(
+            F.percentile_approx(F.col(c), F.lit(0.5), F.lit(1000)).alias(f"median|{c}")
+            for c in numbers
+        ),
+    ).first()
+    return Estimates(
+        row["n"],
+        {c: row[f"known|{c}"] for c in columns},
+        {c: row[f"distinct|{c}"] for c in distinct_of},
+        {c: row[f"median|{c}"] for c in numbers},
+    )
 
 
-def dominant_value(df: DataFrame, columns: list[str]) -> DataFrame:
+def dominant_value(
+    df: DataFrame, columns: list[str], about: Estimates | None = None
+) -> DataFrame:
     """(feature, n_rows, n_null, n_top) without a shuffle of the numbers.
 
     ``n_top`` is the exact number of rows of the most frequent value whenever that
@@ -179,23 +223,22 @@ def dominant_value(df: DataFrame, columns: list[str]) -> DataFrame:
     median, so one pass finds the candidate of each number and a second pass counts
     it. Text has no median; its columns are counted value by value.
     """
-    numbers = [c for c in columns if isinstance(df.schema[c].dataType, T.NumericType)]
-    others = [c for c in columns if c not in numbers]
+    about = estimates(df, columns) if about is None else about
+    numbers = [c for c in columns if c in about.median]
+    others = [c for c in columns if c not in about.median]
     parts = []
     if numbers:
-        middle = df.agg(
-            *(F.percentile_approx(F.col(c), F.lit(0.5), F.lit(1000)).alias(c) for c in numbers)
-        ).first()
 
         def held(c: str) -> Column:
-            if middle[c] is None:
+            middle = about.median[c]
+            if middle is None:
                 return F.lit(0)
-            return F.count(F.when(F.col(c) == F.lit(middle[c]).cast(df.schema[c].dataType), 1))
+            return F.count(F.when(F.col(c) == F.lit(middle).cast(df.schema[c].dataType), 1))
 
-        counts = df.agg(
-            *(F.count(F.lit(1)).alias(f"n_rows|{c}") for c in numbers),
-            *(F.count(F.when(F.col(c).isNull(), 1)).alias(f"n_null|{c}") for c in numbers),
-            *(held(c).alias(f"n_top|{c}") for c in numbers),
+        counts = df.agg(*(held(c).alias(f"n_top|{c}") for c in numbers)).select(
+            "*",
+            *(F.lit(about.n_rows).alias(f"n_rows|{c}") for c in numbers),
+            *(F.lit(about.n_rows - about.known[c]).alias(f"n_null|{c}") for c in numbers),
         )
         parts.append(
             to_long(counts, numbers, {"n_rows": "long", "n_null": "long", "n_top": "long"})

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from paneloom.spec import numeric_columns
+from paneloom.spec import feature_name, numeric_columns
 
 ACCURACY = 10_000
 
@@ -37,14 +37,19 @@ def exact_quantiles(
             wide = n <= 4 * accuracy
             lo = None if wide or low[i] == 0.0 else q[i]
             hi = None if wide or high[i] == 1.0 else q[len(shares) + i]
-            brackets.append((c, i, float(share), n, lo, hi))
+            brackets.append((len(brackets), columns.index(c), float(share), n, lo, hi))
     bracket = spark.createDataFrame(
-        brackets, "feature string, i int, share double, n long, lo double, hi double"
+        brackets, "i int, feature int, share double, n long, lo double, hi double"
     )
 
     values = doubles.select(
         F.inline(
-            F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in columns))
+            F.array(
+                *(
+                    F.struct(F.lit(f).alias("feature"), F.col(c).alias("value"))
+                    for f, c in enumerate(columns)
+                )
+            )
         )
     ).where("value IS NOT NULL")
     # Values below the bracket only count; they share the group with no value.
@@ -52,15 +57,14 @@ def exact_quantiles(
         values.join(F.broadcast(bracket), "feature")
         .where(F.col("hi").isNull() | (F.col("value") <= F.col("hi")))
         .groupBy(
-            "feature",
             "i",
             F.when(F.col("lo").isNull() | (F.col("value") >= F.col("lo")), F.col("value")).alias("v"),
         )
         .agg(F.count(F.lit(1)).alias("k"))
     )
-    upto = Window.partitionBy("feature", "i").orderBy(F.col("v").asc_nulls_first())
+    upto = Window.partitionBy("i").orderBy(F.col("v").asc_nulls_first())
     placed = counted.withColumn("upto", F.sum("k").over(upto)).join(
-        F.broadcast(bracket.select("feature", "i", "share", "n")), ["feature", "i"]
+        F.broadcast(bracket.select("i", "share", "n")), "i"
     )
     place = F.col("share") * (F.col("n") - 1)
     first = F.floor(place)
@@ -72,16 +76,16 @@ def exact_quantiles(
 
     found = (
         placed.withColumn("_rest", place - first)
-        .groupBy("feature", "i")
+        .groupBy("i")
         .agg(at(first).alias("a"), at(second).alias("b"), F.first("_rest").alias("rest"))
-        .select("feature", "i", (F.col("a") + (F.col("b") - F.col("a")) * F.col("rest")).alias("value"))
+        .select("i", (F.col("a") + (F.col("b") - F.col("a")) * F.col("rest")).alias("value"))
     )
     missed = (F.col("n") > 0) & F.col("value").isNull()
     checked = F.when(
         missed, F.raise_error(F.lit("the estimate missed a quantile; raise its accuracy"))
     ).otherwise(F.col("value"))
-    return bracket.join(F.broadcast(found), ["feature", "i"], "left").select(
-        "feature", "share", checked.alias("value")
+    return bracket.join(F.broadcast(found), "i", "left").select(
+        feature_name(columns), "share", checked.alias("value")
     )
 
 

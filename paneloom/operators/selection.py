@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
 
-from paneloom.operators.profile import dominant_value, value_profile
+from paneloom.operators.profile import Estimates, dominant_value, estimates, value_profile
 
 # Thresholds of the two screening runs and the texts of the report.
 EMPTY_SHARE = 0.999
@@ -23,7 +23,6 @@ REPORT_COLUMNS = ("Feature", "Motivo")
 
 # An estimate of distinct values below this share of the rows rules out an ID.
 _MAYBE_ID_SHARE = 0.8
-_ESTIMATE_ERROR = 0.02
 
 
 def feature_table(spark: SparkSession, names: list[str]) -> DataFrame:
@@ -68,10 +67,17 @@ def removal_report(
     otherwise takes any continuous column for an ID.
     """
     spark = df.sparkSession
-    facts = dominant_value(df, columns).join(
+    may_be_id = [
+        c
+        for c in columns
+        if not ids_are_whole_or_text
+        or isinstance(df.schema[c].dataType, (T.IntegralType, T.StringType))
+    ]
+    about = estimates(df, columns, distinct_of=may_be_id)
+    facts = dominant_value(df, columns, about).join(
         F.broadcast(feature_table(spark, columns)), "feature"
     )
-    ids = _id_columns(df, columns, ids_are_whole_or_text)
+    ids = _id_columns(df, may_be_id, about)
     is_id = F.col("feature").isin(ids) if ids else F.lit(False)
     n, known = F.col("n_rows"), F.col("n_rows") - F.col("n_null")
     missing = F.col("n_null") / n
@@ -91,29 +97,14 @@ def removal_report(
     )
 
 
-def _id_columns(df: DataFrame, columns: list[str], whole_or_text: bool) -> list[str]:
-    """Columns with as many distinct values as rows. Estimates rule most columns out
-    in one pass; the rest are counted exactly."""
-    candidates = columns
-    if whole_or_text:
-        candidates = [
-            c
-            for c in columns
-            if isinstance(df.schema[c].dataType, (T.IntegralType, T.StringType))
-        ]
-    if not candidates:
-        return []
-    about = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        *(F.count(c).alias(f"known|{c}") for c in candidates),
-        *(F.approx_count_distinct(c, _ESTIMATE_ERROR).alias(f"about|{c}") for c in candidates),
-    ).first()
+def _id_columns(df: DataFrame, columns: list[str], about: Estimates) -> list[str]:
+    """Columns with as many distinct values as rows. Estimates rule most columns out;
+    the rest are counted exactly."""
     maybe = [
         c
-        for c in candidates
-        if about[f"known|{c}"] == about["n"]
-        and about[f"about|{c}"] >= _MAYBE_ID_SHARE * about["n"]
-        and about["n"] > 0
+        for c in columns
+        if 0 < about.n_rows == about.known[c]
+        and about.distinct[c] >= _MAYBE_ID_SHARE * about.n_rows
     ]
     if not maybe:
         return []
@@ -254,13 +245,26 @@ def class_weights(df: DataFrame, target: str) -> DataFrame:
     return sizes.withColumn("weight", largest / F.col("n"))
 
 
-def category_codes(df: DataFrame, column: str) -> DataFrame:
-    """(value, code): codes of the levels as text in sorted order, a missing value
-    being a level of its own spelled "None".
+# Up to this many levels the codes of a category are broadcast.
+FEW_LEVELS = 10_000
 
-    A level's code is the number of smaller levels, so levels are counted by ranges:
-    one row per level, never the rows.
-    """
-    levels = df.select(F.coalesce(F.col(column).cast("string"), F.lit("None")).alias("value")).distinct()
-    order = Window.partitionBy(F.lit(0)).orderBy("value")
+
+def category_codes(df: DataFrame, column: str) -> DataFrame:
+    """(level, code): the levels as text, numbered in sorted order; a missing value is
+    a level of its own, spelled "None". The window sees one row per level."""
+    levels = df.select(_level(column).alias("level")).distinct()
+    order = Window.partitionBy(F.lit(0)).orderBy("level")
     return levels.withColumn("code", F.row_number().over(order) - 1)
+
+
+def with_category_code(df: DataFrame, column: str, out: str) -> DataFrame:
+    """Adds the code of each row's level. The rows stay where they are as long as the
+    levels are few, which is checked."""
+    few = df.select(column).distinct().limit(FEW_LEVELS + 1).count() <= FEW_LEVELS
+    codes = category_codes(df, column).withColumnRenamed("code", out)
+    joined = df.join(F.broadcast(codes) if few else codes, _level(column) == F.col("level"))
+    return joined.drop("level")
+
+
+def _level(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit("None"))

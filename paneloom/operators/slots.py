@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, functions as F
 
@@ -38,16 +39,26 @@ def with_slots(df: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
     )
 
 
-def approximate_cuts(df: DataFrame, columns: list[str], slots: int) -> dict[str, list[float]]:
-    """Borders that give slots of about equal size. Read once to the driver (slots x
-    columns numbers), because an estimate may differ each time it is computed."""
-    shares = [i / slots for i in range(1, slots)]
-    if not shares:
-        return {c: [] for c in columns}
+def approximate_cuts(
+    df: DataFrame, columns: list[str], most: int, rows_per_slot: int
+) -> dict[str, list[float]]:
+    """Borders that give slots of about ``rows_per_slot`` known values, at most ``most``
+    slots. Read once to the driver (slots x columns numbers), because an estimate may
+    differ each time it is computed."""
+    shares = np.arange(1, most) / most
     row = df.agg(
+        *(F.count(c).alias(f"n|{c}") for c in columns),
         *(
-            F.percentile_approx(F.col(c).cast("double"), shares, 10 * slots).alias(c)
+            F.percentile_approx(F.col(c).cast("double"), F.lit(shares), 10 * most).alias(f"q|{c}")
             for c in columns
-        )
+            if most > 1
+        ),
     ).first()
-    return {c: list(row[c] or []) for c in columns}
+
+    def cuts(c: str) -> list[float]:
+        slots = min(most, row[f"n|{c}"] // rows_per_slot)
+        if slots < 2:
+            return []
+        return [row[f"q|{c}"][round(i * most / slots) - 1] for i in range(1, slots)]
+
+    return {c: cuts(c) for c in columns}

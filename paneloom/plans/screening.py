@@ -114,7 +114,8 @@ def run(
 
     auc = None
     if task == "binary":
-        auc = roc_auc(model.scored(valid, [spec.target]), "score", spec.target).first()["auc"]
+        scores = store(model.scored(valid, [*id_cols, spec.target]), f"{out}/validation_scores")
+        auc = roc_auc(scores, "score", spec.target).first()["auc"]
     explained = attribution(sample_rows(valid, id_cols, EXPLAINED_ROWS, seed), model)
     write_csv_report(attribution_report(explained), f"{out}/attribution")
 

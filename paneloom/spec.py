@@ -83,5 +83,11 @@ def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
 
 
+def feature_name(names: list[str], index: str = "feature") -> Column:
+    """The name behind a feature's number. Long tables carry numbers, which shuffle
+    and compare faster than names."""
+    return F.get(F.array(*(F.lit(c) for c in names)), F.col(index)).alias("feature")
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

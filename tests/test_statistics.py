@@ -88,7 +88,7 @@ def test_pearson(df, pdf):
 
 @pytest.mark.parametrize("target, slots", [("y", 1000), ("y", 3), ("z", 8), ("z", 1)])
 def test_spearman(df, pdf, target, slots):
-    got = scores(spearman_target(df, NUMBERS, target, slots))
+    got = scores(spearman_target(df, NUMBERS, target, slots, rows_per_slot=20))
     for c in ["a", "b", "ties", "heavy"]:
         known = pdf[[c, target]].dropna().rank()
         assert close(got[c], known[c].corr(known[target])), c
@@ -112,7 +112,7 @@ def test_auc(df, pdf, slots):
         known = pdf[[c, "y"]].dropna()
         up, down = known[known.y == 1][c].to_numpy(), known[known.y == 0][c].to_numpy()
         wins = (up[:, None] > down).sum() + 0.5 * (up[:, None] == down).sum()
-        assert close(roc_auc(df, c, "y", slots).first()["auc"], wins / (len(up) * len(down)))
+        assert close(roc_auc(df, c, "y", slots, rows_per_slot=20).first()["auc"], wins / (len(up) * len(down)))
 
 
 def test_auc_of_one_class_is_null(df):
@@ -249,5 +249,9 @@ def test_funnel(spark):
 def test_class_weights_and_codes(spark):
     df = spark.createDataFrame([(0, "b"), (0, "a"), (0, None), (1, "b")], "y int, k string")
     assert {r["y"]: r["weight"] for r in sel.class_weights(df, "y").collect()} == {0: 1.0, 1: 3.0}
-    codes = {r["value"]: r["code"] for r in sel.category_codes(df, "k").collect()}
+    codes = {r["level"]: r["code"] for r in sel.category_codes(df, "k").collect()}
     assert codes == {"None": 0, "a": 1, "b": 2}
+    coded = sel.with_category_code(df, "k", "c")
+    assert sorted((r["y"], r["k"] or "", r["c"]) for r in coded.collect()) == [
+        (0, "", 0), (0, "a", 1), (0, "b", 2), (1, "b", 2)
+    ]
