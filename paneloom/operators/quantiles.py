@@ -13,10 +13,18 @@ from pyspark.sql import DataFrame, Window, functions as F
 from paneloom.spec import feature_name, numeric_columns
 
 ACCURACY = 10_000
+# Up to this many values inside a bracket one task orders them; beyond, each bracket
+# is cut into stripes of equal width that are ordered apart.
+MOST_ORDERED = 5_000_000
+STRIPES = 1000
 
 
 def exact_quantiles(
-    df: DataFrame, columns: list[str], shares: list[float], accuracy: int = ACCURACY
+    df: DataFrame,
+    columns: list[str],
+    shares: list[float],
+    accuracy: int = ACCURACY,
+    most_ordered: int = MOST_ORDERED,
 ) -> DataFrame:
     """(feature, share, value): the interpolated quantile of the known values, null
     for a column without any."""
@@ -37,10 +45,17 @@ def exact_quantiles(
             wide = n <= 4 * accuracy
             lo = None if wide or low[i] == 0.0 else q[i]
             hi = None if wide or high[i] == 1.0 else q[len(shares) + i]
-            brackets.append((len(brackets), columns.index(c), float(share), n, lo, hi))
+            low_end, high_end = (q[i], q[len(shares) + i]) if q else (None, None)
+            brackets.append(
+                (len(brackets), columns.index(c), float(share), n, lo, hi, low_end, high_end)
+            )
     bracket = spark.createDataFrame(
-        brackets, "i int, feature int, share double, n long, lo double, hi double"
+        brackets,
+        "i int, feature int, share double, n long, lo double, hi double, "
+        "low_end double, high_end double",
     )
+    largest = max((about[f"n|{c}"] for c in columns), default=0)
+    striped = largest * 4 / accuracy > most_ordered
 
     values = doubles.select(
         F.inline(
@@ -62,10 +77,9 @@ def exact_quantiles(
         )
         .agg(F.count(F.lit(1)).alias("k"))
     )
-    upto = Window.partitionBy("i").orderBy(F.col("v").asc_nulls_first())
-    placed = counted.withColumn("upto", F.sum("k").over(upto)).join(
-        F.broadcast(bracket.select("i", "share", "n")), "i"
-    )
+    ends = bracket.select("i", "share", "n", "low_end", "high_end")
+    placed = counted.join(F.broadcast(ends), "i")
+    placed = _running_striped(placed) if striped else _running(placed)
     place = F.col("share") * (F.col("n") - 1)
     first = F.floor(place)
     second = F.least(first + 1, F.col("n") - 1)
@@ -89,6 +103,34 @@ def exact_quantiles(
     )
 
 
+def _running(placed: DataFrame) -> DataFrame:
+    """Adds how many values are at or below each one."""
+    upto = Window.partitionBy("i").orderBy(F.col("v").asc_nulls_first())
+    return placed.withColumn("upto", F.sum("k").over(upto))
+
+
+def _running_striped(placed: DataFrame) -> DataFrame:
+    """The same in two steps: within a stripe of the bracket, and over the stripes."""
+    width = (F.col("high_end") - F.col("low_end")) / STRIPES
+    stripe = F.floor(F.try_divide(F.col("v") - F.col("low_end"), width))
+    inside = F.greatest(F.lit(0), F.least(F.coalesce(stripe, F.lit(0)), F.lit(STRIPES - 1)))
+    cut = placed.withColumn("_s", F.when(F.col("v").isNull(), -1).otherwise(inside).cast("int"))
+    sizes = cut.groupBy("i", "_s").agg(F.sum("k").alias("_size"))
+    over = Window.partitionBy("i").orderBy("_s")
+    offsets = sizes.select(
+        F.col("i").alias("_i"),
+        F.col("_s").alias("_t"),
+        (F.sum("_size").over(over) - F.col("_size")).alias("_offset"),
+    )
+    within = Window.partitionBy("i", "_s").orderBy(F.col("v").asc_nulls_first())
+    return (
+        cut.withColumn("_upto", F.sum("k").over(within))
+        .join(F.broadcast(offsets), (F.col("i") == F.col("_i")) & (F.col("_s") == F.col("_t")))
+        .withColumn("upto", F.col("_upto") + F.col("_offset"))
+        .drop("_i", "_t", "_s", "_upto", "_offset")
+    )
+
+
 def medians(df: DataFrame, columns: list[str] | None = None) -> dict[str, float | None]:
     """Exact medians by column name: one number per column."""
     columns = numeric_columns(df) if columns is None else columns

@@ -66,10 +66,14 @@ def close(a, b, tolerance=1e-7):
     return a is not None and abs(a - b) <= tolerance * max(1.0, abs(b))
 
 
-@pytest.mark.parametrize("accuracy", [10_000, 50, 20])
-def test_quantiles(df, pdf, accuracy):
+@pytest.mark.parametrize(
+    "accuracy, most_ordered", [(10_000, 1000), (50, 1000), (20, 1000), (20, 1), (10_000, 0)]
+)
+def test_quantiles(df, pdf, accuracy, most_ordered):
     shares = [0.0, 0.05, 0.25, 0.5, 0.77, 1.0]
-    for r in exact_quantiles(df, NUMBERS, shares, accuracy).collect():
+    found = exact_quantiles(df, NUMBERS, shares, accuracy, most_ordered).collect()
+    assert len(found) == len(shares) * len(NUMBERS)
+    for r in found:
         assert close(r["value"], pdf[r["feature"]].quantile(r["share"]), 1e-12), r
 
 
