@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paneloom.operators.profile import to_long
 from paneloom.operators.slots import SLOT, approximate_cuts, with_slots
+from paneloom.spec import column_groups, union_all
 
 # Sorted slots of one feature: how many at most, and how many rows each.
 SLOTS = 1000
@@ -24,7 +25,7 @@ NO_SPREAD = 1e-12
 
 def pearson_target(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     """(feature, score): Pearson correlation of each column with the target over rows
-    where both are known; null for a constant. One pass for all columns."""
+    where both are known; null for a constant. Every column is read once."""
     y = F.col(target).cast("double")
 
     def correlation(c: str) -> Column:
@@ -33,8 +34,11 @@ def pearson_target(df: DataFrame, columns: list[str], target: str) -> DataFrame:
         spread = F.stddev_samp(F.when(both, x)) * F.stddev_samp(F.when(both, y))
         return F.covar_samp(F.when(both, x), F.when(both, y)) / F.nullif(spread, F.lit(0.0))
 
-    row = df.agg(*(correlation(c).alias(f"score|{c}") for c in columns))
-    return to_long(row, columns, {"score": "double"})
+    def of(group: list[str]) -> DataFrame:
+        row = df.agg(*(correlation(c).alias(f"score|{c}") for c in group))
+        return to_long(row, group, {"score": "double"})
+
+    return union_all([of(group) for group in column_groups(columns)])
 
 
 # --- ranks -------------------------------------------------------------------

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from paneloom.spec import feature_name, union_all
+from paneloom.spec import column_groups, feature_name, union_all
 
 # Type names as the schema report spells them.
 TYPE_NAMES = {
@@ -114,11 +114,16 @@ def to_long(one_row: DataFrame, names: list[str], fields: dict[str, str]) -> Dat
 
 
 def null_share(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Share of missing values per column, all columns in one pass."""
-    shares = df.agg(
-        *(F.avg(F.col(c).isNull().cast("double")).alias(f"null_share|{c}") for c in columns)
-    )
-    return to_long(shares, columns, {"null_share": "double"})
+    """Share of missing values per column; every column is read once."""
+    rows = []
+    for group in column_groups(columns):
+        shares = (
+            df.select(*group)
+            .agg(*(F.avg(F.col(c).isNull().cast("double")).alias(c) for c in group))
+            .first()
+        )
+        rows += [(c, shares[c]) for c in group]
+    return df.sparkSession.createDataFrame(rows, "feature string, null_share double")
 
 
 def _family(kind: T.DataType) -> str:
@@ -176,7 +181,7 @@ def value_profile(df: DataFrame, columns: list[str], null_is_value: bool = False
 
 @dataclass(frozen=True)
 class Estimates:
-    """One pass over all columns: rows, known values, and estimates of the distinct
+    """One reading of all columns: rows, known values, and estimates of the distinct
     values and of the median of numbers."""
 
     n_rows: int
@@ -194,22 +199,28 @@ def _is_number(df: DataFrame, column: str) -> bool:
 
 def estimates(df: DataFrame, columns: list[str], distinct_of: list[str] = ()) -> Estimates:
     """Estimates of distinct values cost most and are made on demand."""
-    numbers = [c for c in columns if _is_number(df, c)]
-    row = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        *(F.count(c).alias(f"known|{c}") for c in columns),
-        *(F.approx_count_distinct(c, DISTINCT_ERROR).alias(f"distinct|{c}") for c in distinct_of),
-        *(
-            F.percentile_approx(F.col(c), F.lit(0.5), F.lit(1000)).alias(f"median|{c}")
-            for c in numbers
-        ),
-    ).first()
-    return Estimates(
-        row["n"],
-        {c: row[f"known|{c}"] for c in columns},
-        {c: row[f"distinct|{c}"] for c in distinct_of},
-        {c: row[f"median|{c}"] for c in numbers},
-    )
+    wanted = set(distinct_of)
+    n_rows, known, distinct, median = 0, {}, {}, {}
+    for group in column_groups(columns):
+        row = df.select(*group).agg(
+            F.count(F.lit(1)).alias("n"),
+            *(F.count(c).alias(f"known|{c}") for c in group),
+            *(
+                F.approx_count_distinct(c, DISTINCT_ERROR).alias(f"distinct|{c}")
+                for c in group
+                if c in wanted
+            ),
+            *(
+                F.percentile_approx(F.col(c), F.lit(0.5), F.lit(1000)).alias(f"median|{c}")
+                for c in group
+                if _is_number(df, c)
+            ),
+        ).first()
+        n_rows = row["n"]
+        known |= {c: row[f"known|{c}"] for c in group}
+        distinct |= {c: row[f"distinct|{c}"] for c in group if c in wanted}
+        median |= {c: row[f"median|{c}"] for c in group if _is_number(df, c)}
+    return Estimates(n_rows, known, distinct, median)
 
 
 def dominant_value(
@@ -226,22 +237,25 @@ def dominant_value(
     about = estimates(df, columns) if about is None else about
     numbers = [c for c in columns if c in about.median]
     others = [c for c in columns if c not in about.median]
-    parts = []
-    if numbers:
 
-        def held(c: str) -> Column:
-            middle = about.median[c]
-            if middle is None:
-                return F.lit(0)
-            return F.count(F.when(F.col(c) == F.lit(middle).cast(df.schema[c].dataType), 1))
+    types = {f.name: f.dataType for f in df.schema}
 
-        counts = df.agg(*(held(c).alias(f"n_top|{c}") for c in numbers)).select(
-            "*",
-            *(F.lit(about.n_rows).alias(f"n_rows|{c}") for c in numbers),
-            *(F.lit(about.n_rows - about.known[c]).alias(f"n_null|{c}") for c in numbers),
-        )
+    def held(c: str) -> Column:
+        middle = about.median[c]
+        if middle is None:
+            return F.lit(0)
+        return F.count(F.when(F.col(c) == F.lit(middle).cast(types[c]), 1))
+
+    parts = []
+    if numbers:
+        rows = []
+        for group in column_groups(numbers):
+            top = df.select(*group).agg(*(held(c).alias(c) for c in group)).first()
+            rows += [(c, about.n_rows, about.n_rows - about.known[c], top[c]) for c in group]
         parts.append(
-            to_long(counts, numbers, {"n_rows": "long", "n_null": "long", "n_top": "long"})
+            df.sparkSession.createDataFrame(
+                rows, "feature string, n_rows long, n_null long, n_top long"
+            )
         )
     if others:
         profile = value_profile(df, others)

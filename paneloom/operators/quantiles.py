@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from paneloom.spec import feature_name, numeric_columns
+from paneloom.spec import column_groups, feature_name, numeric_columns, union_all
 
 ACCURACY = 10_000
 # Up to this many values inside a bracket one task orders them; beyond, each bracket
@@ -28,6 +28,17 @@ def exact_quantiles(
 ) -> DataFrame:
     """(feature, share, value): the interpolated quantile of the known values, null
     for a column without any."""
+    return union_all(
+        [
+            _exact_quantiles(df, group, shares, accuracy, most_ordered)
+            for group in column_groups(columns)
+        ]
+    )
+
+
+def _exact_quantiles(
+    df: DataFrame, columns: list[str], shares: list[float], accuracy: int, most_ordered: int
+) -> DataFrame:
     spark = df.sparkSession
     low = [max(0.0, p - 2 / accuracy) for p in shares]
     high = [min(1.0, p + 2 / accuracy) for p in shares]
@@ -136,8 +147,11 @@ def medians(df: DataFrame, columns: list[str] | None = None) -> dict[str, float
     columns = numeric_columns(df) if columns is None else columns
     if not columns:
         return {}
-    found = exact_quantiles(df, columns, [0.5]).collect()
-    return {row["feature"]: row["value"] for row in found}
+    found = {}
+    for group in column_groups(columns):
+        for row in exact_quantiles(df, group, [0.5]).collect():
+            found[row["feature"]] = row["value"]
+    return found
 
 
 def fill_with_median(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

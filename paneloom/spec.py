@@ -89,5 +89,15 @@ def feature_name(names: list[str], index: str = "feature") -> Column:
     return F.get(F.array(*(F.lit(c) for c in names)), F.col(index)).alias("feature")
 
 
+# Wide tables are aggregated in groups of columns: planning one aggregate over
+# thousands of expressions takes longer than several passes that read, between them,
+# every column once.
+COLUMNS_PER_PASS = 200
+
+
+def column_groups(columns: list[str], size: int = COLUMNS_PER_PASS) -> list[list[str]]:
+    return [list(columns[i : i + size]) for i in range(0, len(columns), size)]
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
