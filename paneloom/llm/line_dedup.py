@@ -22,19 +22,23 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paneloom.llm.common import (
+    LOWER,
+    UPPER,
     WHITE,
     id_and_text,
-    lower_ascii,
     row_keys,
     shared_table,
     shuffle_tasks,
 )
 
 DROP, OPEN, BORDER = 0, 1, 2
+WHITE_BYTES = WHITE.encode()
+LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
 def keep_bitmaps(
@@ -81,17 +85,33 @@ def keep_bitmaps(
 
 
 def _line_hashes(docs: DataFrame) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    lines = F.split(text, "\n", -1)
-    keys = F.transform(lines, lambda line: F.btrim(lower_ascii(line), F.lit(WHITE)))
-    exploded = docs.select(
-        "id", *row_keys(F.col("id"), F.col("text")), F.size(lines).alias("n_lines"),
-        F.posexplode(keys).alias("pos", "key"),
-    )
-    return exploded.filter(F.col("key") != "").select(
-        F.xxhash64("key").alias("h1"),
-        F.xxhash64(F.lit(3), "key").alias("h2"),
-        "id", "k1", "k2", "pos", "n_lines",
+    """(id, k1, k2, n_lines, pos, h1, h2) of every line that has a key."""
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, total, pos, digests = [], [], [], []
+            for i, text in enumerate(batch["text"]):
+                lines = (text.as_py() or "").encode().translate(LOWER_BYTES).split(b"\n")
+                for at, line in enumerate(lines):
+                    key = line.strip(WHITE_BYTES)
+                    if key:
+                        row.append(i)
+                        total.append(len(lines))
+                        pos.append(at)
+                        digests.append(xxhash.xxh3_128_digest(key))
+            halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch["id"].take(at), batch["k1"].take(at), batch["k2"].take(at),
+                 pa.array(total, pa.int32()), pa.array(pos, pa.int32()),
+                 pa.array(halves[:, 0]), pa.array(halves[:, 1])],
+                ["id", "k1", "k2", "n_lines", "pos", "h1", "h2"],
+            )
+
+    keyed = docs.select("id", *row_keys(F.col("id"), F.col("text")), "text")
+    return keyed.mapInArrow(
+        cut, f"id {kind}, k1 long, k2 long, n_lines int, pos int, h1 long, h2 long"
     )
 
 
