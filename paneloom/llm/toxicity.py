@@ -94,6 +94,8 @@ def _document_score(block_logits: np.ndarray) -> float:
 
 
 def _text_scores(scores: _WordScores, bias: float, texts: Sequence[str | None]) -> list[float]:
+    if not scores.weights.any():  # nothing was learned
+        return [_document_score(np.array([bias]))] * len(texts)
     lists = [words_of(t) for t in texts]
     scores.learn(set().union(*lists))
     return [_score(scores, bias, words) for words in lists]

@@ -193,7 +193,6 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     start = f"{VERSION}\r\n"
     pieces = spark.read.option("lineSep", END + start).text(path)
     piece = F.regexp_replace("value", r"\A" + re.escape(start), "")
-    head = F.substring_index(piece, END, 1)
     rest = F.expr(f"substring(piece, char_length(head) + {len(END) + 1})")
 
     def header(name: str):
@@ -201,12 +200,13 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         return F.when(value != "", value)
 
     length = header("Content-Length").cast("long")
-    trimmed = F.regexp_replace(rest, r"\r\n\r\n\z", "")
+    trimmed = F.regexp_replace("rest", r"\r\n\r\n\z", "")
     return (
         pieces.select(piece.alias("piece"))
         .filter(F.col("piece") != "")
-        .select("piece", head.alias("head"))
-        .select("head", rest.alias("rest"), trimmed.alias("trimmed"))
+        .withColumn("head", F.substring_index("piece", END, 1))
+        .withColumn("rest", rest)
+        .withColumn("trimmed", trimmed)
         .withColumn(
             "block",  # the last record of a file still has its end
             F.when(F.octet_length("rest") == length, F.col("rest")).otherwise(F.col("trimmed")),
