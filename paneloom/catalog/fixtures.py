@@ -107,7 +107,8 @@ def screened(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("sum_qty") > 300, 1.0).otherwise(0.0).alias("nearly_constant"),
         F.when(big > 480000, F.col("sum_qty")).alias("sparse"),
         *CATEGORIES,
-        (big > 200000).cast("int").alias("target"),
+        # Explained in part by what the models see.
+        (F.coalesce("sum_qty", F.lit(0.0)) + big / 4000 > 170).cast("int").alias("target"),
     )
 
 
@@ -122,7 +123,7 @@ SCREENED_SQL = f"""
            CASE WHEN sum_qty > 300 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS nearly_constant,
            CASE WHEN o_totalprice > 480000 THEN sum_qty END AS sparse,
            o_orderstatus, o_orderpriority,
-           CAST(o_totalprice > 200000 AS INTEGER) AS target
+           CAST(coalesce(sum_qty, 0) + o_totalprice / 4000 > 170 AS INTEGER) AS target
     FROM ({STATEMENTS_SQL})"""
 
 

@@ -20,7 +20,7 @@ from paneloom.operators.correlation import roc_auc
 from paneloom.operators.labels import join_labels
 from paneloom.operators.quantiles import keep_from_percentile
 from paneloom.operators.selection import normalised, static_filter
-from paneloom.operators.split import sample_rows, sized_split, stratified_split
+from paneloom.operators.split import sized_split, stratified_split
 from paneloom.operators.trees import (
     MAIN,
     SCREENING,
@@ -35,7 +35,6 @@ from paneloom.session import shared_folder
 
 KEY, TARGET = "o_custkey", "target"
 ROUNDS, DEPTH, TOP = 10, 4, 20
-ATTRIBUTED_ROWS = 5000
 
 
 def _customers(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -102,7 +101,7 @@ def _valid_auc(spark, sf_dir):
 
 def _attributed(spark, sf_dir) -> DataFrame:
     model, valid = _screening_model(spark, sf_dir)
-    return rounded(attribution(sample_rows(valid, ["o_orderkey"], ATTRIBUTED_ROWS), model))
+    return rounded(attribution(valid, model))
 
 
 QUERIES = {

@@ -17,8 +17,6 @@ SLOTS = 1000
 ROWS_PER_SLOT = 200_000
 # Up to this many target values their ranks are broadcast.
 FEW_TARGETS = 1000
-# Tasks that each emit one set of pair sums.
-MOST_PAIR_TASKS = 2000
 # A spread below this share of the second moment is rounding, not variation.
 NO_SPREAD = 1e-12
 
@@ -210,7 +208,7 @@ def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     doubles = df.select(*(F.col(c).cast("double").alias(c) for c in columns))
     averages = doubles.agg(*(F.avg(c).alias(c) for c in columns)).first()
     means = np.array([averages[c] or 0.0 for c in columns])
-    parts = doubles.coalesce(MOST_PAIR_TASKS).mapInArrow(_pair_sums(means), _PAIR_SCHEMA)
+    parts = doubles.mapInArrow(_pair_sums(means), _PAIR_SCHEMA)
     total = parts.groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in _PAIR_SUMS))
 
     def spread(s: str, ss: str) -> Column:

@@ -14,6 +14,8 @@ from paneloom.operators.profile import Estimates, dominant_value, estimates, val
 EMPTY_SHARE = 0.999
 STABLE_SHARE = 0.999
 QUASI_CONSTANT_SHARE = 0.99
+# The least share at which the median is sure to be found as the most frequent value.
+DOMINANT_FROM = 0.6
 MISSING_SHARE = 0.90
 REASON_ID = "ID (cardinalidade = n_amostras)"
 REASON_CONSTANT = "Constante"
@@ -33,6 +35,12 @@ def feature_table(spark: SparkSession, names: list[str]) -> DataFrame:
 # --- static filters ----------------------------------------------------------
 
 
+def _require_dominance(share: float) -> None:
+    """`dominant_value` counts a column's most frequent value only where it fills more."""
+    if share < DOMINANT_FROM:
+        raise ValueError(f"shares below {DOMINANT_FROM} are not supported")
+
+
 def static_filter(
     df: DataFrame,
     keep_first: list[str],
@@ -41,6 +49,7 @@ def static_filter(
 ) -> DataFrame:
     """(position, feature) of the columns that are neither empty nor constant but for
     a thousandth of the rows. ``keep_first`` columns always stay and lead."""
+    _require_dominance(stable_share)
     others = [c for c in df.columns if c not in keep_first]
     n = F.col("n_rows")
     dropped = dominant_value(df, others).where(
@@ -66,6 +75,7 @@ def removal_report(
     ``ids_are_whole_or_text`` exempts fractional numbers from the first rule, which
     otherwise takes any continuous column for an ID.
     """
+    _require_dominance(quasi_constant_share)
     spark = df.sparkSession
     may_be_id = [
         c

@@ -44,6 +44,7 @@ def class_cuts(
     class_col: str | None,
     wanted: Callable[[DataFrame], DataFrame],
     seed: int,
+    sent: Callable[[DataFrame], DataFrame] = F.broadcast,
 ) -> DataFrame:
     """Per class the last place that belongs to the part, or null when all rows do.
 
@@ -63,7 +64,7 @@ def class_cuts(
         "_before", F.sum("_b").over(upto.rowsBetween(Window.unboundedPreceding, -1))
     ).fillna(0, ["_before"])
     reached = running.join(
-        F.broadcast(quotas), F.col("_class").eqNullSafe(F.col("_quota_class"))
+        sent(quotas), F.col("_class").eqNullSafe(F.col("_quota_class"))
     ).where((F.col("_before") < F.col("_want")) & (F.col("_before") + F.col("_b") >= F.col("_want")))
     border = reached.select(
         "_quota_class",
@@ -72,7 +73,7 @@ def class_cuts(
     )
 
     in_border = narrow.join(
-        F.broadcast(border),
+        sent(border),
         F.col("_class").eqNullSafe(F.col("_quota_class")) & (F.col("_bucket") == F.col("_border")),
     )
     ranked = in_border.withColumn(
@@ -96,13 +97,14 @@ def mark_part(
     seed: int,
 ) -> DataFrame:
     """The table with a flag for the rows of the part. ``id_cols`` must identify a row."""
-    if class_col is not None:
-        classes = df.select(class_col).distinct().limit(MAX_CLASSES + 1).count()
-        if classes > MAX_CLASSES:
-            raise ValueError(f"{class_col} has more than {MAX_CLASSES} values")
-    cuts = class_cuts(df, id_cols, class_col, wanted, seed)
+    few = (
+        class_col is None
+        or df.select(class_col).distinct().limit(MAX_CLASSES + 1).count() <= MAX_CLASSES
+    )
+    sent = F.broadcast if few else lambda table: table
+    cuts = class_cuts(df, id_cols, class_col, wanted, seed, sent)
     placed = df.join(
-        F.broadcast(cuts), _class_column(class_col).eqNullSafe(F.col("_quota_class")), "left"
+        sent(cuts), _class_column(class_col).eqNullSafe(F.col("_quota_class")), "left"
     )
     within = _rank_place(id_cols, seed) <= F.col("_cut")
     return placed.withColumn(IN_PART, F.coalesce(within, F.lit(False))).drop("_quota_class", "_cut")
@@ -127,11 +129,14 @@ def largest_remainder(share: float):
         whole = Window.partitionBy(F.lit(0))
         total = F.sum("_n").over(whole)
         part = F.ceil(total.cast("double") * F.lit(float(share)))
-        exact = part * F.col("_n") / total
+        # Whole numbers of 38 places: products of sizes leave 64 bits, and remainders
+        # must be exact for ties.
+        product = part.cast("decimal(19,0)") * F.col("_n").cast("decimal(19,0)")
+        over = product % total.cast("decimal(19,0)")
         return (
             sizes.withColumn("_part", part)
-            .withColumn("_low", F.floor(exact))
-            .withColumn("_over", exact - F.floor(exact))
+            .withColumn("_over", over)
+            .withColumn("_low", ((product - over) / total.cast("decimal(19,0)")).cast("long"))
             .withColumn("_left", F.col("_part") - F.sum("_low").over(whole))
             .withColumn(
                 "_turn",

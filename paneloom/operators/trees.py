@@ -42,6 +42,7 @@ class TreeSettings:
     bins: int = 64
     columns_per_split: str = "all"
     row_share: float = 1.0
+    patience: int = 50
     weigh_classes: bool = True
     seed: int = 42
 
@@ -168,7 +169,8 @@ def fit_trees(
 ) -> TreeModel:
     """Boosted trees for a binary or numeric target, a forest for several classes.
 
-    With ``valid`` boosting stops once that part no longer improves.
+    With ``valid`` the model keeps the rounds up to the lowest loss on that part, and
+    boosting ends ``patience`` rounds after it.
     """
     encoding = learn_encoding(train, features, categories)
     rows = encoding.apply(train.where(F.col(target).isNotNull()), [target])
@@ -200,10 +202,42 @@ def fit_trees(
         kind = GBTClassifier if task == "binary" else GBTRegressor
         learner = kind(maxIter=settings.rounds, stepSize=settings.step, **shared)
         if valid is not None:
-            learner = learner.setValidationIndicatorCol("_held")
+            model = _fit_with_patience(learner, rows, settings, task)
+            return TreeModel(model, encoding, task)
     return TreeModel(learner.fit(rows), encoding, task)
 
 
+def best_round(losses: list[float], patience: int) -> tuple[int, bool]:
+    """(the round with the lowest loss, from 1; whether `patience` rounds passed since)."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        if i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def _fit_with_patience(learner, rows: DataFrame, settings: TreeSettings, task: str):
+    """Boosts in blocks, twice as many rounds each time, and looks at the loss of the held
+    part after every round. Equal seeds give equal trees, so a shorter run is a prefix of
+    a longer one."""
+    train, held = (rows.where(F.col("_held") == part) for part in (False, True))
+    size = min(settings.rounds, 2 * settings.patience)
+    while True:
+        model = learner.copy({learner.maxIter: size}).fit(train)
+        losses = (
+            model.evaluateEachIteration(held)
+            if task == "binary"
+            else model.evaluateEachIteration(held, "squared")
+        )
+        best, ended = best_round(losses, settings.patience)
+        if ended or size == settings.rounds:
+            break
+        size = min(settings.rounds, 2 * size)
+    return model if best == size else learner.copy({learner.maxIter: best}).fit(train)
+
+
 def tree_nodes(spark: SparkSession, trees: TreeModel) -> DataFrame:
     """The nodes of all trees, one row each, from the model's saved form."""
     path = new_shared_path(spark, "trees")

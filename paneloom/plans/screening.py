@@ -17,7 +17,7 @@ from paneloom.operators.correlation import (
     spearman_target,
 )
 from paneloom.operators.information import mutual_information
-from paneloom.operators.labels import attach_target
+from paneloom.operators.labels import attach_target, require_unique_labels
 from paneloom.operators.profile import task_type
 from paneloom.operators.quantiles import fill_with_median, keep_from_percentile
 from paneloom.operators.split import sample_rows, sized_split
@@ -37,7 +37,6 @@ REDUNDANT_ABOVE = 0.95
 MISSING_ABOVE = 0.90
 INFORMATION_FROM = 0.25
 IMPORTANCE_FROM = 0.20
-EXPLAINED_ROWS = 5000
 
 
 @dataclass(frozen=True)
@@ -51,6 +50,7 @@ class Screening:
     funnel: DataFrame
     auc: float | None
     selected: list[str]
+    n_without_gain: int
 
 
 def _names(features: DataFrame) -> list[str]:
@@ -65,13 +65,15 @@ def run(
     spec: PanelSpec = PanelSpec(),
     settings: TreeSettings = SCREENING,
     seed: int = 42,
+    explained_rows: int | None = None,
 ) -> Screening:
     """Writes the removal, importance and attribution reports and the final list below
-    ``out``. Rows are statements, each with its customer's target."""
+    ``out``. Rows are statements, each with its customer's target. Attribution explains
+    all validation rows, or a sample of ``explained_rows``."""
     statements = nan_to_null(read_parquet(spark, statements_pattern))
-    rows = store(
-        attach_target(statements, read_parquet(spark, labels_pattern), spec), f"{out}/labelled"
-    )
+    labels = read_parquet(spark, labels_pattern)
+    require_unique_labels(labels, spec)
+    rows = store(attach_target(statements, labels, spec), f"{out}/labelled")
     id_cols = [spec.key, *spec.position]
     columns = [c for c in rows.columns if c != spec.target]
     every = sel.feature_table(spark, columns)
@@ -116,7 +118,10 @@ def run(
     if task == "binary":
         scores = store(model.scored(valid, [*id_cols, spec.target]), f"{out}/validation_scores")
         auc = roc_auc(scores, "score", spec.target).first()["auc"]
-    explained = attribution(sample_rows(valid, id_cols, EXPLAINED_ROWS, seed), model)
+    rows_to_explain = (
+        valid if explained_rows is None else sample_rows(valid, id_cols, explained_rows, seed)
+    )
+    explained = attribution(rows_to_explain, model)
     write_csv_report(attribution_report(explained), f"{out}/attribution")
 
     funnel = sel.funnel(
@@ -128,5 +133,6 @@ def run(
         ]
     )
     return Screening(
-        removals, pearson, spearman, information, importance, explained, funnel, auc, selected
+        removals, pearson, spearman, information, importance, explained, funnel, auc, selected,
+        importance.where("score = 0").count(),
     )

@@ -30,9 +30,10 @@ def shared_folder(spark: SparkSession) -> str:
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="paneloom-")
-        )
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local["):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a shared folder")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="paneloom-"))
     return sc.getCheckpointDir()
 
 

@@ -121,3 +121,16 @@ def test_labels(spark):
 def test_nan_becomes_null(spark):
     df = spark.createDataFrame([(1, float("nan")), (2, 1.0)], "i int, x double")
     assert [r["x"] for r in nan_to_null(df).orderBy("i").collect()] == [None, 1.0]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from paneloom.session import shared_folder
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    session = SimpleNamespace(
+        sparkContext=context, conf=SimpleNamespace(get=lambda key, default=None: default)
+    )
+    with pytest.raises(ValueError, match="shared folder"):
+        shared_folder(session)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paneloom.operators.split import (
+    largest_remainder,
     sample_per_class,
     sample_rows,
     sized_split,
@@ -79,10 +80,27 @@ def test_rows_that_cannot_be_told_apart_are_refused(spark):
         stratified_split(df, ["id"], "y")[1].collect()
 
 
-def test_a_continuous_target_has_no_classes(spark):
-    df = spark.range(2000).select("id", F.col("id").alias("y"))
-    with pytest.raises(ValueError, match="more than"):
-        stratified_split(df, ["id"], "y")
+@pytest.mark.parametrize("classes", [900, 1100])
+def test_any_number_of_classes(spark, classes):
+    """On both sides of the number up to which one row per class is broadcast."""
+    df = spark.range(5 * classes).select("id", (F.col("id") % classes).alias("y"))
+    train, valid = stratified_split(df, ["id"], "y")
+    assert valid.groupBy("y").count().where("count = 1").count() == classes
+    assert train.count() == 4 * classes
+
+
+def test_quotas_of_very_large_classes(spark):
+    """Products of sizes leave 64 bits; whole-number arithmetic of Python doesn't."""
+    sizes = {0: 10**10, 1: 33 * 10**8, 2: 3 * 10**10, 3: 7}
+    total = sum(sizes.values())
+    part = -(-total // 5)
+    want = {c: part * n // total for c, n in sizes.items()}
+    by_remainder = sorted(sizes, key=lambda c: (-(part * sizes[c] % total), c))
+    for c in by_remainder[: part - sum(want.values())]:
+        want[c] += 1
+    table = spark.createDataFrame(list(sizes.items()), "_class int, _n long")
+    got = {r["_class"]: r["_want"] for r in largest_remainder(0.2)(table).collect()}
+    assert got == want
 
 
 def test_the_split_does_not_move_the_rows(spark):

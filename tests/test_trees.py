@@ -1,6 +1,7 @@
 """Importance, selection and attribution of small tree models."""
 
 import itertools
+from dataclasses import replace
 from math import factorial
 
 import numpy as np
@@ -14,6 +15,7 @@ from paneloom.operators.trees import (
     MAIN,
     SCREENING,
     best_features,
+    best_round,
     category_features,
     fit_trees,
     gain_importance,
@@ -125,10 +127,21 @@ def test_other_tasks(spark, rows, task, target):
     assert at.attribution(df, model).count() == 2 if task == "regression" else True
 
 
-def test_boosting_stops_on_the_held_part(rows):
+def test_patience():
+    falling = [1.0, 0.9, 0.95, 0.8, 0.85, 0.9, 0.7]
+    assert best_round(falling, 50) == (7, False)
+    assert best_round(falling, 3) == (7, False)
+    assert best_round(falling, 2) == (4, True)
+    assert best_round([0.5, 0.5, 0.5], 2) == (1, True)
+
+
+def test_boosting_keeps_the_best_round_of_the_held_part(rows):
+    settings = replace(quick(SCREENING, 30, 2), patience=5)
     held = rows.withColumn("y", F.lit(0))
-    model = fit_trees(rows, ["x"], [], "y", quick(SCREENING, 12, 2), valid=held)
+    model = fit_trees(rows, ["x"], [], "y", settings, valid=held)
     assert model.model.getNumTrees < 12
+    learnable = fit_trees(rows, ["x", "kind"], ["kind"], "y", settings, valid=rows)
+    assert learnable.model.getNumTrees > 20
 
 
 def test_category_features_by_name():
