@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from paneloom.catalog.fixtures import NUMBERS, STATEMENTS_SQL, Query, r, rounded, statements
 from paneloom.session import new_shared_path
 from paneloom.sources.files import csv_to_parquet
@@ -14,17 +16,26 @@ SCHEMA = (
 )
 
 
-def _converted(tolerant: bool):
+def _converted(spark, sf_dir):
     """The statements written as CSV and converted with a declared schema."""
+    csv = new_shared_path(spark, "csv")
+    statements(spark, sf_dir).select(*COLUMNS).write.option("header", True).csv(csv)
+    return rounded(csv_to_parquet(spark, csv, new_shared_path(spark, "parquet"), SCHEMA))
 
-    def run(spark, sf_dir):
-        csv = new_shared_path(spark, "csv")
-        statements(spark, sf_dir).select(*COLUMNS).write.option("header", True).csv(csv)
-        return rounded(
-            csv_to_parquet(spark, csv, new_shared_path(spark, "parquet"), SCHEMA, tolerant)
-        )
 
-    return run
+def _with_bad_lines(spark, sf_dir):
+    """As above, but some lines are short, some long, some hold text for a number."""
+    csv, order = new_shared_path(spark, "csv"), F.col("o_orderkey")
+    line = F.to_csv(F.struct(*COLUMNS))
+    lines = statements(spark, sf_dir).select(
+        F.when(order % 7 == 0, F.substring_index(line, ",", 3))
+        .when(order % 11 == 0, F.concat(line, F.lit(",more")))
+        .when(order % 13 == 0, F.concat(F.lit("no number "), line))
+        .otherwise(line)
+        .alias(",".join(COLUMNS))
+    )
+    lines.write.option("header", True).option("sep", "\x01").csv(csv)
+    return rounded(csv_to_parquet(spark, csv, new_shared_path(spark, "parquet"), SCHEMA, True))
 
 
 def _inferred(spark, sf_dir):
@@ -40,7 +51,10 @@ _SQL = (
 )
 
 QUERIES = {
-    "csv_to_parquet": Query(_converted(False), _SQL),
-    "csv_tolerant": Query(_converted(True), _SQL),
+    "csv_to_parquet": Query(_converted, _SQL),
+    "csv_tolerant": Query(
+        _with_bad_lines,
+        f"{_SQL} WHERE o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0",
+    ),
     "csv_inferred": Query(_inferred, _SQL),
 }
