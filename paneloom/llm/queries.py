@@ -32,6 +32,40 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SHARD_SQL = r"""
+WITH RECURSIVE steps(k, c, j) AS (
+  SELECT k, CAST(k AS BIGINT), 0 FROM range(256) t(k)
+  UNION ALL
+  SELECT k, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, j + 1
+  FROM steps WHERE j < 8
+), crc_table AS (
+  SELECT list(c ORDER BY k) AS entries FROM steps WHERE j = 8
+), docs AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h,
+    octet_length(encode(coalesce(text, ''))) AS n
+  FROM documents
+), sized AS (
+  SELECT doc_id, CAST(n + 1 AS BIGINT) AS size, xor(4294967295, list_reduce(
+      list_transform(range(0, n), lambda i:
+        CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)),
+      lambda c, b: xor(c >> 8, list_extract(entries, CAST(xor(c & 255, b) + 1 AS BIGINT))),
+      CAST(4294967295 AS BIGINT))) AS crc
+  FROM docs, crc_table
+), placed AS (
+  SELECT doc_id, size, crc, CAST(sum(size) OVER () AS BIGINT) AS total,
+    CAST(sum(size) OVER (ORDER BY doc_id, size, crc ROWS UNBOUNDED PRECEDING) AS BIGINT) AS done
+  FROM sized
+), sharded AS (
+  SELECT doc_id, size, crc, CAST((2 * done - size) * 8 // (2 * total) AS INTEGER) AS shard
+  FROM placed
+)
+SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id, size, crc) - 1 AS slot,
+  CAST(NULL AS INTEGER) AS grown_shard
+FROM sharded
+"""
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
@@ -219,7 +253,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_sharding": Query(op1_sharding),
+    "op1_sharding": Query(op1_sharding, SHARD_SQL),
     "op2_toxicity": Query(op2_toxicity),
     "op3_line_dedup": Query(op3_line_dedup, LINE_SQL),
     "op4_decontamination": Query(op4_decontamination, PASSAGE_SQL),
