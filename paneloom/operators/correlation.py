@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paneloom.operators.profile import to_long
-from paneloom.operators.slots import SLOT, approximate_cuts, with_slots
+from paneloom.operators.slots import SLOT, rank_slots
 from paneloom.spec import column_groups, union_all
 
-# Sorted slots of one feature: how many at most, and how many rows each.
+# Sorted slots of one feature: how many come from estimated quantiles, and how many rows
+# each has; beyond that many rows the slots are cut into stripes.
 SLOTS = 1000
 ROWS_PER_SLOT = 200_000
 # Up to this many target values their ranks are broadcast.
@@ -48,7 +49,8 @@ def average_ranks(counts: DataFrame, value: str, slot: str, keep: list[str]) ->
 
     ``counts`` has (feature, slot, value, ..., n). Slots are ordered like the values,
     so a rank is what the earlier slots hold plus the place within the own slot; no
-    task sees more than one slot of one feature.
+    task sees more than one slot of one feature. The slots' offsets (features x slots
+    rows) are joined as Spark sees fit.
     """
     sizes = counts.groupBy("feature", slot).agg(F.sum("n").alias("_size"))
     by_slot = Window.partitionBy("feature").orderBy(slot)
@@ -65,9 +67,8 @@ def average_ranks(counts: DataFrame, value: str, slot: str, keep: list[str]) ->
     ranked = counts.withColumn("_upto", F.sum("n").over(upto)).withColumn(
         "_same", F.sum("n").over(same)
     )
-    # features x slots rows
     return ranked.join(
-        F.broadcast(offsets), (F.col("feature") == F.col("_of")) & (F.col(slot) == F.col("_os"))
+        offsets, (F.col("feature") == F.col("_of")) & (F.col(slot) == F.col("_os"))
     ).select(
         "feature",
         value,
@@ -89,7 +90,7 @@ def spearman_target(
     their average rank, over rows where both are known."""
     y = F.col(target).cast("double")
     narrow = df.select(*(F.col(c).cast("double").alias(c) for c in columns), y.alias("_y"))
-    slotted = with_slots(narrow, approximate_cuts(narrow, [*columns, "_y"], slots, rows_per_slot))
+    slotted = rank_slots(narrow, [*columns, "_y"], slots, rows_per_slot).add_to(narrow)
     entries = [
         F.struct(
             F.lit(i).alias("feature"),
@@ -108,22 +109,37 @@ def spearman_target(
         .groupBy("feature", "x", "xs", "y", "ys")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    of_x = average_ranks(counts, "x", "xs", ["y"]).withColumnRenamed("_rank", "_rx")
     targets = counts.groupBy("feature", "y", "ys").agg(F.sum("n").alias("n"))
     of_y = average_ranks(targets, "y", "ys", []).select(
-        F.col("feature").alias("_fy"), F.col("y").alias("_vy"), F.col("_rank").alias("_ry")
+        F.col("feature").alias("_fy"),
+        F.col("y").alias("_vy"),
+        (F.col("_rank") - (F.col("_total") + 1) / 2).alias("_dy"),
     )
     few = df.select(target).distinct().limit(FEW_TARGETS + 1).count() <= FEW_TARGETS
-    joined = of_x.join(
-        F.broadcast(of_y) if few else of_y,
-        (F.col("feature") == F.col("_fy")) & (F.col("y") == F.col("_vy")),
+    dy = F.col("_dy")
+    # Summed per value before it is ranked: a value with a third of all rows, each with
+    # a target of its own, is one row of a window.
+    by_x = (
+        counts.join(
+            F.broadcast(of_y) if few else of_y,
+            (F.col("feature") == F.col("_fy")) & (F.col("y") == F.col("_vy")),
+        )
+        .groupBy("feature", "x", "xs")
+        .agg(
+            F.sum("n").alias("n"),
+            F.sum(F.col("n") * dy).alias("_sy"),
+            F.sum(F.col("n") * dy * dy).alias("_syy"),
+        )
     )
-    middle = (F.col("_total") + 1) / 2
-    dx, dy = F.col("_rx") - middle, F.col("_ry") - middle
-    sums = joined.groupBy("feature").agg(
-        F.sum(F.col("n") * dx * dy).alias("xy"),
-        F.sum(F.col("n") * dx * dx).alias("xx"),
-        F.sum(F.col("n") * dy * dy).alias("yy"),
+    dx = F.col("_rank") - (F.col("_total") + 1) / 2
+    sums = (
+        average_ranks(by_x, "x", "xs", ["_sy", "_syy"])
+        .groupBy("feature")
+        .agg(
+            F.sum(F.col("_sy") * dx).alias("xy"),
+            F.sum(F.col("n") * dx * dx).alias("xx"),
+            F.sum("_syy").alias("yy"),
+        )
     )
     scores = sums.select(
         F.col("feature").alias("_i"),
@@ -147,7 +163,8 @@ def roc_auc(
         F.col(score).cast("double").alias("x"), F.col(target).cast("long").alias("y")
     ).where("x IS NOT NULL AND y IS NOT NULL")
     counts = (
-        with_slots(narrow, approximate_cuts(narrow, ["x"], slots, rows_per_slot))
+        rank_slots(narrow, ["x"], slots, rows_per_slot)
+        .add_to(narrow)
         .where(F.col(f"{SLOT}x").isNotNull())
         .groupBy(F.lit(0).alias("feature"), "x", F.col(f"{SLOT}x").alias("xs"))
         .agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("positive"))

@@ -1,22 +1,25 @@
 """Exact interpolated quantiles and what is built on them.
 
 Spark's own exact percentile holds all distinct values of a column in one task.
-Here an estimate first gives two values that surely enclose the wanted place;
-then only the values between them are grouped and ordered. The estimate steers
-how many values that are, not the result.
+Here estimates narrow every wanted place down to a bracket of few values, whose rows
+below and inside are counted exactly; only the values inside are grouped and ordered.
+The estimates steer how many values that are, not the result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import math
+from dataclasses import dataclass, replace
 
-from paneloom.spec import column_groups, feature_name, numeric_columns, union_all
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from paneloom.spec import column_groups, numeric_columns, union_all
 
 ACCURACY = 10_000
-# Up to this many values inside a bracket one task orders them; beyond, each bracket
-# is cut into stripes of equal width that are ordered apart.
-MOST_ORDERED = 5_000_000
-STRIPES = 1000
+# Brackets with more rows than this are narrowed, as long as that makes them smaller.
+MOST_ORDERED = 100_000
+# Brackets (columns times shares) of one aggregate.
+BRACKETS_PER_PASS = 400
 
 
 def exact_quantiles(
@@ -28,118 +31,161 @@ def exact_quantiles(
 ) -> DataFrame:
     """(feature, share, value): the interpolated quantile of the known values, null
     for a column without any."""
+    width = max(1, BRACKETS_PER_PASS // max(1, len(shares)))
     return union_all(
         [
             _exact_quantiles(df, group, shares, accuracy, most_ordered)
-            for group in column_groups(columns)
+            for group in column_groups(columns, width)
         ]
     )
 
 
+@dataclass(frozen=True)
+class _Bracket:
+    """Values from ``low`` to ``high`` (None: no border) that hold the wanted places."""
+
+    column: str
+    share: float
+    n: int
+    low: float | None
+    high: float | None
+    below: int
+    inside: int
+
+    @property
+    def place(self) -> float:
+        return self.share * (self.n - 1)
+
+    @property
+    def places(self) -> tuple[int, int]:
+        """The places that are interpolated, from 0."""
+        first = math.floor(self.place)
+        return first, min(first + 1, self.n - 1)
+
+    def holds(self) -> bool:
+        first, second = self.places
+        return self.below <= first and second < self.below + self.inside
+
+    def wanted(self, slack: float) -> tuple[float, float]:
+        """Shares of the rows inside between which the places surely are, if an
+        estimate is off by less than the slack."""
+        first, second = self.places
+        return (
+            max(0.0, (first - self.below) / self.inside - slack),
+            min(1.0, (second + 1 - self.below) / self.inside + slack),
+        )
+
+    def under(self) -> Column:
+        return F.lit(False) if self.low is None else F.col(self.column) < self.low
+
+    def within(self) -> Column:
+        known = F.col(self.column).isNotNull()
+        if self.low is not None:
+            known = known & (F.col(self.column) >= self.low)
+        if self.high is not None:
+            known = known & (F.col(self.column) <= self.high)
+        return known
+
+
+def _narrowed(
+    doubles: DataFrame, brackets: list[_Bracket], accuracy: int, slack: float
+) -> list[_Bracket]:
+    """Every bracket with closer borders, or as it was where the estimate missed."""
+    ends: dict[tuple, list[float]] = {}  # brackets with the same rows share a sketch
+    for b in brackets:
+        ends.setdefault((b.column, b.low, b.high), []).extend(b.wanted(slack))
+    sketches = []
+    for i, (rows, shares) in enumerate(ends.items()):
+        one = next(b for b in brackets if (b.column, b.low, b.high) == rows)
+        value = F.when(one.within(), F.col(one.column))
+        sketches.append(F.percentile_approx(value, shares, accuracy).alias(f"q{i}"))
+    found = doubles.agg(*sketches).first()
+    estimated = {rows: iter(found[f"q{i}"]) for i, rows in enumerate(ends)}
+
+    closer = []
+    for b in brackets:
+        low_share, high_share = b.wanted(slack)
+        low, high = (next(estimated[b.column, b.low, b.high]) for _ in range(2))
+        closer.append(
+            replace(
+                b,
+                low=b.low if low_share == 0.0 else low,
+                high=b.high if high_share == 1.0 else high,
+            )
+        )
+    counts = doubles.agg(
+        *(F.count(F.when(b.under(), 1)).alias(f"b{i}") for i, b in enumerate(closer)),
+        *(F.count(F.when(b.within(), 1)).alias(f"i{i}") for i, b in enumerate(closer)),
+    ).first()
+    tried = [
+        replace(b, below=counts[f"b{i}"], inside=counts[f"i{i}"]) for i, b in enumerate(closer)
+    ]
+    return [new if new.holds() else old for old, new in zip(brackets, tried)]
+
+
+def _brackets(
+    doubles: DataFrame, columns: list[str], shares: list[float], accuracy: int, most_ordered: int
+) -> list[_Bracket]:
+    """Brackets of at most ``most_ordered`` rows, or of values that estimates can't tell
+    apart. Those hold few different values, each with many rows."""
+    sizes = doubles.agg(*(F.count(c).alias(c) for c in columns)).first()
+    done = [
+        _Bracket(c, float(p), sizes[c], None, None, 0, sizes[c]) for c in columns for p in shares
+    ]
+    slack, open_at = 2 / accuracy, [i for i, b in enumerate(done) if b.inside > most_ordered]
+    while open_at and slack < 0.5:
+        before = [done[i] for i in open_at]
+        after = _narrowed(doubles, before, accuracy, slack)
+        for i, b in zip(open_at, after):
+            done[i] = b
+        missed = [i for i, old, new in zip(open_at, before, after) if new is old]
+        shrunk = [
+            i
+            for i, old, new in zip(open_at, before, after)
+            if most_ordered < new.inside <= old.inside / 2 and new.low != new.high
+        ]
+        if missed:
+            slack *= 8
+        open_at = sorted(missed + shrunk)
+    return done
+
+
 def _exact_quantiles(
     df: DataFrame, columns: list[str], shares: list[float], accuracy: int, most_ordered: int
 ) -> DataFrame:
-    spark = df.sparkSession
-    low = [max(0.0, p - 2 / accuracy) for p in shares]
-    high = [min(1.0, p + 2 / accuracy) for p in shares]
     doubles = df.select(*(F.col(c).cast("double").alias(c) for c in columns))
-    about = doubles.agg(
-        *(F.count(c).alias(f"n|{c}") for c in columns),
-        *(F.percentile_approx(c, low + high, accuracy).alias(f"q|{c}") for c in columns),
-    ).first()
-
-    brackets = []
-    for c in columns:
-        n, q = about[f"n|{c}"], about[f"q|{c}"]
-        for i, share in enumerate(shares):
-            # Few values: order them all.
-            wide = n <= 4 * accuracy
-            lo = None if wide or low[i] == 0.0 else q[i]
-            hi = None if wide or high[i] == 1.0 else q[len(shares) + i]
-            low_end, high_end = (q[i], q[len(shares) + i]) if q else (None, None)
-            brackets.append(
-                (len(brackets), columns.index(c), float(share), n, lo, hi, low_end, high_end)
-            )
-    bracket = spark.createDataFrame(
-        brackets,
-        "i int, feature int, share double, n long, lo double, hi double, "
-        "low_end double, high_end double",
-    )
-    largest = max((about[f"n|{c}"] for c in columns), default=0)
-    striped = largest * 4 / accuracy > most_ordered
-
-    values = doubles.select(
-        F.inline(
-            F.array(
-                *(
-                    F.struct(F.lit(f).alias("feature"), F.col(c).alias("value"))
-                    for f, c in enumerate(columns)
-                )
-            )
-        )
-    ).where("value IS NOT NULL")
-    # Values below the bracket only count; they share the group with no value.
+    brackets = _brackets(doubles, columns, shares, accuracy, most_ordered)
+    entries = [
+        F.struct(F.lit(i).alias("i"), F.when(b.within(), F.col(b.column)).alias("v"))
+        for i, b in enumerate(brackets)
+    ]
+    # Only values inside a bracket become rows.
     counted = (
-        values.join(F.broadcast(bracket), "feature")
-        .where(F.col("hi").isNull() | (F.col("value") <= F.col("hi")))
-        .groupBy(
-            "i",
-            F.when(F.col("lo").isNull() | (F.col("value") >= F.col("lo")), F.col("value")).alias("v"),
-        )
+        doubles.select(F.inline(F.filter(F.array(*entries), lambda e: e["v"].isNotNull())))
+        .groupBy("i", "v")
         .agg(F.count(F.lit(1)).alias("k"))
     )
-    ends = bracket.select("i", "share", "n", "low_end", "high_end")
-    placed = counted.join(F.broadcast(ends), "i")
-    placed = _running_striped(placed) if striped else _running(placed)
-    place = F.col("share") * (F.col("n") - 1)
-    first = F.floor(place)
-    second = F.least(first + 1, F.col("n") - 1)
-
-    def at(where):
-        inside = (F.col("upto") - F.col("k") <= where) & (where < F.col("upto"))
+    table = df.sparkSession.createDataFrame(
+        [
+            (i, b.column, b.share, b.below, *b.places, b.place - b.places[0])
+            for i, b in enumerate(brackets)
+        ],
+        "i int, feature string, share double, below long, first long, second long, rest double",
+    )
+    placed = counted.join(F.broadcast(table.select("i", "below", "first", "second", "rest")), "i")
+    upto = F.sum("k").over(Window.partitionBy("i").orderBy("v")) + F.col("below")
+
+    def at(where: str) -> Column:
+        inside = (F.col("upto") - F.col("k") <= F.col(where)) & (F.col(where) < F.col("upto"))
         return F.max(F.when(inside, F.col("v")))
 
     found = (
-        placed.withColumn("_rest", place - first)
+        placed.withColumn("upto", upto)
         .groupBy("i")
-        .agg(at(first).alias("a"), at(second).alias("b"), F.first("_rest").alias("rest"))
+        .agg(at("first").alias("a"), at("second").alias("b"), F.first("rest").alias("rest"))
         .select("i", (F.col("a") + (F.col("b") - F.col("a")) * F.col("rest")).alias("value"))
     )
-    missed = (F.col("n") > 0) & F.col("value").isNull()
-    checked = F.when(
-        missed, F.raise_error(F.lit("the estimate missed a quantile; raise its accuracy"))
-    ).otherwise(F.col("value"))
-    return bracket.join(F.broadcast(found), "i", "left").select(
-        feature_name(columns), "share", checked.alias("value")
-    )
-
-
-def _running(placed: DataFrame) -> DataFrame:
-    """Adds how many values are at or below each one."""
-    upto = Window.partitionBy("i").orderBy(F.col("v").asc_nulls_first())
-    return placed.withColumn("upto", F.sum("k").over(upto))
-
-
-def _running_striped(placed: DataFrame) -> DataFrame:
-    """The same in two steps: within a stripe of the bracket, and over the stripes."""
-    width = (F.col("high_end") - F.col("low_end")) / STRIPES
-    stripe = F.floor(F.try_divide(F.col("v") - F.col("low_end"), width))
-    inside = F.greatest(F.lit(0), F.least(F.coalesce(stripe, F.lit(0)), F.lit(STRIPES - 1)))
-    cut = placed.withColumn("_s", F.when(F.col("v").isNull(), -1).otherwise(inside).cast("int"))
-    sizes = cut.groupBy("i", "_s").agg(F.sum("k").alias("_size"))
-    over = Window.partitionBy("i").orderBy("_s")
-    offsets = sizes.select(
-        F.col("i").alias("_i"),
-        F.col("_s").alias("_t"),
-        (F.sum("_size").over(over) - F.col("_size")).alias("_offset"),
-    )
-    within = Window.partitionBy("i", "_s").orderBy(F.col("v").asc_nulls_first())
-    return (
-        cut.withColumn("_upto", F.sum("k").over(within))
-        .join(F.broadcast(offsets), (F.col("i") == F.col("_i")) & (F.col("_s") == F.col("_t")))
-        .withColumn("upto", F.col("_upto") + F.col("_offset"))
-        .drop("_i", "_t", "_s", "_upto", "_offset")
-    )
+    return table.join(F.broadcast(found), "i", "left").select("feature", "share", "value")
 
 
 def medians(df: DataFrame, columns: list[str] | None = None) -> dict[str, float | None]:
