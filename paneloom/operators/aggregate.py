@@ -27,6 +27,7 @@ from paneloom.spec import CHANGED_SUFFIX, DIFF_SUFFIX, PanelSpec, require_column
 # Added to a mean before dividing by it (fixed value).
 RATIO_OFFSET = 1e-5
 
+# Endings of the output columns.
 CATEGORY_SUFFIXES = ("_first", "_last", "_nunique", "_count")
 FLAG_SUFFIXES = ("_total_changes", "_change_frequency", "_changed_recently")
 NUMBER_SUFFIXES = (

@@ -224,7 +224,7 @@ def estimates(df: DataFrame, columns: list[str], distinct_of: list[str] = ()) ->
 
 
 def dominant_value(
-    df: DataFrame, columns: list[str], about: Estimates | None = None
+    df: DataFrame, columns: list[str], about: Estimates | None = None, exact: bool = False
 ) -> DataFrame:
     """(feature, n_rows, n_null, n_top) without a shuffle of the numbers.
 
@@ -232,11 +232,12 @@ def dominant_value(
     value holds more than 60 % of the known rows, which is what constancy filters
     ask; below that it is a lower bound. Such a value must be the approximate
     median, so one pass finds the candidate of each number and a second pass counts
-    it. Text has no median; its columns are counted value by value.
+    it. Text has no median; its columns are counted value by value, and with ``exact``
+    those of numbers too.
     """
     about = estimates(df, columns) if about is None else about
-    numbers = [c for c in columns if c in about.median]
-    others = [c for c in columns if c not in about.median]
+    numbers = [] if exact else [c for c in columns if c in about.median]
+    others = [c for c in columns if c not in numbers]
 
     types = {f.name: f.dataType for f in df.schema}
 

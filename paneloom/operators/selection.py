@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
 
+from paneloom.functions import slot_in
 from paneloom.operators.profile import Estimates, dominant_value, estimates, value_profile
 
 # Thresholds of the two screening runs and the texts of the report.
@@ -25,6 +26,8 @@ REPORT_COLUMNS = ("Feature", "Motivo")
 
 # An estimate of distinct values below this share of the rows rules out an ID.
 _MAYBE_ID_SHARE = 0.8
+# One of so many slices of the values is looked at before a column is counted whole.
+ID_SLICE = 1000
 
 
 def feature_table(spark: SparkSession, names: list[str]) -> DataFrame:
@@ -35,12 +38,6 @@ def feature_table(spark: SparkSession, names: list[str]) -> DataFrame:
 # --- static filters ----------------------------------------------------------
 
 
-def _require_dominance(share: float) -> None:
-    """`dominant_value` counts a column's most frequent value only where it fills more."""
-    if share < DOMINANT_FROM:
-        raise ValueError(f"shares below {DOMINANT_FROM} are not supported")
-
-
 def static_filter(
     df: DataFrame,
     keep_first: list[str],
@@ -49,10 +46,9 @@ def static_filter(
 ) -> DataFrame:
     """(position, feature) of the columns that are neither empty nor constant but for
     a thousandth of the rows. ``keep_first`` columns always stay and lead."""
-    _require_dominance(stable_share)
     others = [c for c in df.columns if c not in keep_first]
     n = F.col("n_rows")
-    dropped = dominant_value(df, others).where(
+    dropped = dominant_value(df, others, exact=stable_share < DOMINANT_FROM).where(
         (F.col("n_null") / n > empty_share) | (F.col("n_top") / n > stable_share)
     )
     listed = feature_table(df.sparkSession, [*keep_first, *others])
@@ -75,7 +71,6 @@ def removal_report(
     ``ids_are_whole_or_text`` exempts fractional numbers from the first rule, which
     otherwise takes any continuous column for an ID.
     """
-    _require_dominance(quasi_constant_share)
     spark = df.sparkSession
     may_be_id = [
         c
@@ -84,7 +79,7 @@ def removal_report(
         or isinstance(df.schema[c].dataType, (T.IntegralType, T.StringType))
     ]
     about = estimates(df, columns, distinct_of=may_be_id)
-    facts = dominant_value(df, columns, about).join(
+    facts = dominant_value(df, columns, about, quasi_constant_share < DOMINANT_FROM).join(
         F.broadcast(feature_table(spark, columns)), "feature"
     )
     ids = _id_columns(df, may_be_id, about)
@@ -116,12 +111,49 @@ def _id_columns(df: DataFrame, columns: list[str], about: Estimates) -> list[str
         if 0 < about.n_rows == about.known[c]
         and about.distinct[c] >= _MAYBE_ID_SHARE * about.n_rows
     ]
+    repeating = _repeating(df, maybe)
+    maybe = [c for c in maybe if c not in repeating]
     if not maybe:
         return []
     exact = value_profile(df, maybe).where(F.col("n_unique") == F.col("n_rows"))
     return [row["feature"] for row in exact.select("feature").collect()]
 
 
+def _repeating(df: DataFrame, columns: list[str]) -> set[str]:
+    """Columns with a repeated value in a slice of their values, cut by hash: most
+    columns that are no IDs show here, and only the slice is shuffled."""
+    if not columns:
+        return set()
+    hashes = [
+        F.struct(F.lit(i).alias("feature"), F.xxhash64(F.lit(i), c).alias("h"))
+        for i, c in enumerate(columns)
+    ]
+    slice_of = df.select(
+        F.inline(F.filter(F.array(*hashes), lambda e: F.pmod(e["h"], F.lit(ID_SLICE)) == 0))
+    )
+    # 64-bit hashes only suggest a repetition; the values themselves are counted.
+    suspects = [
+        columns[r["feature"]]
+        for r in slice_of.groupBy("feature", "h")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where("n > 1")
+        .select("feature")
+        .distinct()
+        .collect()
+    ]
+    found = set()
+    for c in suspects:
+        same = (
+            df.where(F.pmod(F.xxhash64(F.lit(columns.index(c)), c), F.lit(ID_SLICE)) == 0)
+            .groupBy(c)
+            .agg(F.count(F.lit(1)).alias("n"))
+            .where("n > 1")
+        )
+        if not same.isEmpty():
+            found.add(c)
+    return found
+
+
 def report_rows(removals: DataFrame) -> DataFrame:
     """The removal report as it is written: feature and reason, ordered by rule."""
     feature, reason = REPORT_COLUMNS
@@ -257,14 +289,29 @@ def class_weights(df: DataFrame, target: str) -> DataFrame:
 
 # Up to this many levels the codes of a category are broadcast.
 FEW_LEVELS = 10_000
+# Into so many ranges the levels are dealt to be numbered.
+LEVEL_RANGES = 500
 
 
 def category_codes(df: DataFrame, column: str) -> DataFrame:
     """(level, code): the levels as text, numbered in sorted order; a missing value is
-    a level of its own, spelled "None". The window sees one row per level."""
+    a level of its own, spelled "None". Levels are numbered within ranges between borders
+    taken from them, and the sizes of the ranges before are added."""
     levels = df.select(_level(column).alias("level")).distinct()
-    order = Window.partitionBy(F.lit(0)).orderBy("level")
-    return levels.withColumn("code", F.row_number().over(order) - 1)
+    drawn = levels.orderBy(F.xxhash64("level"), "level").limit(LEVEL_RANGES - 1).collect()
+    borders = F.array(*(F.lit(b) for b in sorted(r["level"] for r in drawn)))
+    borders = borders.cast("array<string>")
+    ranged = levels.withColumn("_range", slot_in(F.col("level"), borders, LEVEL_RANGES))
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    # One row per range.
+    before = F.sum("_size").over(Window.partitionBy(F.lit(0)).orderBy("_range")) - F.col("_size")
+    offsets = sizes.select(F.col("_range").alias("_of"), before.alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("level"))
+    return (
+        ranged.withColumn("_place", place)
+        .join(F.broadcast(offsets), F.col("_range") == F.col("_of"))
+        .select("level", (F.col("_before") + F.col("_place") - 1).cast("long").alias("code"))
+    )
 
 
 def with_category_code(df: DataFrame, column: str, out: str) -> DataFrame:

@@ -19,6 +19,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paneloom.functions import hash_rank_key
+from paneloom.session import saved
 
 # Four hex digits: 65,536 buckets per class.
 BUCKET_DIGITS = 4
@@ -102,7 +103,8 @@ def mark_part(
         or df.select(class_col).distinct().limit(MAX_CLASSES + 1).count() <= MAX_CLASSES
     )
     sent = F.broadcast if few else lambda table: table
-    cuts = class_cuts(df, id_cols, class_col, wanted, seed, sent)
+    # One row per class, computed once for all that read a part of the table.
+    cuts = saved(class_cuts(df, id_cols, class_col, wanted, seed, sent))
     placed = df.join(
         sent(cuts), _class_column(class_col).eqNullSafe(F.col("_quota_class")), "left"
     )

@@ -2,18 +2,20 @@
 
 Spark ML grows trees level by level and knows neither missing values nor
 category names, so numbers are filled with their median next to a flag for
-missing, and categories become codes with missing as a level of its own.
+missing, and categories become codes with missing as a level of its own. A category
+of more levels than a feature has bins is hashed into as many groups of levels.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import types as T
 
 from paneloom.functions import missing_level
 from paneloom.operators.profile import null_share
@@ -27,11 +29,6 @@ from paneloom.spec import PanelSpec
 CATEGORY_ENDINGS = ("_last", "_first")
 TOP_FEATURES = 400
 
-# Codes of a category are held by the driver and by every split; more levels than
-# this are no category.
-MAX_LEVELS = 10_000
-
-
 @dataclass(frozen=True)
 class TreeSettings:
     """Depth stands for the number of leaves (about two to the depth)."""
@@ -71,6 +68,7 @@ class Encoding:
     fill: dict[str, float]
     flagged: list[str]
     indexer: StringIndexerModel | None
+    hashed: dict[str, int] = field(default_factory=dict)  # groups of levels by category
 
     @property
     def categories(self) -> list[str]:
@@ -96,7 +94,7 @@ class Encoding:
                 F.coalesce(F.col(c).cast("double"), F.lit(self.fill[c])).alias(f"_n_{c}")
                 for c in numbers
             ),
-            *(missing_level(F.col(c)).alias(f"_t_{c}") for c in self.categories),
+            *(_level(c, self.hashed).alias(f"_t_{c}") for c in self.categories),
             *(F.col(c).isNull().cast("double").alias(f"_m_{c}") for c in self.flagged),
         )
         if self.indexer is not None:
@@ -108,16 +106,25 @@ class Encoding:
         return assembler.transform(flat).select(*keep, "_vector")
 
 
-def learn_encoding(train: DataFrame, features: list[str], categories: list[str]) -> Encoding:
+def _level(column: str, hashed: dict[str, int]) -> Column:
+    level = missing_level(F.col(column))
+    if column not in hashed:
+        return level
+    return F.pmod(F.xxhash64(level), F.lit(hashed[column])).cast("string")
+
+
+def learn_encoding(
+    train: DataFrame, features: list[str], categories: list[str], bins: int = MAIN.bins
+) -> Encoding:
     categories = [c for c in features if c in set(categories)]
     numbers = [c for c in features if c not in set(categories)]
     middles = medians(train, numbers)
     shares = null_share(train, numbers).where("null_share > 0 AND null_share < 1") if numbers else None
     holed = {r["feature"] for r in shares.select("feature").collect()} if numbers else set()
-    indexer = None
+    indexer, hashed = None, {}
     if categories:
-        _require_few_levels(train, categories)
-        texts = train.select(*(missing_level(F.col(c)).alias(f"_t_{c}") for c in categories))
+        hashed = _hashed_categories(train, categories, bins)
+        texts = train.select(*(_level(c, hashed).alias(f"_t_{c}") for c in categories))
         indexer = StringIndexer(
             inputCols=[f"_t_{c}" for c in categories],
             outputCols=[f"_c_{c}" for c in categories],
@@ -129,14 +136,20 @@ def learn_encoding(train: DataFrame, features: list[str], categories: list[str])
         fill={c: (0.0 if middles[c] is None else middles[c]) for c in numbers},
         flagged=[c for c in numbers if c in holed],
         indexer=indexer,
+        hashed=hashed,
     )
 
 
-def _require_few_levels(df: DataFrame, categories: list[str]) -> None:
+def _hashed_categories(df: DataFrame, categories: list[str], bins: int) -> dict[str, int]:
+    """Categories with more levels than bins, where one bin is left for unknown levels.
+    The driver reads at most ``bins`` levels of a category."""
     about = df.agg(*(F.approx_count_distinct(c).alias(c) for c in categories)).first()
-    many = [c for c in categories if about[c] > MAX_LEVELS]
-    if many:
-        raise ValueError(f"more than {MAX_LEVELS} levels: {many}")
+    many = {c for c in categories if about[c] > 2 * bins}
+    for c in sorted(set(categories) - many):
+        level = missing_level(F.col(c)).alias("level")
+        if df.select(level).distinct().limit(bins).count() >= bins:
+            many.add(c)
+    return {c: bins - 1 for c in categories if c in many}
 
 
 @dataclass(frozen=True)
@@ -172,7 +185,7 @@ def fit_trees(
     With ``valid`` the model keeps the rounds up to the lowest loss on that part, and
     boosting ends ``patience`` rounds after it.
     """
-    encoding = learn_encoding(train, features, categories)
+    encoding = learn_encoding(train, features, categories, settings.bins)
     rows = encoding.apply(train.where(F.col(target).isNotNull()), [target])
     rows = rows.withColumn("_held", F.lit(False))
     if valid is not None and task != "multiclass":
@@ -249,11 +262,16 @@ def tree_nodes(spark: SparkSession, trees: TreeModel) -> DataFrame:
     ).otherwise(F.get(f"{node}.impurityStats", F.lit(0)))
     nodes = spark.read.parquet(f"{path}/data")
     weights = spark.read.parquet(f"{path}/treesMetadata")
+    # The saved form is Spark's own, and one version names its columns by place.
     tree_id, _, tree_weight = weights.columns
-    return nodes.join(
-        F.broadcast(weights.select(F.col(tree_id).alias("treeID"), F.col(tree_weight).alias("weight"))),
-        "treeID",
-    ).select(
+    weights = weights.select(F.col(tree_id).alias("treeID"), F.col(tree_weight).alias("weight"))
+    kinds = weights.schema
+    if not (
+        isinstance(kinds["treeID"].dataType, T.IntegralType)
+        and isinstance(kinds["weight"].dataType, T.DoubleType)
+    ):
+        raise ValueError(f"unknown layout of saved trees: {kinds.simpleString()}")
+    return nodes.join(F.broadcast(weights), "treeID").select(
         F.col("treeID").alias("tree"),
         F.col(f"{node}.id").alias("node"),
         "weight",

@@ -22,6 +22,7 @@ from paneloom.operators.profile import task_type
 from paneloom.operators.quantiles import fill_with_median, keep_from_percentile
 from paneloom.operators.split import sample_rows, sized_split
 from paneloom.operators.trees import SCREENING, TreeSettings, fit_trees, gain_importance
+from paneloom.session import saved
 from paneloom.sources.files import read_parquet
 from paneloom.sources.reports import (
     attribution_report,
@@ -78,7 +79,7 @@ def run(
     columns = [c for c in rows.columns if c != spec.target]
     every = sel.feature_table(spark, columns)
 
-    removals = sel.removal_report(rows, columns, missing_share=MISSING_ABOVE)
+    removals = saved(sel.removal_report(rows, columns, missing_share=MISSING_ABOVE))
     write_csv_report(sel.report_rows(removals), f"{out}/removed_features")
     cleaned = sel.without(every, removals)
     clean_names = [r["feature"] for r in cleaned.orderBy("position").collect()]
@@ -89,15 +90,15 @@ def run(
     filled = store(
         fill_with_median(rows.select(*id_cols, *numbers, spec.target), numbers), f"{out}/filled"
     )
-    pearson = pearson_target(filled, numbers, spec.target)
+    pearson = saved(pearson_target(filled, numbers, spec.target))
     spearman = spearman_target(filled, numbers, spec.target)
     redundant = redundant_features(correlation_pairs(filled, numbers), pearson, REDUNDANT_ABOVE)
     dropped = set(_names(redundant))
     unique = [c for c in numbers if c not in dropped]
 
     task = task_type(filled, spec.target).first()["task"]
-    information = mutual_information(
-        filled, unique, spec.target, target_is_class=task != "regression"
+    information = saved(
+        mutual_information(filled, unique, spec.target, target_is_class=task != "regression")
     )
     informative = keep_from_percentile(information, "score", INFORMATION_FROM)
     informed = set(_names(informative))
@@ -106,7 +107,7 @@ def run(
     stratify = None if task == "regression" else spec.target
     train, valid = sized_split(filled, id_cols, stratify, 0.2, seed)
     model = fit_trees(train, features, [], spec.target, settings, task, valid)
-    importance = sel.normalised(gain_importance(spark, model))
+    importance = saved(sel.normalised(gain_importance(spark, model)))
     write_csv_report(importance_report(importance), f"{out}/importance")
     kept = keep_from_percentile(importance, "score", IMPORTANCE_FROM)
     selected = [
@@ -121,7 +122,7 @@ def run(
     rows_to_explain = (
         valid if explained_rows is None else sample_rows(valid, id_cols, explained_rows, seed)
     )
-    explained = attribution(rows_to_explain, model)
+    explained = saved(attribution(rows_to_explain, model))
     write_csv_report(attribution_report(explained), f"{out}/attribution")
 
     funnel = sel.funnel(

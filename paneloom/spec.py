@@ -19,6 +19,7 @@ CATEGORICALS = (
     "D_126", "D_63", "D_64", "D_66", "D_68",
 )
 
+# Endings of the look-back columns.
 DIFF_SUFFIX = "_diff1"
 CHANGED_SUFFIX = "_changed"
 

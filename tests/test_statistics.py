@@ -260,3 +260,37 @@ def test_class_weights_and_codes(spark):
     assert sorted((r["y"], r["k"] or "", r["c"]) for r in coded.collect()) == [
         (0, "", 0), (0, "a", 1), (0, "b", 2), (1, "b", 2)
     ]
+
+
+def test_codes_of_many_levels_are_gapless_and_sorted(spark):
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 10 != 0, F.md5(F.col("id").cast("string"))).alias("k")
+    ).union(spark.createDataFrame([("\u00e9",), ("\U0001f600",), ("",), ("None",)], "k string"))
+    rows = sel.category_codes(df, "k").collect()
+    want = sorted({r["k"] if r["k"] is not None else "None" for r in df.collect()})
+    assert [r["level"] for r in sorted(rows, key=lambda r: r["code"])] == want
+    assert sorted(r["code"] for r in rows) == list(range(len(want)))
+    assert sel.category_codes(df.limit(0), "k").count() == 0
+
+
+def test_shares_below_the_median_rule_are_counted_exactly(spark):
+    """The most frequent value has 40 % of the rows and isn't the median."""
+    df = spark.range(100).select(
+        F.when(F.col("id") < 40, 0.0).otherwise(F.col("id").cast("double")).alias("x"),
+        (F.col("id") % 10).alias("z"),
+    )
+    kept = sel.static_filter(df, [], stable_share=0.35).collect()
+    assert [r["feature"] for r in kept] == ["z"]
+    report = sel.removal_report(df, ["x", "z"], quasi_constant_share=0.35).collect()
+    assert [r["feature"] for r in report] == ["x"]
+
+
+def test_a_rare_repetition_is_no_id(spark):
+    df = spark.range(5000).select(
+        "id",
+        F.when(F.col("id") == 1, 0).otherwise(F.col("id")).alias("once"),
+        F.floor(F.col("id") * 0.9).alias("often"),
+    )
+    report = sel.removal_report(df, df.columns).collect()
+    assert [(r["feature"], r["reason"]) for r in report] == [("id", sel.REASON_ID)]
+    assert sel._repeating(df, ["id"]) == set() and sel._repeating(df, ["often"]) <= {"often"}

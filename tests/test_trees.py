@@ -19,6 +19,7 @@ from paneloom.operators.trees import (
     category_features,
     fit_trees,
     gain_importance,
+    learn_encoding,
     quick,
     tree_nodes,
 )
@@ -154,7 +155,20 @@ def test_category_features_by_name():
     assert len(found) == 22 and "P_2_last" not in found
 
 
-def test_unbounded_categories_are_refused(spark):
-    df = spark.range(20_000).select(F.col("id").cast("string").alias("k"), (F.col("id") % 2).alias("y"))
-    with pytest.raises(ValueError, match="levels"):
-        fit_trees(df, ["k"], ["k"], "y", quick(MAIN, 1, 1))
+def test_a_category_of_many_levels_is_hashed(spark):
+    k = F.col("id") % 5000
+    df = spark.range(20_000).select(
+        k.cast("string").alias("k"), (k % 7 == 0).cast("int").alias("y"), F.rand(1).alias("x")
+    )
+    model = fit_trees(df, ["k", "x"], ["k"], "y", quick(MAIN, 2, 3))
+    assert model.encoding.hashed == {"k": MAIN.bins - 1}
+    assert model.encoding.most_levels <= MAIN.bins
+    unseen = spark.createDataFrame([("new", 0.5), (None, None)], "k string, x double")
+    assert model.scored(unseen, ["k"]).where("score IS NULL").count() == 0
+
+
+@pytest.mark.parametrize("levels, hashed", [(62, {}), (63, {}), (64, {"k": 63}), (200, {"k": 63})])
+def test_levels_on_both_sides_of_the_bins(spark, levels, hashed):
+    df = spark.range(600).select((F.col("id") % levels).cast("string").alias("k"))
+    encoding = learn_encoding(df, ["k"], ["k"])
+    assert encoding.hashed == hashed and encoding.most_levels <= MAIN.bins
