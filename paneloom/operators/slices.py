@@ -28,11 +28,18 @@ _HOT = "_hot_key"
 SLICE, LAST_SLICE, HALO = "_slice", "_last_slice", "_halo"
 
 
+# Cuts a row is compared with at a time; the number of joins grows with its logarithm.
+FAN = 16
+
+
 @dataclass(frozen=True)
 class HotCustomers:
-    """``table``: key, sorted cut positions and where each slice's extra rows begin."""
+    """``table``: key and number of cuts. ``cuts``: key, number of the cut from 1, its
+    position, and where the extra rows of the slice after it begin."""
 
     table: DataFrame
+    cuts: DataFrame
+    most_cuts: int
 
     def _match(self, df: DataFrame, spec: PanelSpec):
         return df[spec.key].eqNullSafe(self.table[_HOT])
@@ -46,25 +53,59 @@ class HotCustomers:
         keys = F.broadcast(self.table.select(_HOT))
         return df.join(keys, df[spec.key].eqNullSafe(keys[_HOT]), "left_semi")
 
+    def _cuts_of_step(self, step: int) -> DataFrame:
+        """Every ``step``-th cut but for those of the next larger step, as (_key, _node,
+        _cuts): the node counts the cuts of the larger step before it."""
+        number, larger = F.col("_number"), step * FAN
+        chosen = self.cuts.where((number % step == 0) & (number % larger != 0))
+        return (
+            chosen.groupBy(
+                F.col("_cut_key").alias("_key"), F.floor(number / larger).cast("int").alias("_node")
+            ).agg(F.array_sort(F.collect_list("_at")).alias("_cuts"))
+        )
+
     def sliced(self, df: DataFrame, spec: PanelSpec) -> DataFrame:
         """Rows of the hot customers with their slice; border rows come twice,
-        the second time marked as halo."""
-        hot = F.broadcast(self.table)
+        the second time marked as halo.
+
+        A row's slice is found from coarse to fine, so that it meets at most
+        ``FAN`` cuts at a time however many its customer has.
+        """
         here = spec.position_tuple()
-        joined = df.join(hot, self._match(df, spec)).withColumn(
-            "_own", slot_in(here, F.col("_cuts"), MAX_CUTS)
+        found = df.join(F.broadcast(self.table), self._match(df, spec)).withColumn(
+            "_own", F.lit(0)
         )
-        border = (F.col("_own") < F.size("_cuts")) & (here >= F.get("_starts", F.col("_own")))
+
+        def met(part: DataFrame):
+            return found[_HOT].eqNullSafe(part["_key"]) & (found["_own"] == part["_node"])
+
+        steps = 0
+        while FAN**steps <= self.most_cuts:
+            steps += 1
+        for step in reversed(range(steps)):
+            cuts = F.broadcast(self._cuts_of_step(FAN**step))
+            finer = F.col("_own") * FAN + slot_in(here, F.col("_cuts"), FAN)
+            found = found.join(cuts, met(cuts), "left").withColumn("_own", finer)
+            found = found.drop("_key", "_node", "_cuts")
+        starts = F.broadcast(
+            self.cuts.select(
+                F.col("_cut_key").alias("_key"),
+                (F.col("_number") - 1).cast("int").alias("_node"),
+                "_start",
+            )
+        )
+        found = found.join(starts, met(starts), "left")
+        border = F.coalesce(here >= F.col("_start"), F.lit(False))
         return (
-            joined.withColumn(
+            found.withColumn(
                 SLICE,
                 F.explode(
                     F.when(border, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))
                 ),
             )
             .withColumn(HALO, F.col(SLICE) != F.col("_own"))
-            .withColumn(LAST_SLICE, F.size("_cuts"))
-            .drop(_HOT, "_own", "_cuts", "_starts")
+            .withColumn(LAST_SLICE, F.col("_n_cuts"))
+            .drop(_HOT, "_own", "_n_cuts", "_key", "_node", "_start")
         )
 
 
@@ -109,24 +150,22 @@ def hot_customers(
         F.count(F.lit(1)).over(Window.partitionBy(_HOT)).alias("_m"),
     )
     step = F.greatest(F.lit(3), F.ceil(F.col("_m") / F.col("_slices")).cast("long"))
+    shared_folder(df.sparkSession)
     cuts = (
         marks.where((F.col("_slices") > 1) & (F.col("_r") % step == 0))
-        .groupBy(_HOT)
-        .agg(F.array_sort(F.collect_list(F.struct("_at", "_start"))).alias("_c"))
         .select(
             F.col(_HOT).alias("_cut_key"),
-            F.col("_c._at").alias("_cuts"),
-            F.col("_c._start").alias("_starts"),
+            F.floor(F.col("_r") / step).alias("_number"),
+            "_at",
+            "_start",
         )
+        .checkpoint()
     )
+    counts = cuts.groupBy("_cut_key").agg(F.count(F.lit(1)).cast("int").alias("_found"))
     # Every large key stays, with no cuts where its rows share one position.
-    none = F.array().cast(cuts.schema["_cuts"].dataType)
-    table = large.join(
-        F.broadcast(cuts), large[_HOT].eqNullSafe(cuts["_cut_key"]), "left"
-    ).select(
-        _HOT,
-        F.coalesce("_cuts", none).alias("_cuts"),
-        F.coalesce("_starts", none).alias("_starts"),
+    table = (
+        large.join(F.broadcast(counts), large[_HOT].eqNullSafe(counts["_cut_key"]), "left")
+        .select(_HOT, F.coalesce("_found", F.lit(0)).alias("_n_cuts"))
+        .checkpoint()
     )
-    shared_folder(df.sparkSession)
-    return HotCustomers(table.checkpoint())
+    return HotCustomers(table, cuts, table.agg(F.max("_n_cuts")).first()[0])

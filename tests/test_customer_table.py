@@ -1,6 +1,7 @@
 """Temporal features and the customer table against plain Python, also when
 customers are cut into slices."""
 
+import bisect
 import random
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 import brute
 from paneloom import PanelSpec
 from paneloom.operators.aggregate import customer_table, output_columns
-from paneloom.operators.slices import hot_customers
+from paneloom.operators.slices import FAN, hot_customers
 from paneloom.operators.temporal import temporal_table
 
 SPEC = PanelSpec(key="who", order="day", tie=("seq",), categoricals=("kind", "code"))
@@ -75,7 +76,7 @@ def test_large_customer_is_cut_into_slices(spark, max_rows):
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
     hot = hot_customers(df, SPEC, max_rows)
     if max_rows < 600:
-        cuts = {r[0]: len(r[1]) for r in hot.table.collect()}
+        cuts = {r[0]: r[1] for r in hot.table.collect()}
         assert cuts["big"] >= 1
         assert cuts["big"] <= 700 // max_rows
     check(customer_table(df, SPEC, max_rows), rows)
@@ -108,6 +109,26 @@ def test_slices_are_near_the_wanted_size(spark):
     assert len(sizes) >= 10 and max(sizes) < 3000
 
 
+@pytest.mark.parametrize("max_rows, levels", [(500, 2), (30, 3)])
+def test_every_cut_is_found_from_coarse_to_fine(spark, max_rows, levels):
+    """A row's slice is the number of cuts at or before it, whatever the number of levels."""
+    df = spark.range(20_000).select(
+        F.when(F.col("id") % 4 != 0, "k").alias("who"), F.lit(1).alias("day"),
+        F.col("id").alias("seq"),
+    )
+    hot = hot_customers(df, SPEC, max_rows)
+    assert FAN ** (levels - 1) <= hot.most_cuts < FAN**levels
+    cuts = {}
+    for r in hot.cuts.collect():
+        cuts.setdefault(r["_cut_key"], []).append(r["_at"]["v1"])
+    rows = hot.sliced(df, SPEC).where("NOT _halo").collect()
+    assert len(rows) == 20_000
+    for key in cuts:
+        cuts[key].sort()
+    for r in rows:
+        assert r["_slice"] == bisect.bisect_right(cuts[r["who"]], r["seq"])
+
+
 def test_widths(spark):
     """190 columns become 378 and then 3,264; with the target 3,265."""
     numbers = [f"x{i}" for i in range(177)]
