@@ -189,43 +189,73 @@ _PAIR_SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
 _PAIR_SCHEMA = "i int, j int, " + ", ".join(f"{c} double" for c in _PAIR_SUMS)
 
 
-def _pair_sums(means: np.ndarray):
-    """Sums over one task's rows for every pair of columns, by matrix products."""
+# Columns whose pairs one task sums up at a time; a task then gives out at most the
+# square of this many rows, whatever the width of the table.
+PAIR_BLOCK = 256
+
+
+def _pair_sums(means: np.ndarray, first: range, second: range):
+    """Sums over one task's rows for every pair of a column of the first range and one of
+    the second, by matrix products. The ranges are equal or apart."""
+    same = first == second
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = len(means)
-        n, sx, sxx, sxy = (np.zeros((width, width)) for _ in range(4))
+        shape = (len(first), len(second))
+        n, sx, sy, sxx, syy, sxy = (np.zeros(shape) for _ in _PAIR_SUMS)
+        rows = 0
         for batch in batches:
+            rows += batch.num_rows
             x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
             x = x.astype(float) - means
             known = ~np.isnan(x)
             x[~known] = 0.0
             known = known.astype(float)
-            n += known.T @ known
-            sx += x.T @ known
-            sxx += (x * x).T @ known
-            sxy += x.T @ x
-        if not n.any():
+            a, known_a = x[:, : len(first)], known[:, : len(first)]
+            b, known_b = (a, known_a) if same else (x[:, len(first) :], known[:, len(first) :])
+            n += known_a.T @ known_b
+            sx += a.T @ known_b
+            sy += known_a.T @ b
+            sxx += (a * a).T @ known_b
+            syy += known_a.T @ (b * b)
+            sxy += a.T @ b
+        if not rows:
             return
-        i, j = np.triu_indices(width, 1)
-        sums = [n[i, j], sx[i, j], sx[j, i], sxx[i, j], sxx[j, i], sxy[i, j]]
-        arrays = [pa.array(i.astype("int32")), pa.array(j.astype("int32")), *map(pa.array, sums)]
-        yield pa.RecordBatch.from_arrays(arrays, names=["i", "j", *_PAIR_SUMS])
+        i, j = np.triu_indices(len(first), 1) if same else map(np.ravel, np.indices(shape))
+        ids = [pa.array((i + first.start).astype("int32")), pa.array((j + second.start).astype("int32"))]
+        sums = [pa.array(m[i, j]) for m in (n, sx, sy, sxx, syy, sxy)]
+        yield pa.RecordBatch.from_arrays([*ids, *sums], names=["i", "j", *_PAIR_SUMS])
 
     return task
 
 
-def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
+def correlation_pairs(
+    df: DataFrame, columns: list[str], block: int = PAIR_BLOCK
+) -> DataFrame:
     """(i, j, feature_a, feature_b, n, r) for every pair of columns, a before b, over
-    rows where both are known; r is null where one of them is constant there.
+    rows where both are known; r is null where one of them is constant there. A table
+    without rows has no pairs.
 
     Every task reduces its rows to one set of sums, so what is shuffled grows with
-    the tasks and the pairs of columns and not with the rows.
+    the tasks and the pairs of columns and not with the rows. Above ``block`` columns
+    each pair of blocks is a pass of its own that reads the columns of the two.
     """
     doubles = df.select(*(F.col(c).cast("double").alias(c) for c in columns))
-    averages = doubles.agg(*(F.avg(c).alias(c) for c in columns)).first()
+    averages = {}
+    for group in column_groups(columns):
+        averages |= doubles.agg(*(F.avg(c).alias(c) for c in group)).first().asDict()
     means = np.array([averages[c] or 0.0 for c in columns])
-    parts = doubles.mapInArrow(_pair_sums(means), _PAIR_SCHEMA)
+    blocks = [
+        range(at, min(at + block, len(columns))) for at in range(0, max(1, len(columns)), block)
+    ]
+    passes = []
+    for k, first in enumerate(blocks):
+        for second in blocks[k:]:
+            members = [*first] if first == second else [*first, *second]
+            read = doubles.select(*(columns[m] for m in members))
+            passes.append(
+                read.mapInArrow(_pair_sums(means[members], first, second), _PAIR_SCHEMA)
+            )
+    parts = union_all(passes)
     total = parts.groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in _PAIR_SUMS))
 
     def spread(s: str, ss: str) -> Column:

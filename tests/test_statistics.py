@@ -100,9 +100,11 @@ def test_spearman(df, pdf, target, slots):
     assert got["flat"] is None and got["empty"] is None
 
 
-def test_pairs(df, pdf):
+@pytest.mark.parametrize("block", [256, 4, 1])
+def test_pairs(df, pdf, block):
     want = pdf[NUMBERS].corr()
-    got = correlation_pairs(df, NUMBERS).collect()
+    got = correlation_pairs(df, NUMBERS, block).collect()
+    assert len(got) == len(NUMBERS) * (len(NUMBERS) - 1) // 2
     assert {(r["feature_a"], r["feature_b"]) for r in got} == set(itertools.combinations(NUMBERS, 2))
     for r in got:
         expected = want.loc[r["feature_a"], r["feature_b"]]
