@@ -9,7 +9,6 @@ own rows and returns sums per feature.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import factorial
 
 import numpy as np
 import pyarrow as pa
@@ -44,35 +43,59 @@ def _leaves(nodes: list) -> list[tuple[float, list[tuple[int, object, bool, floa
     return leaves
 
 
-def shapley(x: np.ndarray, leaves: list, owner: np.ndarray, features: int) -> np.ndarray:
+# Up to this many features on a path, attributions are tabulated for every combination of
+# followed branches and looked up; beyond that they are computed row by row.
+TABLED = 10
+
+
+def _on_path(follows: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Cases x features attributions of one path of value 1.
+
+    The sum over the sets of known features is the integral over t from 0 to 1 of the
+    product of the other features' (1 - t) * share + t * follows: a polynomial, which
+    Gauss-Legendre nodes integrate exactly.
+    """
+    d = len(shares)
+    at, weights = np.polynomial.legendre.leggauss((d + 1) // 2)
+    t = ((at + 1) / 2)[:, None, None]
+    factors = (1 - t) * shares + t * follows  # positive, since every branch has rows
+    others = factors.prod(axis=2, keepdims=True) / factors
+    return (follows - shares) * np.tensordot(weights / 2, others, 1)
+
+
+def shapley(
+    x: np.ndarray, leaves: list, owner: np.ndarray, features: int, tabled: int = TABLED
+) -> np.ndarray:
     """Rows x features attributions. ``owner`` maps vector entries to features."""
-    out = np.zeros((len(x), features))
+    columns = np.ascontiguousarray(x.T)
+    out = np.zeros((features, len(x)))
     for value, steps in leaves:
         # Steps on one feature act together: it follows its branch or its share.
         follows: dict[int, np.ndarray] = {}
         shares: dict[int, float] = {}
         for slot, border, is_left, share in steps:
             f = int(owner[slot])
-            left = np.isin(x[:, slot], border) if isinstance(border, np.ndarray) else x[:, slot] <= border
+            v = columns[slot]
+            left = np.isin(v, border) if isinstance(border, np.ndarray) else v <= border
             taken = left if is_left else ~left
             follows[f] = follows[f] & taken if f in follows else taken
             shares[f] = shares.get(f, 1.0) * share
         d = len(shares)
-        weights = [factorial(s) * factorial(d - 1 - s) / factorial(d) for s in range(d)]
-        for f in shares:
-            # by_size[s]: sum over the sets of s other features that are known
-            by_size = [np.ones(len(x))]
-            for g in shares:
-                if g == f:
-                    continue
-                known = follows[g].astype(float)
-                grown = [a * shares[g] for a in by_size] + [np.zeros(len(x))]
-                for s, a in enumerate(by_size):
-                    grown[s + 1] = grown[s + 1] + a * known
-                by_size = grown
-            others = sum(w * a for w, a in zip(weights, by_size))
-            out[:, f] += value * (follows[f] - shares[f]) * others
-    return out
+        if d == 0:
+            continue
+        own = np.array(list(shares.values()))
+        if d <= tabled:
+            cases = (np.arange(1 << d)[:, None] >> np.arange(d)) & 1
+            case = np.zeros(len(x), np.int64)
+            for k, known in enumerate(follows.values()):
+                case += known.astype(np.int64) << k
+            moved = np.ascontiguousarray(value * _on_path(cases, own).T)
+            for f, of_case in zip(shares, moved):
+                out[f] += of_case[case]
+        else:
+            for f, of_row in zip(shares, _on_path(np.column_stack([*follows.values()]), own).T):
+                out[f] += value * of_row
+    return out.T
 
 
 def _task(leaves: list, owner: np.ndarray, features: int, scale: float):

@@ -86,6 +86,8 @@ def test_attribution_equals_the_definition(spark, rows, model):
     encoded = encoded.orderBy("id").collect()
     x = np.array([r["v"] for r in encoded])
     got = at.shapley(x, at._leaves(nodes), owner, len(names))
+    row_by_row = at.shapley(x, at._leaves(nodes), owner, len(names), tabled=0)
+    assert np.allclose(got, row_by_row, rtol=0, atol=1e-12)
 
     trees = {}
     for n in nodes:
