@@ -41,6 +41,8 @@ GRAM = 32
 BATCH_BYTES = 1 << 20
 #: A name with more segment bytes than this is resolved by counting its windows.
 INDEX_BYTES = 1 << 22
+#: Rows of one name, in a sorted partition, beyond which its head is given out.
+HELD_ROWS = 100_000
 MARK, CANDIDATE = 0, 1
 
 
@@ -142,11 +144,14 @@ def _in_blocks(sizes: Sequence[int], most: int) -> Iterator[list[int]]:
         yield block
 
 
-def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sorted_out(
+    batches: Iterator[pa.RecordBatch], held_rows: int = HELD_ROWS
+) -> Iterator[pa.RecordBatch]:
     """MARK rows for segments with an equal one; CANDIDATE rows, one per content, for names
-    with several contents or at an edge of the partition. Rows come sorted."""
+    with several contents or at an edge of the partition. Rows come sorted; `held_rows` is
+    3 or more."""
     held: pa.Table | None = None
-    edge = True
+    edge, split = True, False  # split: other contents of the held name are given out
     for batch in batches:
         if batch.num_rows:
             rows = pa.Table.from_batches([batch])
@@ -154,15 +159,15 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             name = rows["name"].to_numpy()
             last = np.searchsorted(name, name[-1])  # the last name may go on
             if last:
-                yield from _decided(rows.slice(0, last), edge, False)
-                edge = False
+                yield from _decided(rows.slice(0, last), edge or split, False)
+                edge, split = False, False
             held = rows.slice(last)
-            if held.num_rows > 100_000:  # a hot name; its head is settled, its last content held
+            if held.num_rows > held_rows:  # a hot name; its head is settled, its last content held
                 content = held["content"].to_numpy()
                 cut = np.searchsorted(content, content[-1])
                 if cut:
                     yield from _decided(held.slice(0, cut), True, True)
-                    held = held.slice(cut)
+                    held, split = held.slice(cut), True
                 else:  # one content: every row has an equal one
                     body = held.slice(0, held.num_rows - 2)
                     yield from _decided(body, False, False)

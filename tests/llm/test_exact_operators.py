@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -234,3 +235,29 @@ def test_the_index_finds_every_window(window):
                 for s in segments]
         got = suffix_dedup.repeated_starts(segments, window)
         assert [g.tolist() for g in got] == want
+
+
+def sorted_segments(groups):
+    """A batch of segments from (name, content, rows)."""
+    rows = [(name, content) for name, content, n in groups for _ in range(n)]
+    places = range(len(rows))
+    types = [*[pa.int64()] * 3, *[pa.int32()] * 3, pa.bool_()]
+    columns = [*zip(*rows), places, places, [0] * len(rows), [9] * len(rows), [False] * len(rows)]
+    names = ["name", "content", "k1", "k2", "start", "n", "loops"]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+
+@pytest.mark.parametrize("hot", [[(2, 1, 1), (2, 2, 30)], [(2, 1, 30), (2, 2, 1)],
+                                 [(2, 1, 1), (2, 2, 30), (2, 3, 1), (2, 4, 30)]])
+@pytest.mark.parametrize("held_rows", [4, 7, 1000])
+@pytest.mark.parametrize("size", [1, 3, 100])
+def test_contents_of_a_hot_name_stay_candidates(hot, held_rows, size):
+    groups = [(1, 5, 2), *hot, (3, 7, 30), (4, 8, 2)]
+    batch = sorted_segments(groups)
+    batches = [batch.slice(i, size) for i in range(0, batch.num_rows, size)]
+    out = [r for b in suffix_dedup._sorted_out(iter(batches), held_rows) for r in b.to_pylist()]
+    content = np.repeat([c for _, c, _ in groups], [n for *_, n in groups])
+    marked = Counter(r["k1"] for r in out if r["kind"] == suffix_dedup.MARK)
+    assert marked == Counter(np.flatnonzero(np.isin(content, [c for _, c, n in groups if n > 1])))
+    wanted = {content[r["k1"]] for r in out if r["kind"] == suffix_dedup.CANDIDATE}
+    assert wanted == {5, *(c for _, c, _ in hot), 8}
