@@ -33,7 +33,8 @@ BASE = (
     ("mit license", "mit"),
 )
 
-# Public license identifiers, a keyword that each name holds, and its name in words.
+# Public license identifiers, a keyword (any characters) that each name holds, and its name in
+# words. The identifiers without a version stand for a name that gives none.
 V = r"(?:v|v |ver |version |versions )"
 NAMES = (
     ("gpl-1.0", "general public", rf"gnu general public license {V}1(?: 0)?"),
@@ -50,6 +51,17 @@ NAMES = (
     ("gfdl-1.3", "documentation license", rf"gnu free documentation license(?: {V}1 3)?"),
     ("apache-1.1", "apache", rf"apache (?:software )?license {V}1 1"),
     ("apache-2.0", "apache", rf"apache (?:software )?license {V}?2(?: 0)?"),
+    ("gpl", "general public", r"gnu general public licen[sc]e"),
+    ("lgpl", "general public", r"gnu lesser general public licen[sc]e"),
+    ("apache", "apache", r"apache (?:software )?licen[sc]e"),
+    ("mpl", "mozilla public", r"mozilla public licen[sc]e"),
+    ("epl", "eclipse public", r"eclipse public licen[sc]e"),
+    ("eupl", "european union public", r"european union public licen[sc]e"),
+    ("artistic", "artistic license", r"artistic license"),
+    ("cc-by", "cc by", r"cc by"),
+    ("bsd", "bsd", r"bsd(?: style)? licen[sc]e"),
+    ("mit", "mit licen", r"mit licen[sc]e"),
+    ("mit", "expat", r"(?:mit expat|expat mit|expat) licen[sc]e"),
     ("mit-0", "mit no attribution", r"mit no attribution(?: license)?"),
     ("mit-modern", "mit license modern", r"mit license modern variant"),
     ("x11", "x11 license", r"(?:mit )?x11 license"),
@@ -106,6 +118,45 @@ NAMES = (
      r"creative commons attribution non ?commercial 4 0(?: international)?"),
 )
 
+# Abbreviated names as they stand in prose, with a keyword. "GPLv2" is one word, "LGPL-2.1" three.
+W = r" ?(?:v ?|ver |version )?"
+LATER = r" or (?:any )?(?:later|newer|greater)(?: version)?"
+ABBREVIATED = (
+    ("gpl", "gpl", r"(?:gnu gpl(?: licen[sc]e)?|gpl licen[sc]e)"),
+    ("gpl-1.0", "gpl", rf"(?:gnu )?gpl{W}1(?: 0)?"),
+    ("gpl-2.0", "gpl", rf"(?:gnu )?gpl{W}2(?: 0)?(?: only)?"),
+    ("gpl-3.0", "gpl", rf"(?:gnu )?gpl{W}3(?: 0)?(?: only)?"),
+    ("gpl-2.0-or-later", "gpl", rf"(?:gnu )?gpl{W}2(?: 0)?{LATER}"),
+    ("gpl-3.0-or-later", "gpl", rf"(?:gnu )?gpl{W}3(?: 0)?{LATER}"),
+    ("lgpl", "lgpl", r"(?:gnu )?lgpl(?: licen[sc]e)?"),
+    ("lgpl-2.0", "lgpl", rf"(?:gnu )?lgpl{W}2(?: 0)?"),
+    ("lgpl-2.1", "lgpl", rf"(?:gnu )?lgpl{W}2 1"),
+    ("lgpl-3.0", "lgpl", rf"(?:gnu )?lgpl{W}3(?: 0)?"),
+    ("agpl", "agpl", r"(?:gnu )?agpl(?: licen[sc]e)?"),
+    ("agpl-3.0", "agpl", rf"(?:gnu )?agpl{W}3(?: 0)?"),
+    ("gfdl", "gfdl", r"(?:gnu )?gfdl(?: licen[sc]e)?"),
+    ("gfdl-1.3", "gfdl", rf"(?:gnu )?gfdl{W}1 3"),
+    ("mpl", " mpl", r"mpl licen[sc]e"),
+    ("mpl-1.0", " mpl", rf"mpl{W}1 0"),
+    ("mpl-1.1", " mpl", rf"mpl{W}1 1"),
+    ("mpl-2.0", " mpl", rf"mpl{W}2(?: 0)?"),
+    ("epl-1.0", " epl", rf"epl{W}1 0"),
+    ("epl-2.0", " epl", rf"epl{W}2 0"),
+    ("cddl-1.0", " cddl", rf"cddl(?:{W}1 0)?"),
+    ("eupl-1.1", " eupl", rf"eupl{W}1 1"),
+    ("eupl-1.2", " eupl", rf"eupl{W}1 2"),
+)
+# Names too short or too general to stand for a license outside of a sentence about one.
+IN_CONTEXT = (
+    ("gpl", "gpl", r"gpl(?: licen[sc]e)?"),
+    ("mpl", " mpl", r"mpl(?: licen[sc]e)?"),
+    ("epl", " epl", r"epl(?: licen[sc]e)?"),
+    ("eupl", " eupl", r"eupl(?: licen[sc]e)?"),
+    ("apache-2.0", "apache", rf"apache{W}2(?: 0)?"),
+    ("mit", " mit ", r"mit"),
+    ("bsd", "bsd", r"bsd(?: style)?"),
+)
+
 # Sentences that stand for a license without naming it.
 SENTENCES = (
     ("mit", "permission is hereby granted",
@@ -137,8 +188,9 @@ SENTENCES = (
 #: A text without any of these has no match: every rule's words hold one of them.
 STEMS = (
     "licen", "cc by", "cc0", "bsd", "public domain", "rights reserved", "hereby granted",
-    "redistribution and use", "apache org", "gnu org", "creativecommons", "creative commons",
-    "mit no", "spdx", "general public",
+    "redistribution and use", "apache", "gnu org", "creativecommons", "creative commons",
+    "mit no", "spdx", "general public", "gpl", " gfdl", " mpl", " epl", " cddl", " eupl",
+    " under mit ", " the mit ", " of mit ", " to mit ",
 )
 
 
@@ -155,16 +207,17 @@ class Rule:
 def rules() -> list[Rule]:
     """Every rule, in order."""
     found = [Rule(label, phrase, phrase, RANKS - 1, 0.5, True) for phrase, label in BASE]
-    for label, _, _ in NAMES:
+    for label in dict.fromkeys(label for label, _, _ in (*NAMES, *ABBREVIATED)):
         words = re.sub("[^a-z0-9]+", " ", label)
         found.append(Rule(label, "spdx", f"spdx license identifier {words}", 0, 1.0))
     under = r"(?:licen[sc]ed|released|distributed|published|available|provided|offered) under"
-    for label, keyword, name in NAMES:
-        terms = r"(?:the )?(?:terms (?:and conditions )?of )?(?:the )?"
+    terms = r"(?:the )?(?:terms (?:and conditions )?of )?(?:the )?"
+    for label, keyword, name in (*NAMES, *ABBREVIATED, *IN_CONTEXT):
         found.append(Rule(label, keyword, f"{under} {terms}{name}", 1, 0.95))
         found.append(Rule(label, keyword, f"subject to {terms}{name}", 1, 0.9))
         found.append(Rule(label, keyword, f"licen[sc]e(?: is)? (?:the )?{name}", 2, 0.8))
-        found.append(Rule(label, keyword, name, 3, 0.6))
+        if (label, keyword, name) not in IN_CONTEXT:
+            found.append(Rule(label, keyword, name, 3, 0.6))
     found += [Rule(label, keyword, text, 1, 0.9) for label, keyword, text in SENTENCES]
     return found
 
@@ -177,8 +230,7 @@ def _catalog(found: Sequence[Rule]) -> Column:
     return F.array(
         *(
             F.struct(
-                F.lit(f" {keyword} " if keyword in {p for p, _ in BASE} else f" {keyword}")
-                .alias("keyword"),
+                F.lit(keyword).alias("keyword"),
                 F.array(
                     *(
                         F.struct(

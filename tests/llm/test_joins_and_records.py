@@ -150,6 +150,64 @@ def test_rules_number_hundreds_and_pass_their_gates():
         assert keyword.split()[0] in name, (label, options)
 
 
+def forms(items):
+    """Texts that a parsed pattern matches: the first has all that is optional and every first
+    alternative, each of the others differs in one place."""
+    out = [""]
+    for kind, value in items:
+        kind = str(kind)
+        if kind == "LITERAL":
+            own = [chr(value)]
+        elif kind == "IN":
+            own = [chr(v if str(k) == "LITERAL" else v[0]) for k, v in value]
+        elif kind == "BRANCH":
+            own = [f for option in value[1] for f in forms(option)]
+        elif kind == "SUBPATTERN":
+            own = forms(value[3])
+        elif kind == "MAX_REPEAT":
+            own = [*forms(value[2]), *([] if value[0] else [""])]
+        else:
+            raise ValueError(kind)
+        out = [out[0] + own[0], *(o + own[0] for o in out[1:]), *(out[0] + o for o in own[1:])]
+    return out
+
+
+def test_every_alternative_of_every_rule_is_found(spark):
+    samples = [(rule, f) for rule in licenses.rules() for f in forms(re._parser.parse(rule.pattern))]
+    rows = list(enumerate(f for _, f in samples))
+    found = {r.row.doc_id: r for r in licenses.scan(documents(spark, rows)).collect()}
+    lost = [
+        (rule.label, text)
+        for i, (rule, text) in enumerate(samples)
+        if not any(
+            (d.label, d.start, d.end, d.base) == (rule.label, 0, found[i].n_words, rule.base)
+            for d in found[i].detections
+        )
+    ]
+    assert not lost
+
+
+@pytest.mark.parametrize("notice, label", [
+    ("FreeBSD license", "bsd-2-clause"), ("SPDX-License-Identifier: MIT", "mit"),
+    ("Licensed under the MIT license.", "mit"), ("License: MIT", "mit"),
+    ("released under MIT", "mit"), ("GPLv2", "gpl-2.0"), ("GNU GPL", "gpl"),
+    ("GPL-3.0 or later", "gpl-3.0-or-later"), ("LGPL-2.1", "lgpl-2.1"), ("MPL 2.0", "mpl-2.0"),
+    ("distributed under the terms of the MPL", "mpl"), ("available under Apache 2.0", "apache-2.0"),
+    ("SPDX-License-Identifier: MIT-0", "mit-0"), ("released under the BSD license", "bsd"),
+    ("GNU Lesser General Public License", "lgpl"),
+])
+def test_short_notices(spark, notice, label):
+    [row] = licenses.scan(documents(spark, [(1, f"x {notice} x")])).collect()
+    assert {d.label for d in row.detections if not d.base} == {label}
+
+
+@pytest.mark.parametrize("text", ["example simple template mplayer", "er kam mit dem Rad",
+                                  "the gplus and epl tables", "misc things, acc bye"])
+def test_other_words_are_no_notices(spark, text):
+    [row] = licenses.scan(documents(spark, [(1, text)])).collect()
+    assert row.detections == []
+
+
 def test_no_python_in_the_plan(spark):
     plan = licenses.scan(documents(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange hash" not in plan
