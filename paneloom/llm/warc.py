@@ -31,19 +31,26 @@ END = "\r\n\r\n"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # of names that are URLs
 DATE = "2024-01-01T00:00:00Z"
 
+NAMED = r"(?=[\s/>])"  # ends an element's name: <title-bar> is no title
 HIDDEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|title)\b.*?(?:</\1\s*>|\Z)",
+    r"<!--.*?(?:-->|\Z)"
+    rf"|<(?:style|title){NAMED}(?:[^>\"'/]|\"[^\"]*\"|'[^']*'|/(?!>))*+/>"  # inline SVG, XHTML
+    rf"|<(script|style|template|noscript|title){NAMED}.*?(?:</\1\s*>|\Z)",
     re.IGNORECASE | re.DOTALL,
 )
 BREAK = re.compile(
     r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form"
     r"|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|th|thead|tr|ul)"
-    r"\b[^>]*>",
+    rf"{NAMED}[^>]*>",
     re.IGNORECASE,
 )
 TAG = re.compile(r"<[/!?a-zA-Z][^>]*>")
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.IGNORECASE | re.DOTALL)
-LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+TITLE = re.compile(
+    rf"<title{NAMED}[^>]*(?<!/)>(.*?)</title\s*>", re.IGNORECASE | re.DOTALL
+)
+LINK = re.compile(
+    rf"<a{NAMED}[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE
+)
 
 
 def digest(block: bytes) -> str:

@@ -256,6 +256,26 @@ def test_derivatives_are_linked(spark):
     assert warc.plain_text(PAGES[4][2]).startswith("é\nWARC/1.0 <x> a < b")
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<h1>a</h1><title-bar>x</title-bar><p>rest of page</p>", "a\nx\nrest of page"),
+    ("<script-x>a</script-x><style-x>b</style-x><template-x>c</template-x>"
+     "<noscript-x>d</noscript-x><p>e", "abcd\ne"),
+    ("a<svg><title/><style/><style media='x>y' /></svg><p>b", "a\nb"),
+    ("a<title lang=\"/>\">hidden</title><p>b", "a\nb"),
+    ("a<script src='x'/>hidden</script><style\n>hidden</style><TITLE>hidden</title >b", "a b"),
+    ("a<p-x>b</p-x>", "ab"),
+])
+def test_elements_end_at_their_own_names(page, text):
+    assert warc.plain_text(page) == text
+
+
+def test_titles_and_links_are_no_custom_elements(spark):
+    page = "<title-bar>x</title-bar><title/><title>T</title><a-b href='/no'></a-b><a href='/l'>"
+    derived = warc.derivatives(warc.responses(pages(spark, [(1, None, page)]))).collect()
+    [block] = [r.block for r in derived if r.type == "metadata"]
+    assert "\r\ntitle: T\r\noutlink: /l\r\n" in block and "/no" not in block
+
+
 @pytest.mark.parametrize("compression", ["none", "gzip"])
 def test_files_round_trip(spark, tmp_path, compression):
     records = warc.responses(pages(spark))
