@@ -1,5 +1,5 @@
-"""Tree importance, selected tables and attribution. Trees have no SQL form; their
-queries use fewer and smaller trees than the full runs."""
+"""Tree importance, selected tables and attribution, with the settings of the full runs.
+Trees have no SQL form."""
 
 from __future__ import annotations
 
@@ -24,17 +24,16 @@ from paneloom.operators.split import sized_split, stratified_split
 from paneloom.operators.trees import (
     MAIN,
     SCREENING,
+    TOP_FEATURES,
     TreeModel,
     best_features,
     category_features,
     fit_trees,
     gain_importance,
-    quick,
 )
 from paneloom.session import shared_folder
 
 KEY, TARGET = "o_custkey", "target"
-ROUNDS, DEPTH, TOP = 10, 4, 20
 
 
 def _customers(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -51,9 +50,7 @@ def _main_model(train: DataFrame) -> TreeModel:
         r["feature"] for r in static_filter(train, [KEY, TARGET]).orderBy("position").collect()
     ]
     features = [f for f in kept if f not in (KEY, TARGET)]
-    return fit_trees(
-        train, features, category_features(features, ORDERS), TARGET, quick(MAIN, ROUNDS, DEPTH)
-    )
+    return fit_trees(train, features, category_features(features, ORDERS), TARGET, MAIN)
 
 
 def _gain(spark, sf_dir):
@@ -64,7 +61,7 @@ def _gain(spark, sf_dir):
 def _selected(which: int):
     def run(spark, sf_dir):
         parts = _customers(spark, sf_dir)
-        names = best_features(gain_importance(spark, _main_model(parts[0])), TOP)
+        names = best_features(gain_importance(spark, _main_model(parts[0])), TOP_FEATURES)
         return rounded(parts[which].select(KEY, TARGET, *names))
 
     return run
@@ -77,14 +74,7 @@ def _screening_model(spark, sf_dir) -> tuple[TreeModel, DataFrame]:
     shared_folder(spark)
     rows = screened(spark, sf_dir).checkpoint()
     train, valid = sized_split(rows, ["o_orderkey"], TARGET)
-    model = fit_trees(
-        train,
-        SCREENING_FEATURES,
-        CATEGORIES,
-        TARGET,
-        quick(SCREENING, ROUNDS, DEPTH),
-        valid=valid,
-    )
+    model = fit_trees(train, SCREENING_FEATURES, CATEGORIES, TARGET, SCREENING, valid=valid)
     return model, valid
 
 

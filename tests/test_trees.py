@@ -10,10 +10,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from paneloom import PanelSpec
+from paneloom.catalog import models
 from paneloom.operators import attribution as at
 from paneloom.operators.trees import (
     MAIN,
     SCREENING,
+    TOP_FEATURES,
     best_features,
     best_round,
     category_features,
@@ -174,3 +176,41 @@ def test_levels_on_both_sides_of_the_bins(spark, levels, hashed):
     df = spark.range(600).select((F.col("id") % levels).cast("string").alias("k"))
     encoding = learn_encoding(df, ["k"], ["k"])
     assert encoding.hashed == hashed and encoding.most_levels <= MAIN.bins
+
+
+@pytest.mark.parametrize("name, settings", [
+    ("gain_importance", MAIN), ("selected_train", MAIN), ("selected_valid", MAIN),
+    ("importance_norm", SCREENING), ("importance_cut", SCREENING), ("validation_auc", SCREENING),
+    ("mean_abs_attribution", SCREENING), ("attribution_direction", SCREENING),
+])
+def test_registered_queries_train_with_the_full_settings(monkeypatch, rows, name, settings):
+    class Trained(Exception):
+        pass
+
+    def fit(train, features, categories, target, settings, **_):
+        raise Trained(settings)
+
+    monkeypatch.setattr(models, "shared_folder", lambda spark: None)
+    monkeypatch.setattr(models, "_customers", lambda spark, sf_dir: (rows, rows))
+    monkeypatch.setattr(models, "static_filter", lambda *_: rows.selectExpr("'x' feature", "id position"))
+    monkeypatch.setattr(models, "screened", lambda spark, sf_dir: rows.localCheckpoint())
+    monkeypatch.setattr(models, "sized_split", lambda *_: (rows, rows))
+    monkeypatch.setattr(rows.__class__, "checkpoint", lambda df: df)
+    monkeypatch.setattr(models, "fit_trees", fit)
+    with pytest.raises(Trained) as trained:
+        models.QUERIES[name].run(None, None)
+    assert trained.value.args == (settings,)
+
+
+@pytest.mark.parametrize("name", ["selected_train", "selected_valid"])
+def test_registered_queries_keep_as_many_features_as_the_full_run(monkeypatch, rows, name):
+    kept = []
+    monkeypatch.setattr(models, "_customers", lambda spark, sf_dir: (rows, rows))
+    monkeypatch.setattr(models, "_main_model", lambda train: None)
+    monkeypatch.setattr(models, "gain_importance", lambda spark, model: None)
+    monkeypatch.setattr(models, "best_features", lambda scores, most: kept.append(most) or ["x"])
+    monkeypatch.setattr(models, "rounded", lambda df: df)
+    monkeypatch.setattr(models, "KEY", "id")
+    monkeypatch.setattr(models, "TARGET", "y")
+    models.QUERIES[name].run(None, None)
+    assert kept == [TOP_FEATURES]
