@@ -1,8 +1,9 @@
 """WARC records: responses, and the metadata and plain-text records derived from them.
 
 A response becomes two linked records: a metadata record with the response's HTTP status,
-headers, digests, title and links, and a conversion record with the page as plain text.
-Both name the response in WARC-Refers-To and repeat its target, date and payload digest.
+its HTTP and WARC headers, digests, title and links, and a conversion record with the page as
+plain text. Both name the response in WARC-Refers-To and repeat its target and date, and its
+payload digest as WARC-Source-Payload-Digest, since their own payload is another.
 Record ids are name-based UUIDs, so a retried task writes the same records. Everything is
 done row by row; files are written and read by Spark's text source, one record per "line",
 which keeps them splittable and commits whole files only.
@@ -86,7 +87,7 @@ def _record(kind: str, own_id: str, fields: dict, block: str, payload_digest: st
     raw = block.encode()
     headers = {
         "WARC-Type": kind, "WARC-Record-ID": own_id, **fields,
-        "WARC-Payload-Digest": payload_digest if kind == "response" else None,
+        f"WARC-{'' if kind == 'response' else 'Source-'}Payload-Digest": payload_digest,
         "WARC-Block-Digest": digest(raw), "Content-Length": str(len(raw)),
     }
     lines = [f"{k}: {_one_line(v)}" for k, v in headers.items() if v is not None]
@@ -137,20 +138,22 @@ def responses(
     return chosen.mapInArrow(build, f"page {kind}, {RECORD}")
 
 
+SOURCE = ("record_id", "target_uri", "date", "payload_digest", "headers", "block")
+
+
 def derivatives(records: DataFrame) -> DataFrame:
     """A metadata and a conversion record for every response among `records`; the columns
     of `records` other than RECORD are carried."""
     carried = [f for f in records.schema.fields if f.name not in NAMES]
     names = [f.name for f in carried]
     chosen = records.filter(F.col("type") == "response").select(
-        *names, "record_id", "target_uri", "date", "payload_digest", "block"
+        *names, *SOURCE
     )
 
     def derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for own in zip(*(batch[c].to_pylist() for c in
-                             ("record_id", "target_uri", "date", "payload_digest", "block"))):
+            for own in zip(*(batch[c].to_pylist() for c in SOURCE)):
                 rows += _derived(*own)
             twice = [i // 2 for i in range(2 * batch.num_rows)]
             extra = [batch[n].take(pa.array(twice, pa.int64())) for n in names]
@@ -160,7 +163,7 @@ def derivatives(records: DataFrame) -> DataFrame:
     return chosen.mapInArrow(derive, schema)
 
 
-def _derived(source, uri, date, payload_digest, block) -> list[tuple]:
+def _derived(source, uri, date, payload_digest, headers, block) -> list[tuple]:
     source = source or ""
     head, found, payload = (block or "").partition(END)
     if not found or not head.startswith("HTTP/"):
@@ -174,6 +177,7 @@ def _derived(source, uri, date, payload_digest, block) -> list[tuple]:
     links = dict.fromkeys(html.unescape("".join(m.groups(""))) for m in LINK.finditer(payload))
     fields = [
         ("status", status), *(("http-header", h) for h in http),
+        *(("warc-header", h) for h in (headers or "").split("\r\n") if h),
         ("payload-digest", payload_digest or ""), ("payload-length", str(len(payload.encode()))),
         ("conversion", conversion_id), ("conversion-digest", digest(text.encode())),
         ("title", html.unescape(title.group(1)) if title else ""),
@@ -195,9 +199,10 @@ def write_warc(records: DataFrame, path: str, compression: str = "none") -> None
     lines.write.option("lineSep", END).option("compression", compression).text(path)
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """RECORD and `complete` of every record of the files."""
-    start = f"{VERSION}\r\n"
+def read_warc(spark: SparkSession, path: str, version: str = VERSION) -> DataFrame:
+    """RECORD and `complete` of every record of the files, all of one version ("WARC/1.0" or
+    "WARC/1.1"): the text between records may hold the other one's name."""
+    start = f"{version}\r\n"
     pieces = spark.read.option("lineSep", END + start).text(path)
     piece = F.regexp_replace("value", r"\A" + re.escape(start), "")
     rest = F.expr(f"substring(piece, char_length(head) + {len(END) + 1})")
@@ -223,7 +228,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             header("WARC-Refers-To").alias("refers_to"),
             header("WARC-Target-URI").alias("target_uri"), header("WARC-Date").alias("date"),
             header("Content-Type").alias("content_type"),
-            header("WARC-Payload-Digest").alias("payload_digest"),
+            F.coalesce(header("WARC-Payload-Digest"), header("WARC-Source-Payload-Digest"))
+            .alias("payload_digest"),
             header("WARC-Block-Digest").alias("block_digest"),
             F.col("head").alias("headers"), "block",
             F.coalesce(F.octet_length("block") == length, F.lit(False)).alias("complete"),

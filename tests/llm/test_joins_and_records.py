@@ -287,6 +287,34 @@ def test_files_round_trip(spark, tmp_path, compression):
     assert Counter(back.select(names).collect()) == Counter(records.select(names).collect())
 
 
+def test_headers_and_digests_of_the_source_are_kept(spark, tmp_path):
+    own = ["WARC-IP-Address: 192.0.2.1", "WARC-Warcinfo-ID: <urn:x>"]
+    sources = warc.responses(pages(spark, PAGES[:1])).drop("page").withColumn(
+        "headers", F.concat("headers", F.lit("\r\n" + "\r\n".join(own)))
+    )
+    derived = warc.derivatives(sources)
+    [source], records = sources.collect(), derived.collect()
+    [block] = [r.block for r in records if r.type == "metadata"]
+    assert re.findall(r"(?m)^warc-header: (.*?)\r$", block) == source.headers.split("\r\n")
+    warc.write_warc(derived, f"{tmp_path}/out")
+    back = warc.read_warc(spark, f"{tmp_path}/out").collect()
+    assert [r.payload_digest for r in back] == [source.payload_digest] * 2
+    assert not any(re.search("(?m)^WARC-Payload-Digest", r.headers) for r in back)
+
+
+def test_files_of_the_older_version(spark, tmp_path):
+    records = warc.responses(pages(spark)).drop("page")
+    for i, r in enumerate(records.collect()):
+        text = f"WARC/1.0\r\n{r.headers}{warc.END}{r.block}{warc.END}" * 2
+        (tmp_path / f"{i}.warc").write_bytes(text.encode())
+    back = warc.read_warc(spark, str(tmp_path), "WARC/1.0")
+    assert back.filter(~F.col("complete")).count() == 0
+    names = ["record_id", "type", "target_uri", "payload_digest", "block"]
+    assert Counter(back.select(names).collect()) == Counter(
+        records.union(records).select(names).collect()
+    )
+
+
 def test_no_pages(spark):
     assert warc.derivatives(warc.responses(pages(spark, []))).count() == 0
     assert len(BASE.split()) == 120
