@@ -172,8 +172,8 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY, carry=["doc_id"])
-    return bpe.decode(encoded, VOCABULARY).select(
+    docs = table(spark, sf_dir, "documents")
+    return bpe.round_trip(docs, VOCABULARY, carry=["doc_id"]).select(
         "row.doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
