@@ -50,8 +50,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decodes): token ids, and whether they decode to the text."""
-    encoded = bpe.encode(docs, VOCABULARY, carry=["doc_id", "text"])
-    return bpe.decode(encoded, VOCABULARY).select(
+    return bpe.round_trip(docs, VOCABULARY, carry=["doc_id", "text"]).select(
         "row.doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         "ids",
