@@ -60,3 +60,15 @@ def shuffle_tasks(spark: SparkSession) -> int:
 def without(columns: Sequence[str], taken: Sequence[str]) -> list[str]:
     lowered = {name.lower() for name in taken}
     return [name for name in columns if name.lower() not in lowered]
+
+
+def in_order(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """`df` range-partitioned and sorted by `order`, with `part`, the partition, and
+    `place`, the row's number in it. Computed anew each time it is read: write it, or use
+    it in one pass."""
+    ranged = df.repartitionByRange(shuffle_tasks(df.sparkSession), *order)
+    return ranged.sortWithinPartitions(*order).select(
+        "*",
+        F.spark_partition_id().alias("part"),
+        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place"),
+    )

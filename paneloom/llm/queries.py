@@ -13,12 +13,14 @@ from paneloom.llm import (
     jaccard,
     licenses,
     line_dedup,
+    merkle,
     quality,
     sharding,
     suffix_dedup,
     toxicity,
     warc,
 )
+from paneloom.llm.common import lower_ascii
 
 SHARDS = 8
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -252,6 +254,103 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = merkle.row_digest(
+        [lower_ascii(F.col(c)) if c == "text" else F.col(c) for c in LEAF]
+    )
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    made = merkle.manifest(
+        docs.withColumn("tampered", F.when(chosen, tampered)), LEAF, carry=["doc_id", "tampered"]
+    )
+    shown = F.coalesce("row.tampered", "leaf")
+    return merkle.prove(made).select(
+        "row.doc_id", "leaf", "subroot", "root",
+        merkle.proof_digest(F.col("proof")).alias("proof_sha256"),
+        merkle.folded(shown, F.col("proof")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+MERKLE_SQL = r"""
+WITH RECURSIVE cells AS (
+  SELECT doc_id, source, row_number() OVER () AS rid,
+    concat_ws('', coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'),
+      coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'),
+      coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS tail,
+    coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '-') AS lowered
+  FROM documents
+), steps(k, c, j) AS (
+  SELECT k, CAST(k AS BIGINT), 0 FROM range(256) t(k)
+  UNION ALL
+  SELECT k, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, j + 1
+  FROM steps WHERE j < 8
+), crc_table AS (
+  SELECT list(c ORDER BY k) AS entries FROM steps WHERE j = 8
+), leaves AS (
+  SELECT doc_id, source, sha256(head || tail) AS leaf, sha256(head || lowered) AS tampered,
+    xor(4294967295, list_reduce(
+      list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+        lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda c, b: xor(c >> 8, list_extract(entries, CAST(xor(c & 255, b) + 1 AS BIGINT))))) % 5 = 0
+      AS chosen,
+    dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, sha256(head || tail)) - 1
+      AS place,
+    count(*) OVER (PARTITION BY source) AS n
+  FROM cells, crc_table
+), nodes(level, tree, idx, digest, n) AS (
+  SELECT 0, tree, place, leaf, n FROM leaves
+  UNION ALL
+  SELECT level + 1, tree, idx // 16, sha256(string_agg(digest, '' ORDER BY idx)),
+    CAST(ceil(any_value(n) / 16.0) AS BIGINT)
+  FROM nodes WHERE n > 1 GROUP BY level, tree, idx // 16
+), subroots AS (
+  SELECT tree, level AS depth, digest AS subroot, count(*) OVER () AS trees FROM nodes WHERE n = 1
+), top(level, idx, digest, n) AS (
+  SELECT 0, tree, subroot, trees FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 16, sha256(string_agg(digest, '' ORDER BY idx)),
+    CAST(ceil(any_value(n) / 16.0) AS BIGINT)
+  FROM top WHERE n > 1 GROUP BY level, idx // 16
+), every AS (
+  SELECT tree, level, idx, digest FROM nodes WHERE n > 1
+  UNION ALL
+  SELECT -1, level, idx, digest FROM top WHERE n > 1
+), beside AS (
+  SELECT tree, level, idx,
+    coalesce(string_agg(digest, '') OVER (PARTITION BY tree, level, idx // 16 ORDER BY idx
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(digest, '') OVER (PARTITION BY tree, level, idx // 16 ORDER BY idx
+      ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM every
+), root AS (
+  SELECT digest AS root FROM top WHERE n = 1
+), walk(of_tree, of_place, tree, level, idx, h, proof) AS (
+  SELECT tree, place, tree, 0, place, CASE WHEN chosen THEN tampered ELSE leaf END, ''
+  FROM leaves
+  UNION ALL
+  SELECT w.of_tree, w.of_place, CASE WHEN up.tree IS NULL THEN -1 ELSE w.tree END,
+    CASE WHEN up.tree IS NULL THEN 0 ELSE w.level + 1 END,
+    CASE WHEN up.tree IS NULL THEN w.tree ELSE w.idx // 16 END,
+    CASE WHEN up.tree IS NULL THEN w.h ELSE sha256(up.l || w.h || up.r) END,
+    CASE WHEN up.tree IS NULL THEN w.proof ELSE w.proof || up.l || up.r END
+  FROM walk w LEFT JOIN beside up ON w.tree = up.tree AND w.level = up.level AND w.idx = up.idx
+  WHERE up.tree IS NOT NULL OR w.tree >= 0
+), ended AS (
+  SELECT of_tree, of_place, arg_max(h, level) AS folded_root, arg_max(proof, level) AS proof
+  FROM walk WHERE tree < 0 GROUP BY of_tree, of_place
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root,
+  folded_root = root AS verified
+FROM leaves JOIN ended ON tree = of_tree AND place = of_place JOIN subroots USING (tree), root
+"""
+
+
 QUERIES = {
     "op1_sharding": Query(op1_sharding, SHARD_SQL),
     "op2_toxicity": Query(op2_toxicity),
@@ -263,4 +362,5 @@ QUERIES = {
     "op8_suffix_dedup": Query(op8_suffix_dedup, REPEAT_SQL),
     "op9_warc": Query(op9_warc),
     "op10_licenses": Query(op10_licenses),
+    "op11_merkle": Query(op11_merkle, MERKLE_SQL),
 }
