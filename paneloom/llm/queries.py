@@ -16,6 +16,7 @@ from paneloom.llm import (
     merkle,
     quality,
     sharding,
+    simhash,
     suffix_dedup,
     toxicity,
     warc,
@@ -351,6 +352,14 @@ FROM leaves JOIN ended ON tree = of_tree AND place = of_place JOIN subroots USIN
 """
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return simhash.near_classes(docs, carry=["doc_id"]).select(
+        "row.doc_id", simhash.hexadecimal(F.col("fingerprint")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
 QUERIES = {
     "op1_sharding": Query(op1_sharding, SHARD_SQL),
     "op2_toxicity": Query(op2_toxicity),
@@ -363,4 +372,5 @@ QUERIES = {
     "op9_warc": Query(op9_warc),
     "op10_licenses": Query(op10_licenses),
     "op11_merkle": Query(op11_merkle, MERKLE_SQL),
+    "op12_simhash": Query(op12_simhash),
 }
