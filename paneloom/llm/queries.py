@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from paneloom.catalog.fixtures import Query, table
 from paneloom.llm import (
     bpe,
+    conversations,
     decontamination,
     jaccard,
     licenses,
@@ -360,6 +361,14 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    every = rows.select("conv_id").distinct()
+    return conversations.repair(conversations.damaged(rows), every=every).withColumnRenamed(
+        "conv", "conv_id"
+    )
+
+
 QUERIES = {
     "op1_sharding": Query(op1_sharding, SHARD_SQL),
     "op2_toxicity": Query(op2_toxicity),
@@ -373,4 +382,5 @@ QUERIES = {
     "op10_licenses": Query(op10_licenses),
     "op11_merkle": Query(op11_merkle, MERKLE_SQL),
     "op12_simhash": Query(op12_simhash),
+    "op13_conversations": Query(op13_conversations),
 }
