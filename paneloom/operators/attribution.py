@@ -1,9 +1,19 @@
 """How much each feature moves a tree model's score, row by row (Shapley values).
 
-A row's score is shared out over the features by the tree-path rule: a feature
-that is not known follows both branches in proportion to the training rows there.
-The trees (a few thousand nodes) travel to the tasks; every task attributes its
-own rows and returns sums per feature.
+A row's score is shared out over the features by the tree-path rule: a feature that is not
+known follows both branches in proportion to the training rows there. The sum over all sets of
+known features is an integral over t from 0 to 1: on a path, every feature stands for a factor
+(1 - t) * share + t * follows, and Gauss-Legendre nodes integrate the product exactly. Each
+tree is walked once per block of rows, carrying that product for every row and node; coming
+back up, the sum below an edge, without what hangs below a deeper edge of the same feature,
+is divided by the edge's factor. That is linear in the tree's edges and in the number of
+features on a path.
+
+The trees travel to the tasks as a broadcast; every task attributes its own rows.
+
+Defined cases. Missing values and unknown levels follow the model's branches. A tree of one
+leaf moves nothing. Several classes: one attribution per class. An empty table gives no rows
+per row, and no features in the summary.
 """
 
 from __future__ import annotations
@@ -12,130 +22,174 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import types as T
 
+from paneloom.operators.boosting import Tree
 from paneloom.operators.correlation import NO_SPREAD
-from paneloom.operators.trees import TreeModel, tree_nodes
-
-_SUMS = ["n", "absolute", "phi", "phi2", "x", "x2", "x_phi"]
-
-
-def _leaves(nodes: list) -> list[tuple[float, list[tuple[int, object, bool, float]]]]:
-    """Every leaf as (value, steps); a step is (slot, border, goes left, share of rows)."""
-    by_tree: dict[int, dict[int, object]] = {}
-    for node in nodes:
-        by_tree.setdefault(node["tree"], {})[node["node"]] = node
-    leaves = []
-    for tree in by_tree.values():
-        waiting = [(0, [])]
-        while waiting:
-            at, steps = waiting.pop()
-            node = tree[at]
-            if node["left"] < 0:
-                leaves.append((node["weight"] * node["prediction"], steps))
-                continue
-            numeric = node["levels"] < 0
-            border = node["border"][0] if numeric else np.array(node["border"])
-            for child, is_left in ((node["left"], True), (node["right"], False)):
-                share = tree[child]["size"] / node["size"]
-                waiting.append((child, [*steps, (node["slot"], border, is_left, share)]))
-    return leaves
-
-
-# Up to this many features on a path, attributions are tabulated for every combination of
-# followed branches and looked up; beyond that they are computed row by row.
-TABLED = 10
-
-
-def _on_path(follows: np.ndarray, shares: np.ndarray) -> np.ndarray:
-    """Cases x features attributions of one path of value 1.
-
-    The sum over the sets of known features is the integral over t from 0 to 1 of the
-    product of the other features' (1 - t) * share + t * follows: a polynomial, which
-    Gauss-Legendre nodes integrate exactly.
-    """
-    d = len(shares)
-    at, weights = np.polynomial.legendre.leggauss((d + 1) // 2)
-    t = ((at + 1) / 2)[:, None, None]
-    factors = (1 - t) * shares + t * follows  # positive, since every branch has rows
-    others = factors.prod(axis=2, keepdims=True) / factors
-    return (follows - shares) * np.tensordot(weights / 2, others, 1)
-
-
-def shapley(
-    x: np.ndarray, leaves: list, owner: np.ndarray, features: int, tabled: int = TABLED
-) -> np.ndarray:
-    """Rows x features attributions. ``owner`` maps vector entries to features."""
-    columns = np.ascontiguousarray(x.T)
-    out = np.zeros((features, len(x)))
-    for value, steps in leaves:
-        # Steps on one feature act together: it follows its branch or its share.
-        follows: dict[int, np.ndarray] = {}
-        shares: dict[int, float] = {}
-        for slot, border, is_left, share in steps:
-            f = int(owner[slot])
-            v = columns[slot]
-            left = np.isin(v, border) if isinstance(border, np.ndarray) else v <= border
-            taken = left if is_left else ~left
-            follows[f] = follows[f] & taken if f in follows else taken
-            shares[f] = shares.get(f, 1.0) * share
-        d = len(shares)
-        if d == 0:
-            continue
-        own = np.array(list(shares.values()))
-        if d <= tabled:
-            cases = (np.arange(1 << d)[:, None] >> np.arange(d)) & 1
-            case = np.zeros(len(x), np.int64)
-            for k, known in enumerate(follows.values()):
-                case += known.astype(np.int64) << k
-            moved = np.ascontiguousarray(value * _on_path(cases, own).T)
-            for f, of_case in zip(shares, moved):
-                out[f] += of_case[case]
-        else:
-            for f, of_row in zip(shares, _on_path(np.column_stack([*follows.values()]), own).T):
-                out[f] += value * of_row
+from paneloom.operators.trees import TreeModel, _lists, _matrix
+
+#: Rows that are walked through a tree together.
+BLOCK = 2048
+
+_SUMS = ["n", "absolute", "known", "phi", "phi2", "x", "x2", "x_phi"]
+
+
+def depth_in_features(tree: Tree) -> int:
+    """The most different features on a path of the tree."""
+    most, waiting = 0, [(0, frozenset())]
+    while waiting:
+        node, seen = waiting.pop()
+        most = max(most, len(seen))
+        if tree.feature[node] >= 0:
+            seen = seen | {tree.feature[node]}
+            waiting += [(tree.left[node], seen), (tree.right[node], seen)]
+    return most
+
+
+def shapley(tree: Tree, bins: np.ndarray, out: np.ndarray) -> None:
+    """Adds the tree's attributions of the rows to `out`, features x rows."""
+    features = depth_in_features(tree)
+    if not features:
+        return
+    at, weights = np.polynomial.legendre.leggauss((features + 1) // 2)
+    t, weights = ((at + 1) / 2)[:, None], (weights / 2)[:, None]
+    columns = np.ascontiguousarray(bins.T)
+    ones = np.ones((len(t), len(bins)))
+
+    def walk(node: int, product: np.ndarray, on_path: dict) -> tuple[np.ndarray, dict]:
+        """Sums below a node of value times product, in all and below the topmost edges of
+        each feature. `on_path` has (follows, share, factor) of the features so far."""
+        feature = tree.feature[node]
+        if feature < 0:
+            return tree.value[node] * product, {}
+        goes_left = tree.goes_left(node, columns[feature])
+        above = on_path.get(feature)
+        whole, edges = 0.0, {}
+        for child, taken in ((tree.left[node], goes_left), (tree.right[node], ~goes_left)):
+            share = tree.cover[child] / tree.cover[node]
+            if above is None:
+                follows, before = taken, ones
+            else:
+                follows, share, before = above[0] & taken, above[1] * share, above[2]
+            factor = (1 - t) * share + t * follows
+            below, deeper = walk(
+                child, product * (factor / before), {**on_path, feature: (follows, share, factor)}
+            )
+            own = below - deeper.pop(feature) if feature in deeper else below
+            out[feature] += (follows - share) * (weights * own / factor).sum(axis=0)
+            whole = whole + below
+            for f, total in deeper.items():
+                edges[f] = edges[f] + total if f in edges else total
+        edges[feature] = whole
+        return whole, edges
+
+    walk(0, ones, {})
+
+
+def _attributed(trees: list[list[Tree]], bins: np.ndarray, wide: int, k: int) -> np.ndarray:
+    """Rows x features attributions to class `k`."""
+    out = np.zeros((wide, len(bins)))
+    for at in range(0, len(bins), BLOCK):
+        for of_round in trees:
+            shapley(of_round[k], bins[at : at + BLOCK], out[:, at : at + BLOCK])
     return out.T
 
 
-def _task(leaves: list, owner: np.ndarray, features: int, scale: float):
+def row_attributions(rows: DataFrame, model: TreeModel, keep: list[str]) -> DataFrame:
+    """`keep`, `class` (its place among the model's classes, 1 of two, 0 for a number), `rest`,
+    the margin without any feature, and `phi`, the features' attributions in the model's
+    order; with `rest` they add up to the margin."""
+    wide = len(model.encoding.features)
+    encoded = model.encoding.apply(rows, {"row": F.struct(*keep)})
+    classes = len(model.trees[0]) if model.trees else 1
+    expected = [
+        start + sum(_expected(of_round[k]) for of_round in model.trees)
+        for k, start in enumerate(model.start)
+    ]
+    sent = rows.sparkSession.sparkContext.broadcast(model.trees)
+    first = 1 if model.task == "binary" else 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = sent.value
+        for batch in batches:
+            bins = _matrix(batch["bins"])
+            for k in range(classes):
+                n = len(bins)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch["row"],
+                        pa.array(np.full(n, k + first, "int32")),
+                        pa.array(np.full(n, expected[k])),
+                        _lists(_attributed(trees, bins, wide, k)),
+                    ],
+                    ["row", "class", "rest", "phi"],
+                )
+
+    schema = T.StructType(
+        [
+            encoded.schema["row"],
+            T.StructField("class", T.IntegerType()),
+            T.StructField("rest", T.DoubleType()),
+            T.StructField("phi", T.ArrayType(T.DoubleType())),
+        ]
+    )
+    return encoded.mapInArrow(run, schema).select("row.*", "class", "rest", "phi")
+
+
+def _expected(tree: Tree) -> float:
+    """The tree's value when no feature is known."""
+    share, total = {0: 1.0}, 0.0
+    for node in range(len(tree.feature)):  # parents come before their children
+        if tree.feature[node] < 0:
+            total += share[node] * tree.value[node]
+            continue
+        for child in (tree.left[node], tree.right[node]):
+            share[child] = share[node] * tree.cover[child] / tree.cover[node]
+    return total
+
+
+def attribution(rows: DataFrame, model: TreeModel, of_class: int = 1) -> DataFrame:
+    """(feature, mean_abs, direction): mean absolute attribution, and its correlation with
+    the feature's value (positive: high values raise the score) over rows where it is known.
+    The value of a category is its level's place in sorted order. Of several classes, that of
+    `of_class`."""
+    spark = rows.sparkSession
+    names = model.encoding.features
+    wide, of_class = len(names), of_class if model.task == "multiclass" else 0
+    values = [
+        F.lit(0.0) if f in model.encoding.levels else F.col(f).cast("double") for f in names
+    ]
+    encoded = model.encoding.apply(rows, {"x": F.array(*values)})
+    sent = spark.sparkContext.broadcast(model.trees)
+    coded = [i for i, f in enumerate(names) if f in model.encoding.levels]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(_SUMS), features))
+        total = np.zeros((len(_SUMS), wide))
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            x = np.array(batch.column(0).flatten()).reshape(batch.num_rows, -1)
-            phi = scale * shapley(x, leaves, owner, features)
-            v = x[:, :features]
+            bins = _matrix(batch["bins"])
+            phi = _attributed(sent.value, bins, wide, of_class)
+            x = batch["x"].flatten().to_numpy(zero_copy_only=False).astype(float)
+            x = x.reshape(batch.num_rows, -1).copy()
+            x[:, coded] = bins[:, coded]
+            known = ~np.isnan(x)
+            x = np.where(known, x, 0.0)
+            seen = np.where(known, phi, 0.0)
             total += np.stack(
                 [
-                    np.full(features, float(len(x))), np.abs(phi).sum(0), phi.sum(0),
-                    (phi * phi).sum(0), v.sum(0), (v * v).sum(0), (v * phi).sum(0),
+                    np.full(wide, float(len(x))), np.abs(phi).sum(0), known.sum(0), seen.sum(0),
+                    (seen * seen).sum(0), x.sum(0), (x * x).sum(0), (x * seen).sum(0),
                 ]
             )
         if total[0].any():
-            ids = pa.array(np.arange(features, dtype="int32"))
+            ids = pa.array(np.arange(wide, dtype="int32"))
             yield pa.RecordBatch.from_arrays([ids, *map(pa.array, total)], names=["id", *_SUMS])
 
-    return run
-
-
-def attribution(rows: DataFrame, trees: TreeModel) -> DataFrame:
-    """(feature, mean_abs, direction): mean absolute attribution and its correlation
-    with the feature's value (positive: high values raise the score)."""
-    spark = rows.sparkSession
-    names = trees.encoding.features
-    place = {c: i for i, c in enumerate(names)}
-    owner = np.array([place[c] for c in trees.encoding.slots])
-    # At most rounds x 2^(depth + 1) nodes.
-    leaves = _leaves(tree_nodes(spark, trees).collect())
-    scale = 2.0 if trees.task == "binary" else 1.0
-    vectors = trees.encoding.apply(rows, []).select(vector_to_array("_vector").alias("x"))
-    parts = vectors.mapInArrow(
-        _task(leaves, owner, len(names), scale), "id int, " + ", ".join(f"{s} double" for s in _SUMS)
-    )
+    parts = encoded.mapInArrow(run, "id int, " + ", ".join(f"{s} double" for s in _SUMS))
     total = parts.groupBy("id").agg(*(F.sum(s).alias(s) for s in _SUMS))
-    n = F.col("n")
+    n = F.col("known")
 
     def spread(first: str, second: str):
         scaled = n * F.col(second)
@@ -146,6 +200,6 @@ def attribution(rows: DataFrame, trees: TreeModel) -> DataFrame:
     features = spark.createDataFrame(list(enumerate(names)), "id int, feature string")
     return features.join(total, "id").select(
         "feature",
-        (F.col("absolute") / n).alias("mean_abs"),
+        (F.col("absolute") / F.col("n")).alias("mean_abs"),
         (cross / F.sqrt(spread("x", "x2")) / F.sqrt(spread("phi", "phi2"))).alias("direction"),
     )

@@ -150,6 +150,51 @@ def spearman_target(
     return names.join(scores, "_i", "left").select("feature", "score")
 
 
+def roc_aucs(
+    df: DataFrame,
+    scores: list[str],
+    target: str,
+    slots: int = SLOTS,
+    rows_per_slot: int = ROWS_PER_SLOT,
+) -> DataFrame:
+    """(feature, n_rows, positives, auc) of each score, from its average ranks; null when a
+    class is absent. A score without known rows has no row."""
+    narrow = df.select(
+        *(F.col(c).cast("double").alias(c) for c in scores), F.col(target).cast("long").alias("y")
+    ).where("y IS NOT NULL")
+    # A slot holds that many rows anyway.
+    few = narrow.limit(rows_per_slot + 1).count() <= rows_per_slot and slots == SLOTS
+    if few:
+        slotted = narrow.withColumns({SLOT + c: F.lit(0).cast("long") for c in scores})
+    else:
+        slotted = rank_slots(narrow, scores, slots, rows_per_slot).add_to(narrow)
+    entries = [
+        F.struct(
+            F.lit(c).alias("feature"), F.col(c).alias("x"), F.col(SLOT + c).cast("long").alias("xs"), "y"
+        )
+        for c in scores
+    ]
+    counts = (
+        slotted.select(F.inline(F.array(*entries)))
+        .where("x IS NOT NULL AND xs IS NOT NULL")
+        .groupBy("feature", "x", "xs")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("positive"))
+    )
+    ranked = average_ranks(counts, "x", "xs", ["positive"])
+    sums = ranked.groupBy("feature").agg(
+        F.sum("n").alias("n_rows"),
+        F.sum("positive").alias("positives"),
+        F.sum(F.col("_rank") * F.col("positive")).alias("_ranks"),
+    )
+    p = F.col("positives").cast("double")
+    return sums.select(
+        "feature",
+        "n_rows",
+        "positives",
+        F.try_divide(F.col("_ranks") - p * (p + 1) / 2, p * (F.col("n_rows") - p)).alias("auc"),
+    )
+
+
 def roc_auc(
     df: DataFrame,
     score: str,

@@ -41,7 +41,7 @@ def test_customer_features(spark, inputs, tmp_path):
     out = str(tmp_path / "out")
     got = customer_features.run(
         spark, f"{folder}/statements/data_*.parquet", f"{folder}/labels/data_*.parquet", out, SPEC,
-        settings=quick(MAIN, 3, 3), top=12,
+        settings=quick(MAIN, 3, 8), top=12,
     )
     assert got.customers.count() == 150
     assert len(got.customers.columns) == 1 + 5 * 18 + 7
@@ -63,7 +63,7 @@ def test_screening(spark, inputs, tmp_path):
     out = str(tmp_path / "out")
     got = screening.run(
         spark, f"{folder}/statements/data_*.parquet", f"{folder}/labels/data_*.parquet", out, SPEC,
-        settings=quick(SCREENING, 4, 3),
+        settings=quick(SCREENING, 4, 8),
     )
     reasons = {r["feature"]: r["reason"] for r in got.removals.collect()}
     assert reasons["empty"] == "Missing 100%" and reasons["seq"].startswith("ID")

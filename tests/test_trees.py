@@ -1,17 +1,18 @@
-"""Importance, selection and attribution of small tree models."""
+"""Boosted trees against plain versions: growth, losses, blocks of rounds, attribution."""
 
-import itertools
 from dataclasses import replace
-from math import factorial
 
 import numpy as np
+import plain_trees
 import pytest
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from paneloom import PanelSpec
 from paneloom.catalog import models
 from paneloom.operators import attribution as at
+from paneloom.operators import trees as tr
+from paneloom.operators.boosting import Grower, Growth, Tree, gradients, losses, shares
+from paneloom.operators.correlation import roc_auc, roc_aucs
 from paneloom.operators.trees import (
     MAIN,
     SCREENING,
@@ -21,12 +22,90 @@ from paneloom.operators.trees import (
     category_features,
     fit_trees,
     gain_importance,
-    learn_encoding,
     quick,
-    tree_nodes,
 )
 
 
+def table(n, seed, levels=6):
+    """Bins of two numbers with missing values, a flat one, and a category; a target."""
+    rng = np.random.default_rng(seed)
+    x = rng.integers(0, 9, n)
+    category = rng.integers(0, levels, n)
+    bins = np.column_stack([x, rng.integers(0, 5, n), np.ones(n), category]).astype("<u2")
+    y = ((x == 0) | (x > 5)) ^ (category % 3 == 1) ^ (rng.random(n) < 0.1)
+    return bins, [10, 6, 3, levels + 1], [False, False, False, True], y.astype(float)
+
+
+@pytest.mark.parametrize("seed, levels", [(1, 3), (2, 6), (3, 12)])
+def test_a_tree_equals_the_plain_one(seed, levels):
+    bins, sizes, is_category, y = table(160, seed, levels)
+    growth = Growth(leaves=9, min_rows=5, smooth=2.0, penalty=1.5, most_levels=4)
+    g, h = (a[:, 0] for a in gradients("binary", y, np.zeros((len(y), 1))))
+    rows = np.arange(len(y))
+    grower = Grower(bins, sizes, is_category, growth)
+    tree, leaves = grower.grow(g, h, rows, np.arange(4), 0.5)
+    want, sets = plain_trees.gains(bins, rows, sizes, is_category, g, h, growth)
+    got = [(tree.feature[n], tree.gain[n]) for n in range(len(tree.feature)) if tree.feature[n] >= 0]
+    # Nodes are numbered when they are made, so compare as sets of splits.
+    assert [f for f, _ in sorted(got, key=lambda s: -s[1])] == [
+        f for f, _ in sorted(want, key=lambda s: -s[1])
+    ]
+    assert np.allclose(sorted(s[1] for s in got), sorted(s[1] for s in want))
+    assert sorted(sorted(r.tolist()) for _, r in leaves) == sorted(sets)
+    for node, own in leaves:
+        assert np.isclose(tree.value[node], -0.5 * g[own].sum() / h[own].sum())
+        assert (tree.leaf_of(bins)[own] == node).all() and tree.cover[node] == len(own)
+
+
+def test_many_levels_are_ordered_in_each_leaf():
+    rng = np.random.default_rng(4)
+    n, levels = 4000, 500
+    code = rng.integers(0, levels, n)
+    y = (code % 7 == 0).astype(float)
+    bins = code[:, None].astype("<u2")
+    g, h = (a[:, 0] for a in gradients("binary", y, np.zeros((n, 1))))
+    growth = Growth(leaves=2, smooth=10, penalty=10, most_levels=80)
+    tree, _ = Grower(bins, [levels + 1], [True], growth).grow(g, h, np.arange(n), np.arange(1), 1.0)
+    ratio = {c: g[code == c].sum() / (h[code == c].sum() + 10) for c in set(code)}
+    up = sorted(ratio, key=ratio.get)
+    def gain(side):
+        at = np.isin(code, side)
+        return sum(g[p].sum() ** 2 / (h[p].sum() + 10) for p in (at, ~at)) - g.sum() ** 2 / h.sum()
+    want = max(gain(o[:k]) for o in (up, up[::-1]) for k in range(1, 81))
+    assert np.isclose(tree.gain[0], want)
+    assert all(c % 7 == 0 for c in tree.levels[0])  # what a hash of levels would mix up
+
+
+def test_missing_values_choose_their_side():
+    bins = np.array([[0]] * 30 + [[1]] * 30 + [[2]] * 30, "<u2")
+    for with_low in (True, False):
+        y = np.array([1.0 if with_low else 0.0] * 30 + [1.0] * 30 + [0.0] * 30)
+        g, h = (a[:, 0] for a in gradients("binary", y, np.zeros((90, 1))))
+        tree, _ = Grower(bins, [4], [False], Growth(leaves=2)).grow(g, h, np.arange(90), np.arange(1), 1.0)
+        assert tree.border[0] == 1 and tree.missing_left[0] == with_low
+
+
+def test_no_rows_no_split():
+    grower = Grower(np.zeros((0, 2), "<u2"), [3, 3], [False, True], Growth())
+    tree, leaves = grower.grow(np.zeros(0), np.zeros(0), np.arange(0), np.arange(2), 0.1)
+    assert tree.feature == [-1] and tree.value == [0.0] and len(leaves) == 1
+
+
+def test_losses_and_their_slopes():
+    rng = np.random.default_rng(0)
+    for task, classes in (("regression", 1), ("binary", 1), ("multiclass", 3)):
+        y = rng.integers(0, max(2, classes), 20).astype(float)
+        m = rng.normal(size=(20, classes))
+        g, h = gradients(task, y, m)
+        for k in range(classes):
+            step = np.zeros_like(m)
+            step[:, k] = 1e-6
+            slope = (losses(task, y, m + step) - losses(task, y, m - step)) / 2e-6
+            assert np.allclose(slope, g[:, k] * (2 if task == "regression" else 1), atol=1e-6)
+        assert (h > 0).all()
+    assert np.allclose(shares(np.array([[1000.0, 1000.0]])), 0.5)
+
+
 @pytest.fixture(scope="module")
 def rows(spark):
     i = F.col("id")
@@ -48,11 +127,12 @@ def rows(spark):
 
 
 FEATURES = ["x", "noise", "kind", "flat"]
+SMALL = quick(MAIN, 4, 6)
 
 
 @pytest.fixture(scope="module")
 def model(rows):
-    return fit_trees(rows, FEATURES, ["kind"], "y", quick(MAIN, 4, 3))
+    return fit_trees(rows, FEATURES, ["kind"], "y", SMALL)
 
 
 def test_gain_ranks_what_matters(spark, model):
@@ -64,54 +144,110 @@ def test_gain_ranks_what_matters(spark, model):
     assert best == sorted(["x", "kind"], key=lambda f: -score[f])
 
 
-def conditional(tree, at_node, x, known, owner):
-    """Expected leaf value when only some features are known."""
-    node = tree[at_node]
-    if node["left"] < 0:
-        return node["prediction"]
-    left, right = (conditional(tree, node[s], x, known, owner) for s in ("left", "right"))
-    if owner[node["slot"]] in known:
-        v = x[node["slot"]]
-        goes_left = v <= node["border"][0] if node["levels"] < 0 else v in node["border"]
-        return left if goes_left else right
-    share = tree[node["left"]]["size"] / node["size"]
-    return share * left + (1 - share) * right
-
-
-def test_attribution_equals_the_definition(spark, rows, model):
+def test_bins(spark):
+    df = spark.createDataFrame(
+        [(1.0, "a"), (2.0, "b"), (2.0, None), (float("nan"), "b"), (None, "zz"), (9.0, "a")],
+        "x double, k string",
+    )
+    encoding = tr.learn_encoding(df.where("k IS NULL OR k <> 'zz'"), ["x", "k"], ["k"])
+    assert encoding.borders["x"].tolist() == [1.0, 2.0] and len(encoding.levels["k"]) == 3
+    got = encoding.apply(df, {"x": F.col("x")}).collect()
+    codes = [tuple(np.frombuffer(r["bins"], "<u2")) for r in got]
+    assert [c[0] for c in codes] == [1, 2, 2, 0, 0, 3]
+    assert codes[4][1] == 3 and codes[0][1] == codes[5][1] and codes[2][1] not in (codes[0][1], codes[1][1])
+
+
+@pytest.mark.parametrize("settings", [SMALL, replace(SMALL, row_share=0.7, row_every=2, column_share=0.5)])
+def test_tasks_grow_the_same_trees(rows, settings):
+    one = fit_trees(rows, FEATURES, ["kind"], "y", settings, tasks=1)
+    three = fit_trees(rows.repartition(5), FEATURES, ["kind"], "y", settings, tasks=3)
+    if settings.row_share < 1:  # the drawn rows differ with the numbers they got
+        assert len(three.trees) == len(one.trees)
+        return
+    for a, b in zip(one.trees, three.trees):
+        assert a[0].feature == b[0].feature and a[0].border == b[0].border
+        assert np.allclose(a[0].value, b[0].value) and a[0].cover == b[0].cover
+
+
+def test_blocks_continue_from_their_margins(rows, model, monkeypatch):
+    monkeypatch.setattr(tr, "BLOCK", 3)
+    again = fit_trees(rows, FEATURES, ["kind"], "y", SMALL)
+    assert len(again.trees) == 4
+    for a, b in zip(model.trees, again.trees):
+        assert a[0].feature == b[0].feature and np.allclose(a[0].value, b[0].value)
+
+
+def test_three_classes_equal_plain_boosting(spark, rows):
+    df = rows.withColumn("c", F.when(F.col("x") > 0.6, "b").when(F.col("kind") == "k1", "c").otherwise("a"))
+    settings = replace(quick(SCREENING, 3, 4), row_share=1.0, column_share=1.0)
+    model = fit_trees(df, ["x", "kind"], ["kind"], "c", settings, "multiclass", valid=df)
+    assert model.classes == ["a", "b", "c"] and all(len(r) == 3 for r in model.trees)
+    data = model.encoding.apply(df, {"c": F.col("c")}).collect()
+    bins = np.array([np.frombuffer(r["bins"], "<u2") for r in data])
+    y = np.array(["abc".index(r["c"]) for r in data], float)
+    margins = np.tile(np.array(model.start), (len(y), 1))
+    loss = []
+    for _ in range(3):
+        g, h = gradients("multiclass", y, margins)
+        for k in range(3):
+            grower = Grower(bins, model.encoding.sizes, model.encoding.is_category, Growth(leaves=4))
+            tree, _ = grower.grow(g[:, k], h[:, k], np.arange(len(y)), np.arange(2), 0.05)
+            margins[:, k] += tree.predict(bins)
+        loss.append(-np.log(shares(margins)[np.arange(len(y)), y.astype(int)]).mean())
+    assert np.allclose([-m for m in model.metric], loss)
+    scores = [r["score"] for r in model.scored(df, ["id"]).collect()]
+    assert np.allclose(sorted(scores), sorted(shares(margins).max(axis=1)))
+    phi = at.row_attributions(df.where("id < 40"), model, ["id"]).collect()
+    told = {r["id"]: r["margins"] for r in model.margins(df.where("id < 40"), ["id"]).collect()}
+    assert len(phi) == 120 and {r["class"] for r in phi} == {0, 1, 2}
+    assert all(abs(r["rest"] + sum(r["phi"]) - told[r["id"]][r["class"]]) < 1e-9 for r in phi)
+    assert at.attribution(df, model, of_class=2).count() == 2
+
+
+def test_a_number_is_learned(spark, rows):
+    df = rows.where("x IS NOT NULL").withColumn("z", F.col("x") * 2 + 1)
+    model = fit_trees(df, ["x", "kind"], ["kind"], "z", quick(SCREENING, 60, 8), "regression", valid=df)
+    got = model.scored(df, ["id", "z"]).select(F.avg(F.abs(F.col("score") - F.col("z")))).first()[0]
+    assert got < 0.12 and model.metric[-1] > model.metric[0]
+    assert at.attribution(df, model).count() == 2
+
+
+def test_attribution_equals_the_definition(rows, model):
     """Against the sum over all sets of known features, and it adds up to the score."""
-    nodes = tree_nodes(spark, model).collect()
-    names = model.encoding.features
-    owner = np.array([names.index(s) for s in model.encoding.slots])
     sample = rows.where("id < 25")
-    encoded = model.encoding.apply(sample, ["id"]).select("id", vector_to_array("_vector").alias("v"))
-    encoded = encoded.orderBy("id").collect()
-    x = np.array([r["v"] for r in encoded])
-    got = at.shapley(x, at._leaves(nodes), owner, len(names))
-    row_by_row = at.shapley(x, at._leaves(nodes), owner, len(names), tabled=0)
-    assert np.allclose(got, row_by_row, rtol=0, atol=1e-12)
-
-    trees = {}
-    for n in nodes:
-        trees.setdefault(n["tree"], {})[n["node"]] = n
-    value = lambda row, known: sum(
-        t[0]["weight"] * conditional(t, 0, row, known, owner) for t in trees.values()
-    )
-    d = len(names)
-    for row, phi in zip(x, got):
-        for f in range(d):
-            others = [g for g in range(d) if g != f]
-            want = sum(
-                factorial(k) * factorial(d - 1 - k) / factorial(d)
-                * (value(row, {*s, f}) - value(row, set(s)))
-                for k in range(d)
-                for s in itertools.combinations(others, k)
-            )
-            assert abs(want - phi[f]) < 1e-9
-    base = value(x[0], set())
+    data = model.encoding.apply(sample, {"id": F.col("id")}).collect()
+    bins = np.array([np.frombuffer(r["bins"], "<u2") for r in data])
+    for of_round in model.trees:
+        out = np.zeros((4, len(bins)))
+        at.shapley(of_round[0], bins, out)
+        for row, phi in zip(bins, out.T):
+            want, _ = plain_trees.shapley(of_round[0], row, 4)
+            assert np.allclose(phi, want, atol=1e-12)
     score = {r["id"]: r["score"] for r in model.scored(sample, ["id"]).collect()}
-    for r, phi in zip(encoded, got):
-        assert abs(2 * (base + phi.sum()) - score[r["id"]]) < 1e-9
+    got = at.row_attributions(sample, model, ["id"]).collect()
+    assert {r["class"] for r in got} == {1}
+    assert all(abs(r["rest"] + sum(r["phi"]) - score[r["id"]]) < 1e-9 for r in got)
+
+
+def test_deep_paths_with_repeated_features():
+    rng = np.random.default_rng(7)
+    n, wide = 400, 7
+    bins = rng.integers(0, 12, (n, wide)).astype("<u2")
+    y = (bins.sum(axis=1) + rng.normal(size=n) * 4 > 38).astype(float)
+    g, h = (a[:, 0] for a in gradients("binary", y, np.zeros((n, 1))))
+    growth = Growth(leaves=40, min_rows=4)
+    tree, _ = Grower(bins, [13] * wide, [False] * wide, growth).grow(g, h, np.arange(n), np.arange(wide), 1.0)
+    assert at.depth_in_features(tree) > 3
+    out = np.zeros((wide, 10))
+    at.shapley(tree, bins[:10], out)
+    for row, phi in zip(bins, out.T):
+        want, rest = plain_trees.shapley(tree, row, wide)
+        assert np.allclose(phi, want, atol=1e-12)
+        assert np.isclose(rest, at._expected(tree))
+    lone = Tree()
+    lone.add(0.5, 10)
+    at.shapley(lone, bins, out := np.zeros((wide, n)))
+    assert not out.any() and at._expected(lone) == 0.5
 
 
 def test_attribution_table(rows, model):
@@ -120,16 +256,7 @@ def test_attribution_table(rows, model):
     assert table["x"]["mean_abs"] > table["noise"]["mean_abs"]
     assert table["x"]["direction"] > 0.5
     assert table["flat"]["mean_abs"] == 0 and table["flat"]["direction"] is None
-
-
-@pytest.mark.parametrize("task, target", [("regression", "x"), ("multiclass", "c")])
-def test_other_tasks(spark, rows, task, target):
-    df = rows.withColumn("c", F.col("id") % 3).where("x IS NOT NULL")
-    model = fit_trees(df, ["noise", "kind"], ["kind"], target, quick(SCREENING, 3, 3), task)
-    score = {r["feature"]: r["score"] for r in gain_importance(spark, model).collect()}
-    assert set(score) == {"noise", "kind"} and max(score.values()) > 0
-    assert model.scored(df, ["id"]).where("score IS NULL").count() == 0
-    assert at.attribution(df, model).count() == 2 if task == "regression" else True
+    assert at.attribution(rows.limit(0), model).count() == 0
 
 
 def test_patience():
@@ -140,13 +267,25 @@ def test_patience():
     assert best_round([0.5, 0.5, 0.5], 2) == (1, True)
 
 
-def test_boosting_keeps_the_best_round_of_the_held_part(rows):
-    settings = replace(quick(SCREENING, 30, 2), patience=5)
-    held = rows.withColumn("y", F.lit(0))
-    model = fit_trees(rows, ["x"], [], "y", settings, valid=held)
-    assert model.model.getNumTrees < 12
+def test_rounds_up_to_the_best_auc_are_kept(rows, monkeypatch):
+    monkeypatch.setattr(tr, "BLOCK", 5)
+    settings = replace(quick(SCREENING, 20, 3), patience=4)
+    against = rows.withColumn("y", 1 - F.col("y"))
+    model = fit_trees(rows, ["x", "kind"], ["kind"], "y", settings, valid=against)
+    assert len(model.trees) == best_round([-m for m in model.metric], 4)[0] and len(model.metric) < 20
     learnable = fit_trees(rows, ["x", "kind"], ["kind"], "y", settings, valid=rows)
-    assert learnable.model.getNumTrees > 20
+    auc = roc_auc(learnable.scored(rows, ["id", "y"]), "score", "y").first()["auc"]
+    assert abs(auc - learnable.metric[len(learnable.trees) - 1]) < 1e-12
+
+
+def test_aucs_of_many_scores_equal_those_of_one(rows):
+    df = rows.select("x", "noise", F.lit(None).cast("double").alias("none"), "y")
+    for limits in ({}, {"slots": 4, "rows_per_slot": 10}):
+        got = {r["feature"]: (r["n_rows"], r["auc"]) for r in roc_aucs(df, ["x", "noise", "none"], "y", **limits).collect()}
+        assert set(got) == {"x", "noise"}
+        for c in got:
+            one = roc_auc(df, c, "y").first()
+            assert got[c][0] == one["n_rows"] and abs(got[c][1] - one["auc"]) < 1e-12
 
 
 def test_category_features_by_name():
@@ -159,25 +298,6 @@ def test_category_features_by_name():
     assert len(found) == 22 and "P_2_last" not in found
 
 
-def test_a_category_of_many_levels_is_hashed(spark):
-    k = F.col("id") % 5000
-    df = spark.range(20_000).select(
-        k.cast("string").alias("k"), (k % 7 == 0).cast("int").alias("y"), F.rand(1).alias("x")
-    )
-    model = fit_trees(df, ["k", "x"], ["k"], "y", quick(MAIN, 2, 3))
-    assert model.encoding.hashed == {"k": MAIN.bins - 1}
-    assert model.encoding.most_levels <= MAIN.bins
-    unseen = spark.createDataFrame([("new", 0.5), (None, None)], "k string, x double")
-    assert model.scored(unseen, ["k"]).where("score IS NULL").count() == 0
-
-
-@pytest.mark.parametrize("levels, hashed", [(62, {}), (63, {}), (64, {"k": 63}), (200, {"k": 63})])
-def test_levels_on_both_sides_of_the_bins(spark, levels, hashed):
-    df = spark.range(600).select((F.col("id") % levels).cast("string").alias("k"))
-    encoding = learn_encoding(df, ["k"], ["k"])
-    assert encoding.hashed == hashed and encoding.most_levels <= MAIN.bins
-
-
 @pytest.mark.parametrize("name, settings", [
     ("gain_importance", MAIN), ("selected_train", MAIN), ("selected_valid", MAIN),
     ("importance_norm", SCREENING), ("importance_cut", SCREENING), ("validation_auc", SCREENING),
