@@ -1,11 +1,13 @@
 """Lines that many documents share, found without moving text.
 
-Line hashes are range-partitioned by (hash, document) and sorted by document and
-position, so the occurrences of a line stream by in order, across as many tasks as a very
-common line needs. A task counts the documents of each hash as they come. A hash that
-starts or ends a partition may go on in the next; for these two the counts are summed
-over tasks (at most two rows per task, hence broadcast). The result is one compressed
-bitmap per document that loses a line; texts are joined with it only to be cut.
+Line hashes are range-partitioned and sorted by hash, document, row and position, so the
+occurrences of a line stream by in order, across as many tasks as a very common line needs,
+also where they are all of one document. A task counts the documents of each hash as they
+come. A hash that starts or ends a partition may go on in the next; for these the counts are
+summed over tasks, less the documents that two neighbours have both counted (at most two
+rows per task, hence broadcast). Rows of a line that too few documents hold too often are
+not kept in memory but decided in the same way. The result is one compressed bitmap per
+document that loses a line; texts are joined with it only to be cut.
 
 Defined cases. A null or empty text is one empty line. Empty keys are never dropped.
 Rows that share an id count as one document, null being an id of its own; each row still
@@ -23,7 +25,8 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paneloom.llm.common import (
@@ -37,12 +40,18 @@ from paneloom.llm.common import (
 )
 
 DROP, OPEN, BORDER = 0, 1, 2
+#: Rows of a line with too few documents that a task holds; beyond, they are decided by a join.
+HELD = 50_000
 WHITE_BYTES = WHITE.encode()
 LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
 def keep_bitmaps(
-    docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    min_docs: int = 10,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    held: int = HELD,
 ) -> DataFrame:
     """(k1, k2, n_lines, n_dropped, keep) for documents that lose a line.
 
@@ -51,18 +60,26 @@ def keep_bitmaps(
     """
     lines = _line_hashes(id_and_text(docs, id_col, text_col))
     spark = docs.sparkSession
-    ranged = lines.repartitionByRange(
-        shuffle_tasks(spark), "h1", "h2", "id"
-    ).sortWithinPartitions("h1", "h2", "id", "k1", "k2", "pos")
+    order = ["h1", "h2", "id", "k1", "k2", "pos"]
+    ranged = lines.repartitionByRange(shuffle_tasks(spark), *order).sortWithinPartitions(*order)
+    kind = lines.schema["id"].dataType.simpleString()
     found = shared_table(
         ranged.mapInArrow(
-            lambda batches: _shared_lines(batches, min_docs),
-            "kind int, h1 long, h2 long, docs long, k1 long, k2 long, pos int, n_lines int",
+            lambda batches: _shared_lines(
+                batches, min_docs, TaskContext.get().partitionId(), held
+            ),
+            "kind int, h1 long, h2 long, docs long, part int, "
+            f"first_id {kind}, last_id {kind}, k1 long, k2 long, pos int, n_lines int",
         ),
         "lines",
     )
-    frequent = (  # at most two rows per task
+    # At most two rows per task, and one per `held` rows.
+    upto = Window.partitionBy("h1", "h2").orderBy("part")
+    before = F.lag(F.struct("last_id")).over(upto)
+    twice = before.isNotNull() & before["last_id"].eqNullSafe(F.col("first_id"))
+    frequent = (
         found.filter(F.col("kind") == BORDER)
+        .select("h1", "h2", (F.col("docs") - twice.cast("int")).alias("docs"))
         .groupBy("h1", "h2")
         .agg(F.sum("docs").alias("docs"))
         .filter(F.col("docs") >= min_docs)
@@ -115,36 +132,54 @@ def _line_hashes(docs: DataFrame) -> DataFrame:
     )
 
 
-def _shared_lines(batches: Iterator[pa.RecordBatch], min_docs: int) -> Iterator[pa.RecordBatch]:
-    """Streams one sorted partition; holds the open run only while it has too few documents."""
-    held: pa.Table | None = None  # the open run, or only its last row once it is frequent
+def _shared_lines(
+    batches: Iterator[pa.RecordBatch], min_docs: int, part: int, most: int = HELD
+) -> Iterator[pa.RecordBatch]:
+    """Streams one sorted partition. The open run is held while it has too few documents and
+    at most `most` rows; then its rows are given out as they come, to be dropped or, if it
+    has too few documents still, to be decided by the sum of its documents."""
+    held: pa.Table | None = None  # the open run, or only its last row once it is given out
+    given = None  # how: DROP or OPEN
     before = 0  # documents of the open run that are no longer held
-    first = True  # the first run of the partition is among the rows at hand
+    first = True  # the open run is the partition's first
+    start_id = None
     for batch in batches:
         if not batch.num_rows:
             continue
         rows = pa.Table.from_batches([batch])
-        known = before
-        skip = 1 if known else 0  # a held last row has been given out
         if held is not None:
             rows = pa.concat_tables([held, rows])
+        else:
+            start_id = rows["id"].slice(0, 1)
+        skip = 0 if given is None else 1  # a held last row has been given out
         starts, docs = _runs(rows)
-        docs[0] += known
+        docs[0] += before
         ends = np.append(starts[1:], rows.num_rows)
-        out = _closed(rows, starts[:-1], ends[:-1], docs[:-1], min_docs, first, skip)
+        out = []
         if len(starts) > 1:
-            first, skip = False, 0
-        last = rows.slice(starts[-1])
-        if docs[-1] >= min_docs:
-            out.append(_rows(last.slice(skip), DROP))
-            held, before = last.slice(last.num_rows - 1), int(docs[-1]) - 1
-        else:
+            run, n = rows.slice(0, ends[0]), int(docs[0])
+            kind = given if given is not None else DROP if n >= min_docs else OPEN
+            if kind == DROP or first or given is not None:
+                out.append(_rows(run.slice(skip), kind))
+            if first or given == OPEN:
+                out.append(_border(run, n, part, start_id))
+            keep = np.repeat(docs[1:-1] >= min_docs, (ends - starts)[1:-1])
+            closed = rows.slice(ends[0], len(keep))
+            out.append(_rows(closed.filter(pa.array(keep, pa.bool_())), DROP))
+            first, given, skip = False, None, 0
+            start_id = rows["id"].slice(starts[-1], 1)
+        last, n = rows.slice(starts[-1]), int(docs[-1])
+        if given is None and (n >= min_docs or last.num_rows > most):
+            given = DROP if n >= min_docs else OPEN
+        if given is None:
             held, before = last, 0
+        else:
+            out.append(_rows(last.slice(skip), given))
+            held, before = last.slice(last.num_rows - 1), n - 1
         yield from _batches(out)
     if held is not None:
-        count = int(_runs(held)[1][0]) + before
-        out = [_border(held, count)]
-        if not before:
+        out = [_border(held, int(_runs(held)[1][0]) + before, part, start_id)]
+        if given is None:
             out.append(_rows(held, OPEN))
         yield from _batches(out)
 
@@ -163,38 +198,24 @@ def _runs(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.add.reduceat(new_doc.astype(np.int64), starts)
 
 
-def _closed(rows, starts, ends, docs, min_docs, first, skip) -> list[pa.Table]:
-    """What is to be said of runs that have ended."""
-    out = []
-    if not len(starts):
-        return out
-    keep = np.repeat(docs >= min_docs, ends - starts)
-    keep[: min(skip, len(keep))] = False
-    out.append(_rows(rows.slice(0, len(keep)).filter(pa.array(keep)), DROP))
-    if first:
-        run = rows.slice(0, ends[0])
-        out.append(_border(run, int(docs[0])))
-        if docs[0] < min_docs:
-            out.append(_rows(run, OPEN))
-    return out
-
-
-NAMES = ["kind", "h1", "h2", "docs", "k1", "k2", "pos", "n_lines"]
+NAMES = ["kind", "h1", "h2", "docs", "part", "first_id", "last_id", "k1", "k2", "pos", "n_lines"]
 
 
 def _rows(rows: pa.Table, kind: int) -> pa.Table:
     n = rows.num_rows
+    ids = pa.nulls(n, rows.schema.field("id").type)
     return pa.table(
         [pa.array(np.full(n, kind, np.int32)), rows["h1"], rows["h2"], pa.nulls(n, pa.int64()),
-         rows["k1"], rows["k2"], rows["pos"], rows["n_lines"]],
+         pa.nulls(n, pa.int32()), ids, ids, rows["k1"], rows["k2"], rows["pos"], rows["n_lines"]],
         names=NAMES,
     )
 
 
-def _border(run: pa.Table, docs: int) -> pa.Table:
-    one = run.slice(0, 1)
+def _border(run: pa.Table, docs: int, part: int, first_id: pa.ChunkedArray) -> pa.Table:
+    one = run.slice(run.num_rows - 1, 1)
     return pa.table(
         [pa.array([BORDER], pa.int32()), one["h1"], one["h2"], pa.array([docs], pa.int64()),
+         pa.array([part], pa.int32()), first_id, one["id"],
          pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()),
          pa.nulls(1, pa.int32())],
         names=NAMES,
