@@ -1,10 +1,10 @@
 """Passages of benchmark items in documents.
 
 A window is `n` consecutive words of an item, or all words of a shorter one. While the
-windows are few enough (`max_windows`, counted first) they travel as a broadcast hash set
-to one scan of the documents: a rolling hash of word numbers finds places, the words
-themselves decide. Beyond that bound windows and documents meet in a join on 128-bit
-window hashes instead; results are the same.
+items are small enough (`max_bytes`, counted first) they travel as a broadcast, and every task
+makes the sorted set of its windows' hashes for one scan of the documents: a rolling hash of
+word hashes finds places, the words themselves decide. Beyond that bound windows and
+documents meet in a join on 128-bit window hashes instead; results are the same.
 
 Defined cases. A null or empty text or item has no words and hits nothing. Rows that share
 an item_id are parts of one item; a null item_id counts as one item named "". Repeated
@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +26,14 @@ from pyspark.sql import types as T
 from paneloom.llm.common import row_keys, words_of
 
 WINDOW = 13
-#: Windows that may be broadcast: about 100 bytes each, so 50 MB.
-MAX_WINDOWS = 500_000
+#: Bytes of items that may be broadcast. A task needs about 10 bytes for each of them, for
+#: the words' places and hashes and the windows' (50 a word of 5 bytes).
+MAX_BYTES = 4 << 20
+#: What an item counts beside its text.
+ITEM_BYTES = 64
+# Odd multipliers, which spread hashes of words over 64 bits.
+BASE = np.uint64(0x9E3779B97F4A7C15)
+STEP = np.uint64(0xD6E8FEB86659FD93)
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 HITS = T.StructType(
     [
@@ -71,7 +76,7 @@ def find_passages(
     docs: DataFrame,
     items: DataFrame,
     n: int = WINDOW,
-    max_windows: int = MAX_WINDOWS,
+    max_bytes: int = MAX_BYTES,
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
@@ -80,57 +85,81 @@ def find_passages(
     """(row, n_words, n_hit, items, spans): `row` holds the columns `carry` of `docs`, all
     by default; `items` are ids in string order; `spans` are maximal runs [first, past
     last] of hit words."""
-    windows = benchmark_windows(items, n, item_col, item_text_col)
     rows = docs.select(
         F.struct(*(carry or docs.columns)).alias("row"),
         F.col(text_col).cast("string").alias("text"),
     )
-    few = windows.limit(max_windows + 1).collect()
-    if len(few) <= max_windows:
-        return _by_broadcast(rows, few)
-    return _by_join(rows, windows)
+    size = items.agg(
+        F.sum(F.octet_length(F.col(item_text_col).cast("string")).cast("long")).alias("bytes"),
+        F.count(F.lit(1)).alias("n"),
+    ).first()
+    if (size["bytes"] or 0) + ITEM_BYTES * size["n"] <= max_bytes:
+        return _by_broadcast(rows, items, n, item_col, item_text_col)
+    return _by_join(rows, benchmark_windows(items, n, item_col, item_text_col))
 
 
 class _Windows:
-    """Windows as word numbers, with a rolling hash to find them."""
-
-    def __init__(self, rows: list[tuple[str, str]]):
-        self.items: dict[tuple[bytes, ...], list[str]] = {}
-        for item, window in rows:
-            self.items.setdefault(tuple(window.encode().split(b" ")), []).append(item)
-        self.numbers: dict[bytes, int] = {}
-        for window in self.items:
-            for word in window:
-                self.numbers.setdefault(word, len(self.numbers) + 1)
-        # odd multipliers spread word numbers over 64 bits
-        self.base = np.uint64(0x9E3779B97F4A7C15)
-        self.step = np.uint64(0xD6E8FEB86659FD93)
-        self.lookup: dict[int, np.ndarray] = {}
-        for size in {len(w) for w in self.items}:
-            same = [w for w in self.items if len(w) == size]
-            codes = np.array([[self.numbers[x] for x in w] for w in same], np.uint64)
-            seen = np.zeros(1 << 16, bool)
-            seen[self.rolled(codes.T, size) >> np.uint64(48)] = True
-            self.lookup[size] = seen
-
-    def rolled(self, columns, size: int) -> np.ndarray:
-        total = columns[0] * self.base
+    """Windows as places in the items' words, with a rolling hash to find them.
+
+    Words are the interpreter's 64-bit hashes (the same within a process), a window is the
+    rolled hash of its words; sorted hashes say where a window may stand, its words decide.
+    """
+
+    def __init__(self, items: list[tuple[str, bytes]], n: int):
+        self.items = [item for item, _ in items]
+        words = [text.split(b" ") for _, text in items]
+        self.text = b" ".join(text for _, text in items)
+        lengths = np.fromiter((len(w) for own in words for w in own), np.int64)
+        self.ends = np.cumsum(lengths + 1) - 1
+        self.starts = self.ends - lengths
+        codes = self.codes([w for own in words for w in own])
+        counts = np.array([len(own) for own in words], np.int64)
+        firsts = np.cumsum(counts) - counts
+        self.by_size: dict[int, tuple[np.ndarray, ...]] = {}
+        for size in sorted({min(n, int(c)) for c in counts}):
+            own = np.flatnonzero(counts == size if size < n else counts >= n)
+            at = np.concatenate([firsts[i] + np.arange(counts[i] - size + 1) for i in own])
+            item = np.repeat(own, counts[own] - size + 1)
+            hashes = self.rolled(codes, size)[at]
+            order = np.argsort(hashes, kind="stable")
+            shift = np.uint64(64 - max(16, min(26, int(len(at) * 8).bit_length())))
+            seen = np.zeros(1 << int(np.uint64(64) - shift), bool)
+            seen[hashes >> shift] = True
+            self.by_size[size] = (hashes[order], at[order], item[order], seen, shift)
+
+    @staticmethod
+    def codes(words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+
+    @staticmethod
+    def rolled(codes: np.ndarray, size: int) -> np.ndarray:
+        total = codes[: len(codes) - size + 1] * BASE
         for j in range(1, size):
-            total = total * self.step + columns[j] * self.base
+            total = total * STEP + codes[j : len(codes) - size + 1 + j] * BASE
         return total
 
-    def places(self, words: list[bytes]) -> Iterator[tuple[int, int, list[str]]]:
-        """(first word, size, items) of every window that occurs."""
-        codes = np.fromiter(map(self.numbers.get, words, repeat(0)), np.uint64, len(words))
-        total = None
-        for size in range(1, min(len(words), max(self.lookup, default=0)) + 1):
-            here = codes[size - 1 :] * self.base
-            total = here if total is None else total[:-1] * self.step + here
-            if size in self.lookup:
-                for at in np.flatnonzero(self.lookup[size][total >> np.uint64(48)]):
-                    items = self.items.get(tuple(words[at : at + size]))
-                    if items:
-                        yield int(at), size, items
+    def places(self, words: list[bytes]) -> Iterator[tuple[int, int, set[int]]]:
+        """(first word, size, numbers of the items) of every window that occurs."""
+        codes, total = self.codes(words) * BASE, None
+        for size in range(1, min(len(words), max(self.by_size, default=0)) + 1):
+            here = codes[size - 1 :]
+            total = here if total is None else total[:-1] * STEP + here
+            if size not in self.by_size:
+                continue
+            hashes, at, item, seen, shift = self.by_size[size]
+            maybe = np.flatnonzero(seen[total >> shift])
+            low = np.searchsorted(hashes, total[maybe], "left")
+            high = np.searchsorted(hashes, total[maybe], "right")
+            for place, a, b in zip(maybe.tolist(), low.tolist(), high.tolist()):
+                if a < b:
+                    own = b" ".join(words[place : place + size])
+                    found = {
+                        int(item[k])
+                        for k in range(a, b)
+                        if self.text[self.starts[at[k]] : self.ends[at[k] + size - 1]] == own
+                    }
+                    if found:
+                        yield place, size, found
 
 
 def _merged(places: list[tuple[int, int]]) -> list[list[int]]:
@@ -143,12 +172,16 @@ def _merged(places: list[tuple[int, int]]) -> list[list[int]]:
     return spans
 
 
-def _by_broadcast(rows: DataFrame, windows: list) -> DataFrame:
-    sent = rows.sparkSession.sparkContext.broadcast([tuple(r) for r in windows])
+def _by_broadcast(rows: DataFrame, items: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
+    known = items.select(
+        F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col).cast("string")
+    ).collect()  # at most `max_bytes`
+    found = [(item, b" ".join(words_of(text))) for item, text in known]
+    sent = rows.sparkSession.sparkContext.broadcast([x for x in found if x[1]])
     row_type = rows.schema["row"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Windows(sent.value)
+        known = _Windows(sent.value, n)
         for batch in batches:
             n_words, n_hit, items, spans = [], [], [], []
             for text in batch["text"].to_pylist():
@@ -157,7 +190,7 @@ def _by_broadcast(rows: DataFrame, windows: list) -> DataFrame:
                 merged = _merged([(at, at + size) for at, size, _ in found])
                 n_words.append(len(words))
                 n_hit.append(sum(b - a for a, b in merged))
-                items.append(sorted({i for *_, own in found for i in own}))
+                items.append(sorted({known.items[i] for *_, own in found for i in own}))
                 spans.append(merged)
             yield pa.RecordBatch.from_arrays(
                 [batch["row"], pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()),
