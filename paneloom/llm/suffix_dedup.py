@@ -460,7 +460,8 @@ def remove_repeats(
     per_doc = (
         repeated_windows(keyed, window, index_bytes)
         .groupBy("k1", "k2")
-        .agg(F.collect_list(F.struct("start", "n")).alias("found"))
+        # A set: repeated rows share their keys, and so have the same entries many times.
+        .agg(F.collect_set(F.struct("start", "n")).alias("found"))
     )
     joined = keyed.join(per_doc, ["k1", "k2"], "left").select("row", "text", "found")
 
