@@ -95,6 +95,46 @@ def test_shared_lines(spark, least):
     ) == kept_lines(rows, least)
 
 
+@pytest.mark.parametrize("held", [1, 7, 1000])
+def test_lines_held_too_often_are_decided_by_their_sum(spark, held):
+    """One id, null included, with thousands of rows; lines with too few and with enough."""
+    rows = texts() + [(None, "same line\nnull row %d" % (i % 9)) for i in range(900)]
+    rows += [(5000, "\n".join(["one document"] * 3000))]
+    rows += [(6000 + i % 12, "many rows\nof twelve") for i in range(1500)]
+    rows += [(7000 + i % 4, "many rows of four") for i in range(1500)]
+    docs = documents(spark, rows).repartition(7)
+    bitmaps = line_dedup.keep_bitmaps(docs, 10, held=held)
+    got = line_dedup.cut_lines(docs, bitmaps).collect()
+    assert Counter(
+        (r.row.doc_id, r.kept_text, r.n_lines, r.n_dropped) for r in got
+    ) == kept_lines(rows, 10)
+
+
+def test_a_document_of_very_many_rows_is_not_held(spark):
+    rows = 400_000
+    schema = pa.schema([("id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()),
+                        ("n_lines", pa.int32()), ("pos", pa.int32()), ("h1", pa.int64()),
+                        ("h2", pa.int64())])
+
+    def batches():
+        for at in range(0, rows, 10_000):
+            n = 10_000
+            same = pa.array([1] * n)
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(n, pa.int64()), pa.array(range(at, at + n)), same,
+                 pa.array([1] * n, pa.int32()), pa.array([0] * n, pa.int32()), same, same],
+                schema=schema,
+            )
+
+    out, given, most = 0, 0, 0
+    for i, batch in enumerate(line_dedup._shared_lines(batches(), 10, 0, 20_000)):
+        kinds = batch["kind"].to_pylist()
+        given += kinds.count(line_dedup.OPEN)
+        out += kinds.count(line_dedup.BORDER)
+        most = max(most, batch.num_rows)
+    assert given == rows and out == 1 and most <= 40_000
+
+
 def test_bitmaps_hold_a_bit_per_line(spark):
     rows = line_dedup.keep_bitmaps(documents(spark), 10).collect()
     assert len(rows) == 13
@@ -130,16 +170,26 @@ ITEMS = [(1, PASSAGE), (2, "one"), (3, None), (4, ""), (5, "A, b c"), (None, BAS
          (7, "tail"), (10, "ab " * 20)]
 
 
-@pytest.mark.parametrize("most", [500_000, 3])
+@pytest.mark.parametrize("most", [1 << 20, 3])
 def test_passages_by_broadcast_and_by_join(spark, most):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     docs = documents(spark)
-    got = decontamination.find_passages(docs, items, max_windows=most).collect()
+    got = decontamination.find_passages(docs, items, max_bytes=most).collect()
     assert Counter(
         (r.row.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in got
     ) == passages(texts(), ITEMS)
 
 
+def test_windows_that_share_a_hash_are_told_apart_by_their_words(monkeypatch):
+    monkeypatch.setattr(
+        decontamination._Windows, "codes", staticmethod(lambda w: np.ones(len(w), np.uint64))
+    )
+    known = decontamination._Windows([("x", b"a b c"), ("y", b"b c d"), ("z", b"q")], 2)
+    found = list(known.places([b"z", b"b", b"c", b"q"]))
+    assert found == [(3, 1, {2}), (1, 2, {0, 1})]
+    assert list(decontamination._Windows([], 13).places([b"a"])) == []
+
+
 def test_removal_of_documents_and_spans(spark):
     items = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
     docs = documents(spark)
