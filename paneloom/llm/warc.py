@@ -32,26 +32,21 @@ END = "\r\n\r\n"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # of names that are URLs
 DATE = "2024-01-01T00:00:00Z"
 
-NAMED = r"(?=[\s/>])"  # ends an element's name: <title-bar> is no title
-HIDDEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    rf"|<(?:style|title){NAMED}(?:[^>\"'/]|\"[^\"]*\"|'[^']*'|/(?!>))*+/>"  # inline SVG, XHTML
-    rf"|<(script|style|template|noscript|title){NAMED}.*?(?:</\1\s*>|\Z)",
-    re.IGNORECASE | re.DOTALL,
-)
-BREAK = re.compile(
-    r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form"
-    r"|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|th|thead|tr|ul)"
-    rf"{NAMED}[^>]*>",
-    re.IGNORECASE,
-)
-TAG = re.compile(r"<[/!?a-zA-Z][^>]*>")
-TITLE = re.compile(
-    rf"<title{NAMED}[^>]*(?<!/)>(.*?)</title\s*>", re.IGNORECASE | re.DOTALL
-)
-LINK = re.compile(
-    rf"<a{NAMED}[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE
+HIDES = {"script", "style", "template", "noscript", "title"}
+CLOSES = {name: re.compile(rf"</{name}\s*+>", re.IGNORECASE) for name in HIDES}
+#: Of these, `/>` is an end: they also stand in inline SVG and XHTML.
+SELF_CLOSED = {"style", "title"}
+BREAKS = set(
+    "address article aside blockquote body br dd div dl dt fieldset figure footer form h1 h2 h3"
+    " h4 h5 h6 head header hr html li main nav ol p pre section table tbody td th thead tr"
+    " ul".split()
 )
+OPENS = re.compile(r"<(?=[/!?a-zA-Z])")
+# A quoted value after `=` may hold `>`; a quote that is never closed is any character.
+TAG = re.compile(r"<[/!?a-zA-Z](?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>")
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+HREF = re.compile(r"\bhref\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+NUMBER = re.compile(r"&#(?:0*+([0-9]{8,})|[xX]0*+([0-9a-fA-F]{7,}));?")
 
 
 def digest(block: bytes) -> str:
@@ -62,11 +57,62 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(NAMESPACE, chr(0).join(parts))}>"
 
 
+def unescape(text: str) -> str:
+    """Character references resolved; numbers beyond all characters are U+FFFD, however long."""
+    return html.unescape(NUMBER.sub("\ufffd", text))
+
+
+def parsed(page: str) -> tuple[str, str, list[str]]:
+    """(text, title, link targets) of a page, read once from front to back.
+
+    The text has a line per block element, white space collapsed, references resolved. Comments
+    and hidden elements are a space; one that is never closed hides the rest. A tag ends at
+    the first `>` outside a quoted value; from where that fails, at the first `>`, and a `<`
+    with no `>` behind it is text.
+    """
+    out, title, links = [], None, {}
+    at, quoted = 0, True
+    while found := OPENS.search(page, at):
+        first = found.start()
+        if page.startswith("<!--", first):
+            end = page.find("-->", first + 4)
+            out += [page[at:first], " "]
+            at = len(page) if end < 0 else end + 3
+            continue
+        tag = TAG.match(page, first) if quoted else None
+        if tag is None:
+            quoted = False
+            end = page.find(">", first) + 1
+            if not end:
+                break
+        else:
+            end = tag.end()
+        out.append(page[at:first])
+        at = end
+        named = NAME.match(page, first)
+        name = named.group(1).lower() if named else ""
+        opens = page[first + 1] != "/"
+        if opens and name in HIDES:
+            out.append(" ")
+            if name in SELF_CLOSED and page[end - 2] == "/":
+                continue
+            close = CLOSES[name].search(page, end)
+            if name == "title" and title is None and close:
+                title = page[end : close.start()]
+            at = close.end() if close else len(page)
+        elif name in BREAKS:
+            out.append("\n")
+        elif opens and name == "a":
+            link = HREF.search(page, named.end(), end)
+            if link:
+                links[unescape("".join(link.groups("")))] = None
+    out.append(page[at:])
+    lines = (" ".join(unescape(line).split()) for line in "".join(out).split("\n"))
+    return "\n".join(line for line in lines if line), unescape(title or ""), list(links)
+
+
 def plain_text(page: str) -> str:
-    """Text of a page: a line per block element, white space collapsed, entities resolved."""
-    shown = TAG.sub("", BREAK.sub("\n", HIDDEN.sub(" ", page)))
-    lines = (" ".join(html.unescape(line).split()) for line in shown.split("\n"))
-    return "\n".join(line for line in lines if line)
+    return parsed(page)[0]
 
 
 def _one_line(text: str) -> str:
@@ -172,15 +218,13 @@ def _derived(source, uri, date, payload_digest, headers, block) -> list[tuple]:
     shared = {"WARC-Refers-To": source, "WARC-Target-URI": uri, "WARC-Date": date}
     metadata_id = record_id("metadata", source)
     conversion_id = record_id("conversion", source)
-    text = plain_text(payload)
-    title = TITLE.search(payload)
-    links = dict.fromkeys(html.unescape("".join(m.groups(""))) for m in LINK.finditer(payload))
+    text, title, links = parsed(payload)
     fields = [
         ("status", status), *(("http-header", h) for h in http),
         *(("warc-header", h) for h in (headers or "").split("\r\n") if h),
         ("payload-digest", payload_digest or ""), ("payload-length", str(len(payload.encode()))),
         ("conversion", conversion_id), ("conversion-digest", digest(text.encode())),
-        ("title", html.unescape(title.group(1)) if title else ""),
+        ("title", title),
         *(("outlink", link) for link in links),
     ]
     described = "".join(f"{k}: {_one_line(v)}\r\n" for k, v in fields)
