@@ -13,6 +13,7 @@ table gives no rows. Other columns are carried in `row`.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -222,32 +223,22 @@ def rules() -> list[Rule]:
     return found
 
 
+RULES = (
+    "array<struct<keyword: string, rules: array<struct<order: int, label: string, "
+    "pattern: string, rank: int, score: double, base: boolean>>>>"
+)
+
+
 def _catalog(found: Sequence[Rule]) -> Column:
-    """Rules as a constant: an array of (keyword, its rules)."""
-    by_keyword: dict[str, list[tuple[int, Rule]]] = {}
+    """Rules as a constant, one literal: an array of (keyword, its rules)."""
+    by_keyword: dict[str, list[dict]] = {}
     for order, rule in enumerate(found):
-        by_keyword.setdefault(rule.keyword, []).append((order, rule))
-    return F.array(
-        *(
-            F.struct(
-                F.lit(keyword).alias("keyword"),
-                F.array(
-                    *(
-                        F.struct(
-                            F.lit(order).alias("order"),
-                            F.lit(rule.label).alias("label"),
-                            F.lit(f"(?<= )(?:{rule.pattern})(?= )").alias("pattern"),
-                            F.lit(rule.rank).alias("rank"),
-                            F.lit(rule.score).alias("score"),
-                            F.lit(rule.base).alias("base"),
-                        )
-                        for order, rule in own
-                    )
-                ).alias("rules"),
-            )
-            for keyword, own in by_keyword.items()
-        )
-    )
+        own = {"order": order, "pattern": f"(?<= )(?:{rule.pattern})(?= )"}
+        for name in ("label", "rank", "score", "base"):
+            own[name] = getattr(rule, name)
+        by_keyword.setdefault(rule.keyword, []).append(own)
+    table = [{"keyword": keyword, "rules": own} for keyword, own in by_keyword.items()]
+    return F.from_json(F.lit(json.dumps(table)), RULES)
 
 
 def _spaces(text: Column) -> Column:
@@ -259,39 +250,44 @@ DETECTION = (
 )
 
 
+#: Put before the first and behind the last character of a match; no word holds them.
+FIRST, LAST = "\x01", "\x02"
+#: Detections that are appended one by one; beyond, by whole chunks.
+CHUNK = 500
+
+
 def _matches(words: Column, rule: Column) -> Column:
     """Every match of one rule, as (start, -end, rank, order, label, score, base)."""
-    between = F.split(words, rule["pattern"], -1)
-    inside = F.regexp_extract_all(words, rule["pattern"], F.lit(0))
-    steps = F.zip_with(
-        between, inside, lambda gap, hit: F.struct(_spaces(gap).alias("gap"),
-                                                   _spaces(hit).alias("hit"))
-    )
-    start = F.struct(F.lit(-1).alias("at"), F.array().cast(f"array<{DETECTION}>").alias("out"))
+    none = F.array().cast(f"array<{DETECTION}>")
 
-    def step(done: Column, x: Column) -> Column:
-        first = done["at"] + x["gap"]
-        detection = F.struct(
-            first.alias("start"), (-(first + x["hit"] + 1)).alias("back"),
-            rule["rank"].alias("rank"), rule["order"].alias("order"),
-            rule["label"].alias("label"), rule["score"].alias("score"),
-            rule["base"].alias("base"),
-        ).cast(DETECTION)
-        return F.struct(
-            F.coalesce(first + x["hit"], first).cast("int").alias("at"),
-            F.when(x["hit"].isNull(), done["out"])
-            .otherwise(F.concat(done["out"], F.array(detection))).alias("out"),
+    def places(marked: Column, is_one) -> Column:
+        at = F.transform(marked, lambda word, i: F.when(is_one(word), i))
+        return F.filter(at, lambda i: i.isNotNull())
+
+    def found(marked: Column) -> Column:
+        starts = places(marked, lambda w: F.startswith(w, F.lit(FIRST)))
+        ends = places(marked, lambda w: F.endswith(w, F.lit(LAST)))
+        return F.zip_with(
+            starts, ends,
+            lambda first, last: F.struct(
+                (first - 1).alias("start"), (-last).alias("back"),
+                rule["rank"].alias("rank"), rule["order"].alias("order"),
+                rule["label"].alias("label"), rule["score"].alias("score"),
+                rule["base"].alias("base"),
+            ).cast(DETECTION),
         )
 
-    return F.aggregate(steps, start, step, lambda done: done["out"])
+    # The words begin with a space, so the first one is at place 1.
+    marked = F.split(
+        F.regexp_replace(words, rule["pattern"], F.lit(f"{FIRST}$0{LAST}")), " ", -1
+    )
+    once = F.transform(F.array(marked), found)  # computed once, used twice
+    return F.when(F.regexp(words, rule["pattern"]), F.get(once, F.lit(0))).otherwise(none)
 
 
 def _unsuppressed(detections: Column) -> Column:
     """Detections, sorted, without those inside one of the same or a higher rank."""
-    start = F.struct(
-        F.array(*[F.lit(0)] * RANKS).alias("reach"),
-        F.array().cast(f"array<{DETECTION}>").alias("kept"),
-    )
+    none = F.array().cast(f"array<{DETECTION}>")
 
     def step(done: Column, x: Column) -> Column:
         end = -x["back"]
@@ -307,7 +303,27 @@ def _unsuppressed(detections: Column) -> Column:
             .otherwise(F.concat(done["kept"], F.array(x))).alias("kept"),
         )
 
-    return F.aggregate(detections, start, step, lambda done: done["kept"])
+    def chunk(done: Column, at: Column) -> Column:
+        own = F.aggregate(
+            F.slice(detections, at * CHUNK + 1, F.lit(CHUNK)),
+            F.struct(done["reach"].alias("reach"), none.alias("kept")),
+            step,
+        )
+        added = F.transform(  # computed once, used twice
+            F.array(own),
+            lambda x: F.struct(
+                x["reach"].alias("reach"),
+                F.concat(done["chunks"], F.array(x["kept"])).alias("chunks"),
+            ),
+        )
+        return F.get(added, F.lit(0))
+
+    start = F.struct(
+        F.array(*[F.lit(0)] * RANKS).alias("reach"),
+        F.array().cast(f"array<array<{DETECTION}>>").alias("chunks"),
+    )
+    chunks = F.sequence(F.lit(0), F.floor(F.size(detections) / CHUNK).cast("int"))
+    return F.aggregate(chunks, start, chunk, lambda done: F.flatten(done["chunks"]))
 
 
 def scan(
