@@ -2,9 +2,12 @@
 
 import random
 import re
+import time
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import pytest
+from oracle import DATA
 from pyspark.sql import functions as F
 from samples import BASE, documents, texts, words
 
@@ -318,3 +321,85 @@ def test_files_of_the_older_version(spark, tmp_path):
 def test_no_pages(spark):
     assert warc.derivatives(warc.responses(pages(spark, []))).count() == 0
     assert len(BASE.split()) == 120
+
+
+class Reader(HTMLParser):
+    """Title, links and text by the standard library's parser."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.hidden, self.in_title, self.out, self.title, self.links = [], False, [], [], []
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag in warc.HIDES:
+            self.hidden.append(tag)
+            self.out.append(" ")
+        elif tag in warc.BREAKS:
+            self.out.append("\n")
+        elif tag == "a":
+            self.links += [v or "" for k, v in attrs[::1] if k == "href"][:1]
+
+    def handle_endtag(self, tag):
+        if tag in self.hidden:
+            self.hidden.remove(tag)
+        elif tag in warc.BREAKS:
+            self.out.append("\n")
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag in self.hidden:
+            self.hidden.remove(tag)
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.out.append(data)
+        elif self.hidden[-1] == "title":
+            self.title.append(data)
+
+    def result(self):
+        lines = (" ".join(line.split()) for line in "".join(self.out).split("\n"))
+        return "\n".join(x for x in lines if x), "".join(self.title), list(dict.fromkeys(self.links))
+
+
+def test_pages_read_as_by_the_standard_library(spark):
+    made = [r.html for r in spark.read.parquet(f"{DATA}/sf0.001/pages.parquet").collect()]
+    made += [
+        "<html><head><title>A &amp; B</title></head><body><p>x<b>y</b> &eacute;</p><ul><li>1<li>2",
+        "<a href='/1'>one</a> <a class=\"x>y\" href=\"/2?a=1&amp;b\">two</a><a href=/3>three</a>",
+        "<div title='a > b'>in</div><script>if (a < b) {}</script>out<br/>end",
+    ]
+    for page in made:
+        assert warc.parsed(page) == Reader(page).result(), page[:300]
+
+
+@pytest.mark.parametrize("piece", [
+    "<a ", "<title>", "<title ", "<p ", "<!--", "<script>", "<a href=\"", "<a href='>", "<", "</",
+    "<a =\">", "<style/", "<title/>", "</title ", "&#1111111111", "&#x", "&", "href=", "<a href = ",
+    "<a " + " " * 50, "<p x='\">",
+])
+@pytest.mark.parametrize("tail", ["", ">", "=\">\"", "</title>"])
+def test_any_repeated_opening_is_read_in_linear_time(piece, tail):
+    page = piece * (1_000_000 // len(piece)) + tail
+    start = time.perf_counter()
+    warc.parsed(page)
+    assert time.perf_counter() - start < 8
+
+
+def test_numbers_of_any_length():
+    assert warc.unescape("&#" + "9" * 9000 + ";&#0000000000065;&#x41;&#xfffffffff;") == "�A" + "A�"
+
+
+def test_a_text_of_notices_is_scanned_in_linear_time(spark):
+    seconds = []
+    for n in (2_000, 16_000):
+        df = spark.createDataFrame([(1, "cc by mit license " * n)], "doc_id long, text string")
+        start = time.perf_counter()
+        row = licenses.scan(df).select(
+            F.size(F.filter("detections", lambda d: d["base"])).alias("n"),
+            F.element_at(F.filter("detections", lambda d: d["base"]), -1)["start"].alias("last"),
+        ).first()
+        seconds.append(time.perf_counter() - start)
+        assert row.n == 2 * n and row.last == 4 * (n - 1) + 2
+    assert seconds[1] < 20 * max(seconds[0], 1)
