@@ -34,6 +34,7 @@ from paneloom.operators.correlation import (
     strong_pairs,
 )
 from paneloom.operators.information import mutual_information
+from paneloom.operators.neighbours import neighbour_information
 from paneloom.operators.quantiles import exact_quantiles, fill_with_median, keep_from_percentile
 
 SHARES = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
@@ -321,6 +322,48 @@ _DRIFT_SUMMARY_SQL = f"""
                  count(CASE WHEN status = 'removed' THEN 1 END) AS removed,
                  count(CASE WHEN status = 'stable' THEN 1 END) AS stable FROM ({_DRIFT_SQL}))"""
 
+
+
+def _hundredths(spark, sf_dir) -> DataFrame:
+    """The numbers as whole hundredths, whose distances both engines compute exactly."""
+    df = screened(spark, sf_dir)
+    return df.select("target", *(F.round(F.col(c) * 100).alias(c) for c in NUMBERS))
+
+
+def _digamma_sql(n: str) -> str:
+    z = f"({n} + 8.0)"
+    terms = "".join(f" - 1.0 / ({n} + {j}.0)" for j in range(8))
+    series = "".join(
+        f" {sign} 1.0 / ({c}.0 * {z} ** {power})"
+        for sign, c, power in (("-", 12, 2), ("+", 120, 4), ("-", 252, 6), ("+", 240, 8), ("-", 132, 10))
+    )
+    return f"(ln({z}) - 0.5 / {z}{series}{terms})"
+
+
+_MI_NEIGHBOURS_SQL = f"""
+    WITH long AS (
+      SELECT unnest(['{"', '".join(NUMBERS)}']) AS feature,
+        unnest([{", ".join(f"CAST(round({c} * 100) AS BIGINT)" for c in NUMBERS)}]) AS x, target AS y
+      FROM ({SCREENED_SQL})
+    ), known AS (
+      SELECT *, count(*) OVER (PARTITION BY feature, y) AS class_n
+      FROM long WHERE x IS NOT NULL AND y IS NOT NULL
+    ), near AS (
+      SELECT feature, y, x, class_n, list_sort(list_filter([
+        x - lag(x, 1) OVER own, x - lag(x, 2) OVER own, x - lag(x, 3) OVER own,
+        lead(x, 1) OVER own - x, lead(x, 2) OVER own - x, lead(x, 3) OVER own - x],
+        lambda d: d IS NOT NULL))[least(3, class_n - 1)] AS away
+      FROM known WHERE class_n > 1 WINDOW own AS (PARTITION BY feature, y ORDER BY x)
+    ), counted AS (
+      SELECT feature, class_n, count(*) OVER (PARTITION BY feature ORDER BY x RANGE BETWEEN
+        greatest(away - 1, 0) PRECEDING AND greatest(away - 1, 0) FOLLOWING) AS inside
+      FROM near
+    )
+    SELECT feature, greatest(0.0, {_digamma_sql("count(*)")} + avg(
+      {_digamma_sql("least(3, class_n - 1)")} - {_digamma_sql("class_n")}
+      - {_digamma_sql("inside")})) AS score
+    FROM counted GROUP BY feature"""
+
 QUERIES = {
     "quantiles": Query(_quantiles, _QUANTILES_SQL),
     "median_impute": Query(_imputed, f"SELECT o_orderkey, {_MEDIANS_SQL} FROM ({STATEMENTS_SQL})"),
@@ -365,6 +408,10 @@ QUERIES = {
         lambda s, d: rounded(_mi(s, d, "o_totalprice", False)),
         f"SELECT feature, {r('score', 'score')} FROM ({_MI_NUMBER_SQL})",
     ),
+    "mi_neighbours": Query(
+        lambda s, d: rounded(neighbour_information(_hundredths(s, d), NUMBERS, "target")),
+        f"SELECT feature, {r('score', 'score')} FROM ({_MI_NEIGHBOURS_SQL})",
+    ),
     "mi_cut": Query(
         lambda s, d: rounded(keep_from_percentile(_mi(s, d), "score", 0.25)),
         f"SELECT feature, {r('score', 'score')} FROM ({_MI_SQL}) "

@@ -17,6 +17,7 @@ from paneloom.operators.correlation import (
     spearman_target,
 )
 from paneloom.operators.information import mutual_information
+from paneloom.operators.neighbours import neighbour_information
 from paneloom.operators.labels import attach_target, require_unique_labels
 from paneloom.operators.profile import task_type
 from paneloom.operators.quantiles import fill_with_median, keep_from_percentile
@@ -98,7 +99,9 @@ def run(
 
     task = task_type(filled, spec.target).first()["task"]
     information = saved(
-        mutual_information(filled, unique, spec.target, target_is_class=task != "regression")
+        mutual_information(filled, unique, spec.target, target_is_class=False)
+        if task == "regression"
+        else neighbour_information(filled, unique, spec.target)
     )
     informative = keep_from_percentile(information, "score", INFORMATION_FROM)
     informed = set(_names(informative))

@@ -19,6 +19,7 @@ from paneloom.operators.correlation import (
     strong_features,
 )
 from paneloom.operators.information import mutual_information
+from paneloom.operators.neighbours import neighbour_information
 from paneloom.operators.profile import dominant_value, null_share, task_type, value_profile
 from paneloom.operators.quantiles import exact_quantiles, fill_with_median, keep_from_percentile
 
@@ -296,3 +297,49 @@ def test_a_rare_repetition_is_no_id(spark):
     report = sel.removal_report(df, df.columns).collect()
     assert [(r["feature"], r["reason"]) for r in report] == [("id", sel.REASON_ID)]
     assert sel._repeating(df, ["id"]) == set() and sel._repeating(df, ["often"]) <= {"often"}
+
+
+def neighbour_score(pairs, k=3):
+    """Nearest-neighbour information by comparing all pairs."""
+    def psi(n):
+        return -0.57721566490153286 + sum(1 / j for j in range(1, n))
+
+    sizes = {y: sum(v == y for _, v in pairs) for _, y in pairs}
+    rows = [(x, y) for x, y in pairs if sizes[y] > 1]
+    if not rows:
+        return 0.0
+    total = 0.0
+    for i, (x, y) in enumerate(rows):
+        own = sorted(abs(x - v) for j, (v, c) in enumerate(rows) if c == y and j != i)
+        near = min(k, sizes[y] - 1)
+        away = own[near - 1]
+        inside = sum(abs(x - v) < away if away else v == x for v, _ in rows)
+        total += psi(near) - psi(sizes[y]) - psi(inside)
+    return max(0.0, psi(len(rows)) + total / len(rows))
+
+
+@pytest.mark.parametrize("k", [1, 3, 5])
+def test_neighbour_information_equals_all_pairs(spark, k):
+    rng = random.Random(k)
+    rows = []
+    for i in range(400):
+        y = rng.choice(["a", "a", "a", "b", None])
+        near = {"a": 0.0, "b": 3.0, None: 1.0}[y]
+        rows.append((y, rng.gauss(near, 1), float(rng.randrange(6)), 7.0,
+                     rng.choice([None, float("nan"), 1.0, 1.0, near]), rng.choice([0.0, 50.0]) + rng.random(),
+                     None))
+    rows += [("lone", 1.0, 2.0, 7.0, 1.0, 0.5, None), ("two", 9.0, 1.0, 7.0, -0.0, 0.5, None),
+             ("two", 9.5, 1.0, 7.0, 0.0, 0.5, None)]
+    names = ["apart", "ties", "flat", "holes", "clusters", "empty"]
+    df = spark.createDataFrame(rows, "y string, " + ", ".join(f"{c} double" for c in names))
+    got = {r["feature"]: r["score"] for r in neighbour_information(df.repartition(5), names, "y", k).collect()}
+    assert set(got) == set(names)
+    for i, c in enumerate(names, 1):
+        pairs = [(r[i], r[0]) for r in rows if r[i] is not None and r[i] == r[i] and r[0] is not None]
+        assert abs(got[c] - neighbour_score(pairs, k)) < 1e-9, c
+    assert got["apart"] > got["ties"] and got["empty"] == 0
+
+
+def test_neighbour_information_of_no_rows(spark):
+    df = spark.createDataFrame([], "y int, x double")
+    assert [tuple(r) for r in neighbour_information(df, ["x"], "y").collect()] == [("x", 0.0)]
