@@ -1,6 +1,6 @@
 """Byte-level BPE with a public vocabulary: texts to ids and back.
 
-Each task reads the vocabulary once and keeps the ids of words it has met (a cache
+A Python process reads the vocabulary once and keeps the ids of words it has met (a cache
 bounded in bytes). A new word is merged on a contiguous array of part boundaries with the
 rank of each adjacent pair: scan for the smallest rank, delete the boundary, refresh the
 two neighbouring ranks. That is quadratic, so words above `SHORT` bytes use a heap over
@@ -18,6 +18,7 @@ import heapq
 import json
 import re
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SHORT = 128
-#: Bound of a task's cache of words, in bytes as counted below.
-CACHED_BYTES = 80 << 20
+#: Bound of the cache of words, in bytes as counted below.
+CACHED_BYTES = 128 << 20
 #: Words whose entry is larger are not kept.
 CACHED_WORD = 600
 #: Of a word's entry: the dictionary's slot, the string's and the tuple's own fields, and
@@ -165,6 +166,12 @@ class Vocabulary:
         return raw.decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=1)
+def _vocabulary(content: str) -> Vocabulary:
+    """One per Python process, whose tasks share it and its cache."""
+    return Vocabulary(content)
+
+
 def _sent(spark, path: str):
     """The vocabulary file's text (about 1.5 MB), broadcast."""
     with open(path, encoding="utf-8") as file:
@@ -194,7 +201,7 @@ def encode(
     rows = _with_text(docs, text_col, carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(sent.value)
+        vocabulary = _vocabulary(sent.value)
         for batch in batches:
             ids = [i.tobytes() for i in _ids(vocabulary, batch["text"])]
             yield pa.RecordBatch.from_arrays(
@@ -217,7 +224,7 @@ def round_trip(
     rows = _with_text(docs, text_col, carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(sent.value)
+        vocabulary = _vocabulary(sent.value)
         for batch in batches:
             raw, texts = [], []
             for ids in _ids(vocabulary, batch["text"]):
@@ -245,7 +252,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(sent.value)
+        vocabulary = _vocabulary(sent.value)
         for batch in batches:
             texts = [
                 vocabulary.decode(np.frombuffer(i.as_py() or b"", "<u4")) for i in batch["ids"]
