@@ -34,6 +34,7 @@ from paneloom.operators.correlation import (
     strong_pairs,
 )
 from paneloom.operators.information import mutual_information
+from paneloom.operators.joint_neighbours import number_information
 from paneloom.operators.neighbours import neighbour_information
 from paneloom.operators.quantiles import exact_quantiles, fill_with_median, keep_from_percentile
 
@@ -364,6 +365,40 @@ _MI_NEIGHBOURS_SQL = f"""
       - {_digamma_sql("inside")})) AS score
     FROM counted GROUP BY feature"""
 
+_OTHERS = [c for c in NUMBERS if c != "o_totalprice"]
+_MI_PAIRS_SQL = f"""
+    WITH long AS (
+      SELECT unnest(['{"', '".join(_OTHERS)}']) AS feature, o_orderkey AS row,
+        unnest([{", ".join(f"round({c} * 100)" for c in _OTHERS)}]) AS x,
+        round(o_totalprice * 100) AS y
+      FROM ({SCREENED_SQL})
+    ), known AS (SELECT * FROM long WHERE x IS NOT NULL AND y IS NOT NULL),
+    sizes AS (
+      SELECT feature, count(*) AS rows,
+        CAST(format('{{:.9e}}', stddev_pop(x)) AS DOUBLE) AS sx,
+        CAST(format('{{:.9e}}', stddev_pop(y)) AS DOUBLE) AS sy
+      FROM known GROUP BY feature HAVING count(*) > 1
+    ), scaled AS (
+      SELECT feature, row, x, y, rows, CASE WHEN sx > 0 THEN sx ELSE 1 END AS sx,
+        CASE WHEN sy > 0 THEN sy ELSE 1 END AS sy FROM known JOIN sizes USING (feature)
+    ), near AS (
+      SELECT a.feature, a.row, any_value(a.rows) AS rows,
+        list_extract(min(greatest(abs(a.x - b.x) / a.sx, abs(a.y - b.y) / a.sy), 3), -1) AS away
+      FROM scaled a JOIN scaled b ON a.feature = b.feature AND a.row <> b.row
+      GROUP BY a.feature, a.row
+    ), counted AS (
+      SELECT a.feature, a.row, any_value(n.rows) AS rows,
+        count(CASE WHEN abs(a.x - b.x) / a.sx < n.away OR a.x = b.x THEN 1 END) AS in_x,
+        count(CASE WHEN abs(a.y - b.y) / a.sy < n.away OR a.y = b.y THEN 1 END) AS in_y
+      FROM scaled a JOIN near n ON a.feature = n.feature AND a.row = n.row
+      JOIN scaled b ON a.feature = b.feature
+      GROUP BY a.feature, a.row
+    )
+    SELECT feature, greatest(0.0, {_digamma_sql("count(*)")}
+      + {_digamma_sql("least(3, count(*) - 1)")}
+      - avg({_digamma_sql("in_x")} + {_digamma_sql("in_y")})) AS score
+    FROM counted GROUP BY feature"""
+
 QUERIES = {
     "quantiles": Query(_quantiles, _QUANTILES_SQL),
     "median_impute": Query(_imputed, f"SELECT o_orderkey, {_MEDIANS_SQL} FROM ({STATEMENTS_SQL})"),
@@ -412,6 +447,10 @@ QUERIES = {
         lambda s, d: rounded(neighbour_information(_hundredths(s, d), NUMBERS, "target")),
         f"SELECT feature, {r('score', 'score')} FROM ({_MI_NEIGHBOURS_SQL})",
     ),
+    "mi_number_neighbours": Query(
+        lambda s, d: rounded(number_information(_hundredths(s, d), _OTHERS, "o_totalprice")),
+        f"SELECT feature, {r('score', 'score')} FROM ({_MI_PAIRS_SQL})",
+    ),
     "mi_cut": Query(
         lambda s, d: rounded(keep_from_percentile(_mi(s, d), "score", 0.25)),
         f"SELECT feature, {r('score', 'score')} FROM ({_MI_SQL}) "

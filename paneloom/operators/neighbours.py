@@ -107,6 +107,48 @@ def _intervals(k: int):
     return run
 
 
+def rows_within(near: DataFrame, value: str, low: str, high: str, name: str) -> DataFrame:
+    """(feature, y, x, `name`): how many rows of the feature have a `value` inside the open
+    interval from `low` to `high`, or equal to them where both are one."""
+    # Values and borders in one order: at the same place, what is below it is asked first and
+    # what is at it is asked last.
+    below, at_it, upto = 0, 1, 2
+    none = F.lit(0).cast("long")
+    apart = F.col(high) > F.col(low)
+
+    def event(at: Column, kind: Column | int, n: Column, sign: int) -> Column:
+        kind = F.lit(kind) if isinstance(kind, int) else kind
+        return F.struct(
+            at.alias("at"), kind.cast("int").alias("kind"), n.alias("m"), F.lit(sign).alias("sign")
+        )
+
+    events = near.select(
+        *ORDER,
+        F.inline(
+            F.array(
+                event(F.col(value), at_it, F.col("n"), 0),
+                event(F.col(high), F.when(apart, below).otherwise(upto), none, 1),
+                event(F.col(low), F.when(apart, upto).otherwise(below), none, -1),
+            )
+        ),
+    )
+    ranged = _ordered(events, ["feature", "at", "kind", "y", "x"])
+    within = Window.partitionBy("feature", "part").orderBy("at", "kind")
+    sizes = ranged.groupBy("feature", "part").agg(F.sum("m").alias("_size"))
+    before = Window.partitionBy("feature").orderBy("part")  # one row per part
+    offsets = sizes.select(
+        F.col("feature").alias("_of"), F.col("part").alias("_part"),
+        (F.sum("_size").over(before) - F.col("_size")).alias("_before"),
+    )
+    return (
+        ranged.withColumn("_upto", F.sum("m").over(within))
+        .join(offsets, (F.col("feature") == F.col("_of")) & (F.col("part") == F.col("_part")))
+        .where("sign <> 0")
+        .groupBy(*ORDER)
+        .agg(F.sum(F.col("sign") * (F.col("_before") + F.col("_upto"))).alias(name))
+    )
+
+
 def neighbour_information(
     df: DataFrame, columns: list[str], target: str, neighbours: int = NEIGHBOURS
 ) -> DataFrame:
@@ -144,43 +186,7 @@ def _of_group(df: DataFrame, columns: list[str], target: str, k: int) -> DataFra
             f"feature string, y {kind}, x double, n long, class_n long, low double, high double",
         )
     )
-    # Values and borders in one order: at the same place, what is below it is asked first and
-    # what is at it is asked last.
-    below, value, upto = 0, 1, 2
-    none = F.lit(0).cast("long")
-    apart = F.col("high") > F.col("low")
-
-    def event(at: Column, kind: Column | int, n: Column, sign: int) -> Column:
-        kind = F.lit(kind) if isinstance(kind, int) else kind
-        return F.struct(
-            at.alias("at"), kind.cast("int").alias("kind"), n.alias("m"), F.lit(sign).alias("sign")
-        )
-
-    events = near.select(
-        *ORDER,
-        F.inline(
-            F.array(
-                event(F.col("x"), value, F.col("n"), 0),
-                event(F.col("high"), F.when(apart, below).otherwise(upto), none, 1),
-                event(F.col("low"), F.when(apart, upto).otherwise(below), none, -1),
-            )
-        ),
-    )
-    ranged = _ordered(events, ["feature", "at", "kind", "y", "x"])
-    within = Window.partitionBy("feature", "part").orderBy("at", "kind")
-    sizes = ranged.groupBy("feature", "part").agg(F.sum("m").alias("_size"))
-    before = Window.partitionBy("feature").orderBy("part")  # one row per part
-    offsets = sizes.select(
-        F.col("feature").alias("_of"), F.col("part").alias("_part"),
-        (F.sum("_size").over(before) - F.col("_size")).alias("_before"),
-    )
-    counted = (
-        ranged.withColumn("_upto", F.sum("m").over(within))
-        .join(offsets, (F.col("feature") == F.col("_of")) & (F.col("part") == F.col("_part")))
-        .where("sign <> 0")
-        .groupBy(*ORDER)
-        .agg(F.sum(F.col("sign") * (F.col("_before") + F.col("_upto"))).alias("inside"))
-    )
+    counted = rows_within(near, "x", "low", "high", "inside")
     n = F.col("n").cast("double")
     total = F.sum("n")
     own = digamma(F.least(F.lit(k), F.col("class_n") - 1)) - digamma(F.col("class_n"))

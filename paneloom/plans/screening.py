@@ -16,7 +16,7 @@ from paneloom.operators.correlation import (
     roc_auc,
     spearman_target,
 )
-from paneloom.operators.information import mutual_information
+from paneloom.operators.joint_neighbours import number_information
 from paneloom.operators.neighbours import neighbour_information
 from paneloom.operators.labels import attach_target, require_unique_labels
 from paneloom.operators.profile import task_type
@@ -99,7 +99,7 @@ def run(
 
     task = task_type(filled, spec.target).first()["task"]
     information = saved(
-        mutual_information(filled, unique, spec.target, target_is_class=False)
+        number_information(filled, unique, spec.target)
         if task == "regression"
         else neighbour_information(filled, unique, spec.target)
     )

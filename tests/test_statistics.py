@@ -19,6 +19,7 @@ from paneloom.operators.correlation import (
     strong_features,
 )
 from paneloom.operators.information import mutual_information
+from paneloom.operators.joint_neighbours import cell_tree, cells_reached, number_information, upper_border
 from paneloom.operators.neighbours import neighbour_information
 from paneloom.operators.profile import dominant_value, null_share, task_type, value_profile
 from paneloom.operators.quantiles import exact_quantiles, fill_with_median, keep_from_percentile
@@ -343,3 +344,76 @@ def test_neighbour_information_equals_all_pairs(spark, k):
 def test_neighbour_information_of_no_rows(spark):
     df = spark.createDataFrame([], "y int, x double")
     assert [tuple(r) for r in neighbour_information(df, ["x"], "y").collect()] == [("x", 0.0)]
+
+
+def number_score(pairs, k=3):
+    """Nearest-neighbour information of two numbers by comparing all pairs."""
+    if len(pairs) < 2:
+        return 0.0
+    xy = np.array(pairs, float).T
+    scales = [float(f"{v.std():.10g}") or 1.0 for v in xy]
+    x, y = (np.abs(v[:, None] - v) / s for v, s in zip(xy, scales))
+    both = np.maximum(x, y)
+    np.fill_diagonal(both, np.inf)
+    near = min(k, len(pairs) - 1)
+    radius = np.sort(both, axis=1)[:, near - 1]
+    psi = lambda n: -0.57721566490153286 + sum(1 / j for j in range(1, int(n)))
+    inside = [np.where(radius > 0, (d < radius[:, None]).sum(1), (d == 0).sum(1)) for d in (x, y)]
+    rest = np.mean([psi(a) + psi(b) for a, b in zip(*inside)])
+    return max(0.0, psi(len(pairs)) + psi(near) - rest)
+
+
+@pytest.mark.parametrize("k,cell", [(3, 12), (5, 20_000)])
+def test_number_information_equals_all_pairs(spark, k, cell, monkeypatch):
+    monkeypatch.setattr("paneloom.operators.joint_neighbours.VISITS_PER_TASK", 50)
+    rng = random.Random(k + cell)
+    rows = []
+    for i in range(300):
+        y = rng.choice([rng.gauss(0, 1), float(rng.randrange(4)), 2.0])
+        rows.append((
+            None if i % 50 == 0 else y,
+            y + rng.gauss(0, 0.1),
+            float(rng.randrange(6)),
+            7.0,
+            rng.choice([None, float("nan"), math.inf, 1.0, -0.0, 0.0, rng.random()]),
+            rng.choice([0.0, 1e6]) + rng.random(),
+            math.exp(rng.gauss(0, 4)),
+            None,
+            1.0 if i in (3, 4) else None,
+            1.0 if i == 3 else None,
+        ))
+    names = ["close", "ties", "flat", "holes", "clusters", "tailed", "empty", "two", "lone"]
+    df = spark.createDataFrame(rows, "y double, " + ", ".join(f"{c} double" for c in names))
+    found = number_information(df.repartition(5), names, "y", k, cell).collect()
+    got = {r["feature"]: r["score"] for r in found}
+    assert set(got) == set(names) and len(found) == len(names)
+    for i, c in enumerate(names, 1):
+        pairs = [(r[i], r[0]) for r in rows if None not in (r[i], r[0]) and math.isfinite(r[i])]
+        assert abs(got[c] - number_score(pairs, k)) < 1e-9, c
+    assert got["close"] > 0.5 and got["empty"] == got["lone"] == 0
+
+
+def test_number_information_of_no_rows(spark):
+    df = spark.createDataFrame([], "y int, x double")
+    assert [tuple(r) for r in number_information(df, ["x"], "y").collect()] == [("x", 0.0)]
+
+
+def test_crowded_values_are_cut_along_the_other_direction():
+    rng = np.random.default_rng(4)
+    x = np.where(rng.random(4000) < 0.4, 5.0, rng.random(4000))
+    y = np.where(rng.random(4000) < 0.4, -1.0, rng.random(4000))
+    points = np.unique(np.stack([x, y]), axis=1)
+    x, y = points
+    tree = cell_tree(x, y, 1.0, 1.0, 5)
+    _, cells = cells_reached(tree, x, y, np.full(len(x), -1.0), (1.0, 1.0))
+    assert len(cells) == len(x) and np.bincount(cells).max() <= len(x) / 16
+    rows, nodes = cells_reached(tree, x, y, np.full(len(x), 9.0), (1.0, 1.0))
+    assert len(rows) == len(x) * len(set(cells))
+
+
+def test_a_border_is_the_first_number_that_far():
+    v = np.array([0.0, 1.0, -3.5, 1e300, 0.1, 5e-324, 0.3])
+    radius = np.array([0.1, 1.0, 3.5, 1.0, 0.2, 1e-300, 0.0])
+    border = upper_border(v, radius, 0.7)
+    for b, x, r in zip(border, v, radius):
+        assert (b - x) / 0.7 >= r and (b == x or not (np.nextafter(b, -np.inf) - x) / 0.7 >= r)
