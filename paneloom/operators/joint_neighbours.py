@@ -37,6 +37,7 @@ ROWS_PER_CELL = 20_000
 MOST_CELLS = 4_096
 SAMPLED_PER_CELL = 16
 VISITS_PER_TASK = 200_000
+CELLS_PER_TASK = 8
 POINT = ["feature", "y", "x"]
 BORDERS = ["x_low", "x_high", "y_low", "y_high"]
 
@@ -342,14 +343,20 @@ def _of_group(
         points.mapInPandas(placed, "feature string, y double, x double, n long, cell long")
     )
     lists = "away array<double>, many array<long>"
+    settings = points.sparkSession.conf
+    # Few bytes, but much work: a stated number of tasks is not merged by their size.
+    tasks = max(
+        int(settings.get("spark.sql.shuffle.partitions")),
+        sum(int((sides < 0).sum()) for sides, _ in trees.values()) // CELLS_PER_TASK,
+    )
     home = saved(
-        cells.groupBy("feature", "cell").applyInPandas(
+        cells.repartition(tasks, "feature", "cell").groupBy("feature", "cell").applyInPandas(
             at_home,
             "feature string, y double, x double, n long, cell long, radius double, "
             f"{lists}, further array<long>",
         )
     )
-    outside = _visits(cells, home, sent, k)
+    outside = _visits(cells, home, sent, k, tasks)
     wanted = points.sparkSession.createDataFrame(
         [(name, min(k, f["rows"] - 1)) for name, f in features.items()], "_of string, wanted long"
     )
@@ -399,7 +406,7 @@ def _of_group(
     )
 
 
-def _visits(cells: DataFrame, home: DataFrame, sent, k: int) -> DataFrame:
+def _visits(cells: DataFrame, home: DataFrame, sent, k: int, tasks: int) -> DataFrame:
     """(feature, y, x, others): what rows find in the other cells that they reach."""
     guests = home.select(*POINT, "radius", F.explode("further").alias("cell"))
     turns = saved(
@@ -430,7 +437,8 @@ def _visits(cells: DataFrame, home: DataFrame, sent, k: int) -> DataFrame:
             for name, lists in (("away", away), ("many", many))
         })
 
-    found = guests.union(hosts).groupBy("feature", "cell", "turn").applyInPandas(
+    met = guests.union(hosts).repartition(tasks, "feature", "cell", "turn")
+    found = met.groupBy("feature", "cell", "turn").applyInPandas(
         look_around,
         "feature string, y double, x double, away array<double>, many array<long>",
     )
