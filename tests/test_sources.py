@@ -58,8 +58,48 @@ def test_malformed_lines(spark, tmp_path):
     assert files.csv_to_parquet(spark, str(path), str(tmp_path / "o"), schema, tolerant=True).count() == 2
 
 
+def test_rejected_lines_have_place_and_cause(spark, tmp_path):
+    long = "".join(f"r{i},{i},0.5\n" if i % 100 else f"r{i},x{i},0.5\n" for i in range(3000))
+    (tmp_path / "a.csv").write_text("k,n,x\n" + long)
+    (tmp_path / "b.csv").write_text(
+        "\n \nk,n,x\na,1,0.5\nb,two,0.5\n\nc,3,0.5,9,9\nd,4,1.0\ne,5,0.5,\nf\ng,,\nh,6\n,,no\n"
+        '"i,7",7,0.5\nj,1.5,no\n'
+    )
+    (tmp_path / "c.csv").write_text("k,n,x\n")
+    (tmp_path / "d.csv").write_text("")
+    path, schema = str(tmp_path / "*.csv"), "k string, n int, x double"
+    with_small_parts = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    try:
+        audit = files.audit_csv(spark, path, schema)
+        rejected, counts = audit.rejected.collect(), audit.counts.collect()
+        accepted = files.read_csv_tolerant(spark, path, schema).count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", with_small_parts)
+    of = lambda name: sorted(
+        (r["line"], r["cause"], r["text"]) for r in rejected if r["file_path"].endswith(name)
+    )
+    assert of("a.csv") == [(i + 2, "n is no int", f"r{i},x{i},0.5") for i in range(0, 3000, 100)]
+    assert of("b.csv") == [
+        (5, "n is no int", "b,two,0.5"), (7, "too many fields", "c,3,0.5,9,9"),
+        (9, "too many fields", "e,5,0.5,"), (10, "too few fields", "f"),
+        (12, "too few fields", "h,6"), (13, "x is no double", ",,no"), (15, "n is no int", "j,1.5,no"),
+    ]
+    assert len(rejected) == len(of("a.csv")) + len(of("b.csv"))
+    total = {c: sum(r[c] for r in counts) for c in counts[0].asDict() if c != "file_path"}
+    assert total == {"lines": 3001 + 15 + 1, "headers": 3, "blank": 3, "accepted": accepted, "rejected": 37}
+    for r in counts:
+        assert r["lines"] == r["headers"] + r["blank"] + r["accepted"] + r["rejected"]
+
+
+def test_audit_infers_types(spark, csv):
+    audit = files.audit_csv(spark, csv)
+    assert audit.rejected.count() == 0
+    assert [tuple(r)[1:] for r in audit.counts.collect()] == [(4, 1, 0, 3, 0)]
+
+
 def test_missing_input(spark, tmp_path):
-    for read in (files.read_parquet, files.read_csv, files.read_csv_tolerant):
+    for read in (files.read_parquet, files.read_csv, files.read_csv_tolerant, files.audit_csv):
         with pytest.raises(files.MissingInput, match="nothing_"):
             read(spark, str(tmp_path / "nothing_*.x"))
 
