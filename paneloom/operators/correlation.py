@@ -234,9 +234,11 @@ _PAIR_SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
 _PAIR_SCHEMA = "i int, j int, " + ", ".join(f"{c} double" for c in _PAIR_SUMS)
 
 
-# Columns whose pairs one task sums up at a time; a task then gives out at most the
-# square of this many rows, whatever the width of the table.
-PAIR_BLOCK = 256
+# Columns whose pairs one task sums up at a time: six sums of the square of this many numbers,
+# 50 MB, whatever the width of the table. Rows are multiplied in slices, sums given out in pieces.
+PAIR_BLOCK = 1_024
+ROWS_AT_ONCE = 2_048
+PAIRS_AT_ONCE = 65_536
 
 
 def _pair_sums(means: np.ndarray, first: range, second: range):
@@ -248,7 +250,12 @@ def _pair_sums(means: np.ndarray, first: range, second: range):
         shape = (len(first), len(second))
         n, sx, sy, sxx, syy, sxy = (np.zeros(shape) for _ in _PAIR_SUMS)
         rows = 0
-        for batch in batches:
+        slices = (
+            batch.slice(at, ROWS_AT_ONCE)
+            for batch in batches
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE)
+        )
+        for batch in slices:
             rows += batch.num_rows
             x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
             x = x.astype(float) - means
@@ -266,9 +273,11 @@ def _pair_sums(means: np.ndarray, first: range, second: range):
         if not rows:
             return
         i, j = np.triu_indices(len(first), 1) if same else map(np.ravel, np.indices(shape))
-        ids = [pa.array((i + first.start).astype("int32")), pa.array((j + second.start).astype("int32"))]
-        sums = [pa.array(m[i, j]) for m in (n, sx, sy, sxx, syy, sxy)]
-        yield pa.RecordBatch.from_arrays([*ids, *sums], names=["i", "j", *_PAIR_SUMS])
+        for at in range(0, len(i), PAIRS_AT_ONCE):
+            a, b = i[at : at + PAIRS_AT_ONCE], j[at : at + PAIRS_AT_ONCE]
+            ids = [pa.array((k + of.start).astype("int32")) for k, of in ((a, first), (b, second))]
+            sums = [pa.array(m[a, b]) for m in (n, sx, sy, sxx, syy, sxy)]
+            yield pa.RecordBatch.from_arrays([*ids, *sums], names=["i", "j", *_PAIR_SUMS])
 
     return task
 

@@ -102,8 +102,10 @@ def test_spearman(df, pdf, target, slots):
     assert got["flat"] is None and got["empty"] is None
 
 
-@pytest.mark.parametrize("block", [256, 4, 1])
-def test_pairs(df, pdf, block):
+@pytest.mark.parametrize("block, at_once", [(256, 10_000), (256, 4), (4, 5), (1, 10_000)])
+def test_pairs(df, pdf, block, at_once, monkeypatch):
+    monkeypatch.setattr("paneloom.operators.correlation.ROWS_AT_ONCE", at_once)
+    monkeypatch.setattr("paneloom.operators.correlation.PAIRS_AT_ONCE", at_once)
     want = pdf[NUMBERS].corr()
     got = correlation_pairs(df, NUMBERS, block).collect()
     assert len(got) == len(NUMBERS) * (len(NUMBERS) - 1) // 2
