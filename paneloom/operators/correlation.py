@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ from paneloom.spec import column_groups, union_all
 # each has; beyond that many rows the slots are cut into stripes.
 SLOTS = 1000
 ROWS_PER_SLOT = 200_000
-# Up to this many target values their ranks are broadcast.
+# Up to this many target values their ranks are counted and sent to tasks (200 columns each).
 FEW_TARGETS = 1000
 # A spread below this share of the second moment is rounding, not variation.
 NO_SPREAD = 1e-12
@@ -85,11 +86,151 @@ def spearman_target(
     target: str,
     slots: int = SLOTS,
     rows_per_slot: int = ROWS_PER_SLOT,
+    few_targets: int = FEW_TARGETS,
 ) -> DataFrame:
     """(feature, score): rank correlation of each column with the target, ties at
-    their average rank, over rows where both are known."""
+    their average rank, over rows where both are known.
+
+    Null for a constant, for a column without known values and for an empty table. NaN is
+    the greatest value, 0.0 and -0.0 are one. A target of up to ``few_targets`` values is
+    ranked by counting, once for all columns, and what it adds up to per value of a column
+    is shuffled once; the scores are the same beyond.
+    """
     y = F.col(target).cast("double")
     narrow = df.select(*(F.col(c).cast("double").alias(c) for c in columns), y.alias("_y"))
+    few = narrow.select("_y").distinct().limit(few_targets + 1).count() <= few_targets
+    if few:
+        sums = _sums_of_ranked(narrow, columns, slots, rows_per_slot)
+    else:
+        sums = _sums_of_paired(narrow, columns, slots, rows_per_slot)
+    scores = sums.select(
+        F.col("feature").alias("_i"),
+        F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy")).alias("score"),
+    )
+    # A column without known values has a row too.
+    names = df.sparkSession.createDataFrame(list(enumerate(columns)), "_i int, feature string")
+    return names.join(scores, "_i", "left").select("feature", "score")
+
+
+def _target_ranks(narrow: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The target's known values in order, and for each column (a row) and each of them the
+    average rank, less the mean rank, among the rows where the column is known. No row is
+    unpivoted: the columns' known values are counted per value of the target."""
+    counted = narrow.where("_y IS NOT NULL").groupBy("_y")
+    groups = column_groups(columns)
+    parts = [
+        sorted(counted.agg(*(F.count(c) for c in group)).collect(), key=_nan_last)
+        for group in groups
+    ]
+    values = np.array([row[0] for row in parts[0]], float)
+    shapes = [(len(values), len(group)) for group in groups]
+    known = np.concatenate(
+        [np.array([r[1:] for r in p], float).reshape(s) for p, s in zip(parts, shapes)], axis=1
+    ).T
+    upto = np.cumsum(known, axis=1)
+    return values, upto - (known - 1) / 2 - (known.sum(axis=1, keepdims=True) + 1) / 2
+
+
+def _nan_last(row) -> tuple[bool, float]:
+    return math.isnan(row[0]), row[0]
+
+
+def _sums_of_ranked(
+    narrow: DataFrame, columns: list[str], slots: int, rows_per_slot: int
+) -> DataFrame:
+    """(feature, xy, xx, yy) for a target of few values.
+
+    Tasks add up their rows per value of a column; these sums meet once, by feature and
+    slot. Inside a slot ranks come from one window; sums of them are shifted by what the
+    slots before hold. Ranks less their mean are halves of whole numbers, so that sums
+    don't depend on their order up to 2^52.
+    """
+    values, centred = _target_ranks(narrow, columns)
+    cut = rank_slots(narrow, columns, slots, rows_per_slot)
+    number = {c: i for i, c in enumerate(columns)}
+    parts = []
+    for group in column_groups(columns):
+        slotted = cut.add_to(narrow.where("_y IS NOT NULL").select(*group, "_y"))
+        parts.append(
+            slotted.mapInArrow(
+                _value_sums(group, [number[c] for c in group], values, centred),
+                "feature int, slot long, x double, n long, sy double, syy double",
+            )
+        )
+    counts = (
+        union_all(parts)
+        .repartition("feature", "slot")
+        .groupBy("feature", "slot", "x")
+        .agg(F.sum("n").alias("n"), F.sum("sy").alias("sy"), F.sum("syy").alias("syy"))
+    )
+    upto = F.sum("n").over(
+        Window.partitionBy("feature", "slot").orderBy("x").rowsBetween(
+            Window.unboundedPreceding, Window.currentRow
+        )
+    )
+    rank = upto - (F.col("n") - 1) / 2
+    by_slot = (
+        counts.withColumn("r", rank)
+        .groupBy("feature", "slot")
+        .agg(
+            F.sum("n").alias("n"),
+            F.sum("sy").alias("sy"),
+            F.sum("syy").alias("syy"),
+            F.sum(F.col("sy") * F.col("r")).alias("syr"),
+            F.sum(F.col("n") * F.col("r")).alias("nr"),
+            F.sum(F.col("n") * F.col("r") * F.col("r")).alias("nrr"),
+        )
+    )
+    of_feature = Window.partitionBy("feature")
+    before = F.sum("n").over(of_feature.orderBy("slot")) - F.col("n")
+    shift = before - (F.sum("n").over(of_feature) + 1) / 2
+    k = F.col("k")
+    return (
+        by_slot.withColumn("k", shift)
+        .groupBy("feature")
+        .agg(
+            F.sum(F.col("syr") + k * F.col("sy")).alias("xy"),
+            F.sum(F.col("nrr") + 2 * k * F.col("nr") + k * k * F.col("n")).alias("xx"),
+            F.sum("syy").alias("yy"),
+        )
+    )
+
+
+def _value_sums(group: list[str], numbers: list[int], values: np.ndarray, centred: np.ndarray):
+    """For each column of a batch and each of its values: rows, and sums of the target's
+    centred ranks and of their squares."""
+    of_group = centred[numbers]
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = np.searchsorted(values, batch["_y"].to_numpy(zero_copy_only=False))
+            for c, feature, ranks in zip(group, numbers, of_group):
+                known = batch[c].is_valid().to_numpy(zero_copy_only=False)
+                if not known.any():
+                    continue
+                x = batch[c].drop_null().to_numpy() + 0.0  # -0.0 becomes 0.0
+                slot = batch[SLOT + c].drop_null().to_numpy()
+                x, first, at = np.unique(x, return_index=True, return_inverse=True)
+                dy = ranks[place[known]]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(x), feature, np.int32)),
+                        pa.array(slot[first].astype(np.int64)),
+                        pa.array(x),
+                        pa.array(np.bincount(at)),
+                        pa.array(np.bincount(at, dy)),
+                        pa.array(np.bincount(at, dy * dy)),
+                    ],
+                    ["feature", "slot", "x", "n", "sy", "syy"],
+                )
+
+    return add_up
+
+
+def _sums_of_paired(
+    narrow: DataFrame, columns: list[str], slots: int, rows_per_slot: int
+) -> DataFrame:
+    """(feature, xy, xx, yy) for a target of any number of values."""
     slotted = rank_slots(narrow, [*columns, "_y"], slots, rows_per_slot).add_to(narrow)
     entries = [
         F.struct(
@@ -115,15 +256,11 @@ def spearman_target(
         F.col("y").alias("_vy"),
         (F.col("_rank") - (F.col("_total") + 1) / 2).alias("_dy"),
     )
-    few = df.select(target).distinct().limit(FEW_TARGETS + 1).count() <= FEW_TARGETS
     dy = F.col("_dy")
     # Summed per value before it is ranked: a value with a third of all rows, each with
     # a target of its own, is one row of a window.
     by_x = (
-        counts.join(
-            F.broadcast(of_y) if few else of_y,
-            (F.col("feature") == F.col("_fy")) & (F.col("y") == F.col("_vy")),
-        )
+        counts.join(of_y, (F.col("feature") == F.col("_fy")) & (F.col("y") == F.col("_vy")))
         .groupBy("feature", "x", "xs")
         .agg(
             F.sum("n").alias("n"),
@@ -132,7 +269,7 @@ def spearman_target(
         )
     )
     dx = F.col("_rank") - (F.col("_total") + 1) / 2
-    sums = (
+    return (
         average_ranks(by_x, "x", "xs", ["_sy", "_syy"])
         .groupBy("feature")
         .agg(
@@ -141,13 +278,6 @@ def spearman_target(
             F.sum("_syy").alias("yy"),
         )
     )
-    scores = sums.select(
-        F.col("feature").alias("_i"),
-        F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy")).alias("score"),
-    )
-    # A column without known values has a row too.
-    names = df.sparkSession.createDataFrame(list(enumerate(columns)), "_i int, feature string")
-    return names.join(scores, "_i", "left").select("feature", "score")
 
 
 def roc_aucs(

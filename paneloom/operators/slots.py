@@ -13,13 +13,16 @@ SLOT = "_slot_"
 
 
 def with_slots(df: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
-    """Adds ``_slot_<column>``: how many cuts are at or below the value; null stays null."""
+    """Adds ``_slot_<column>``: how many cuts are at or below the value; null stays null.
+    0.0 and -0.0 are one value, as they are in groups."""
     borders = {
-        c: sorted({float(v) for v in values if v is not None and math.isfinite(v)})
+        c: sorted({float(v) + 0.0 for v in values if v is not None and math.isfinite(v)})
         for c, values in cuts.items()
     }
     cut = [c for c, values in borders.items() if values]
-    doubles = df.select("*", *(F.col(c).cast("double").alias(f"_value_{c}") for c in cut))
+    doubles = df.select(
+        "*", *((F.col(c).cast("double") + F.lit(0.0)).alias(f"_value_{c}") for c in cut)
+    )
     if cut:
         doubles = Bucketizer(
             splitsArray=[[-math.inf, *borders[c], math.inf] for c in cut],

@@ -102,6 +102,34 @@ def test_spearman(df, pdf, target, slots):
     assert got["flat"] is None and got["empty"] is None
 
 
+@pytest.mark.parametrize("few_targets", [0, 1000])
+def test_spearman_of_odd_values(spark, few_targets):
+    rng = np.random.default_rng(5)
+    odd = np.array([-0.0, 0.0, np.nan, np.inf, -np.inf, 1e-300, -2.0, 3.5])
+    table = pd.DataFrame(
+        {
+            "x": odd[rng.integers(0, 8, 500)],
+            "w": odd[rng.integers(0, 8, 500)],
+            "y": odd[rng.integers(0, 8, 500)],
+        }
+    )
+    rows = [
+        tuple(None if rng.random() < 0.2 else float(v) for v in row)
+        for row in table.itertuples(index=False)
+    ]
+    df = spark.createDataFrame(rows, "x double, w double, y double").repartition(5)
+    got = scores(spearman_target(df, ["x", "w"], "y", 4, 20, few_targets))
+    for i, c in enumerate(["x", "w"]):
+        known = pd.DataFrame([(r[i], r[2]) for r in rows if r[i] is not None and r[2] is not None])
+        # NaN is the greatest value: a rank above infinity.
+        ranks = known.replace([np.inf, np.nan], [1e301, 1e302]).rank()
+        assert close(got[c], ranks[0].corr(ranks[1])), c
+    none = spark.createDataFrame([], "x double, y double")
+    assert scores(spearman_target(none, ["x"], "y", few_targets=few_targets)) == {"x": None}
+    blank = spark.createDataFrame([(1.0, None), (2.0, None)], "x double, y double")
+    assert scores(spearman_target(blank, ["x"], "y", few_targets=few_targets)) == {"x": None}
+
+
 @pytest.mark.parametrize("block, at_once", [(256, 10_000), (256, 4), (4, 5), (1, 10_000)])
 def test_pairs(df, pdf, block, at_once, monkeypatch):
     monkeypatch.setattr("paneloom.operators.correlation.ROWS_AT_ONCE", at_once)
