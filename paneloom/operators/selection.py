@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
 
 from paneloom.functions import slot_in
-from paneloom.operators.profile import Estimates, dominant_value, estimates, value_profile
+from paneloom.operators.profile import Estimates, dominant_value, estimates, value_counts
+from paneloom.spec import column_groups, union_all
 
 # Thresholds of the two screening runs and the texts of the report.
 EMPTY_SHARE = 0.999
@@ -103,57 +104,77 @@ def removal_report(
 
 
 def _id_columns(df: DataFrame, columns: list[str], about: Estimates) -> list[str]:
-    """Columns with as many distinct values as rows. Estimates rule most columns out;
-    the rest are counted exactly."""
+    """Columns with as many distinct values as rows. Estimates rule most columns out and a
+    slice of the values most others; of the rest all values are looked at."""
     maybe = [
         c
         for c in columns
         if 0 < about.n_rows == about.known[c]
         and about.distinct[c] >= _MAYBE_ID_SHARE * about.n_rows
     ]
-    repeating = _repeating(df, maybe)
-    maybe = [c for c in maybe if c not in repeating]
-    if not maybe:
-        return []
-    exact = value_profile(df, maybe).where(F.col("n_unique") == F.col("n_rows"))
-    return [row["feature"] for row in exact.select("feature").collect()]
-
-
-def _repeating(df: DataFrame, columns: list[str]) -> set[str]:
-    """Columns with a repeated value in a slice of their values, cut by hash: most
-    columns that are no IDs show here, and only the slice is shuffled."""
-    if not columns:
-        return set()
-    hashes = [
-        F.struct(F.lit(i).alias("feature"), F.xxhash64(F.lit(i), c).alias("h"))
-        for i, c in enumerate(columns)
-    ]
-    slice_of = df.select(
-        F.inline(F.filter(F.array(*hashes), lambda e: F.pmod(e["h"], F.lit(ID_SLICE)) == 0))
-    )
-    # 64-bit hashes only suggest a repetition; the values themselves are counted.
-    suspects = [
-        columns[r["feature"]]
-        for r in slice_of.groupBy("feature", "h")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .select("feature")
-        .distinct()
-        .collect()
-    ]
+    for slices in (ID_SLICE, 1):
+        repeating = repeating_columns(df, maybe, slices)
+        maybe = [c for c in maybe if c not in repeating]
+    return maybe
+
+
+def repeating_columns(df: DataFrame, columns: list[str], slices: int = 1) -> set[str]:
+    """Columns with a value that stands twice, among the values of one of so many slices
+    by hash. Exact, and a few jobs for 200 columns, however many of them repeat.
+
+    Only 64-bit hashes are counted, which is what keeps wide text out of the shuffle. Of a
+    column with a repeated hash, the values behind one such hash are compared; should they
+    differ, the column is counted value by value. Nulls are left out, NaN equals itself,
+    0.0 and -0.0 are one value. An empty table has no such column.
+    """
     found = set()
-    for c in suspects:
-        same = (
-            df.where(F.pmod(F.xxhash64(F.lit(columns.index(c)), c), F.lit(ID_SLICE)) == 0)
-            .groupBy(c)
+    for group in column_groups(columns):
+        hashes = [
+            F.struct(F.lit(i).alias("feature"), _hash(df, c, i).alias("h"))
+            for i, c in enumerate(group)
+        ]
+        sliced = df.select(
+            F.inline(
+                F.filter(F.array(*hashes), lambda e: F.pmod(e["h"], F.lit(slices)) == 0)
+            )
+        )
+        twice = {
+            r["feature"]: r["h"]
+            for r in sliced.groupBy("feature", "h")
             .agg(F.count(F.lit(1)).alias("n"))
             .where("n > 1")
+            .groupBy("feature")
+            .agg(F.min("h").alias("h"))
+            .collect()
+        }
+        if not twice:
+            continue
+        behind = df.select(
+            *(F.when(_hash(df, group[i], i) == h, F.col(group[i])).alias(group[i])
+              for i, h in twice.items())
         )
-        if not same.isEmpty():
-            found.add(c)
+        same = _with_repeated_value(behind, [group[i] for i in twice])
+        unsure = [group[i] for i in twice if group[i] not in same]
+        found |= same | (_with_repeated_value(df, unsure) if unsure else set())
     return found
 
 
+def _hash(df: DataFrame, column: str, number: int) -> Column:
+    """Null for null; columns of equal values have different hashes."""
+    value = F.col(column)
+    if isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)):
+        value = value + F.lit(0.0)  # -0.0 becomes 0.0
+    return F.when(F.col(column).isNotNull(), F.xxhash64(F.lit(number), value))
+
+
+def _with_repeated_value(df: DataFrame, columns: list[str]) -> set[str]:
+    repeated = [
+        counts.where("value IS NOT NULL AND n > 1").select("feature").distinct()
+        for counts in value_counts(df, columns).values()
+    ]
+    return {columns[r["feature"]] for r in union_all(repeated).collect()}
+
+
 def report_rows(removals: DataFrame) -> DataFrame:
     """The removal report as it is written: feature and reason, ordered by rule."""
     feature, reason = REPORT_COLUMNS

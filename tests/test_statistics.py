@@ -327,7 +327,31 @@ def test_a_rare_repetition_is_no_id(spark):
     )
     report = sel.removal_report(df, df.columns).collect()
     assert [(r["feature"], r["reason"]) for r in report] == [("id", sel.REASON_ID)]
-    assert sel._repeating(df, ["id"]) == set() and sel._repeating(df, ["often"]) <= {"often"}
+    assert sel.repeating_columns(df, ["id"]) == set()
+    assert sel.repeating_columns(df, df.columns) == {"once", "often"}
+    assert sel.repeating_columns(df, df.columns, 50) <= {"once", "often"}
+
+
+def test_repetitions_of_every_type(spark, monkeypatch):
+    df = spark.range(300).select(
+        F.when(F.col("id") > 1, F.col("id")).alias("nulls"),
+        F.when(F.col("id") < 2, float("nan")).otherwise(F.col("id")).alias("nan"),
+        F.when(F.col("id") == 1, -0.0).otherwise(F.col("id")).cast("double").alias("zeros"),
+        (F.col("id") / 7).cast("float").alias("float"),
+        F.md5((F.col("id") % 299).cast("string")).alias("text"),
+        F.col("id").cast("string").alias("own text"),
+        F.col("id").cast("decimal(20, 4)").alias("decimal"),
+        F.timestamp_seconds(F.floor(F.col("id") / 2)).alias("time"),
+    )
+    want = {"nan", "zeros", "text", "time"}
+    assert sel.repeating_columns(df, df.columns) == want
+    assert sel.repeating_columns(df.limit(0), df.columns) == set()
+    assert sel.repeating_columns(df, []) == set()
+    # Hashes that collide all the time decide nothing.
+    monkeypatch.setattr(
+        sel, "_hash", lambda df, c, i: F.when(F.col(c).isNotNull(), F.lit(0).cast("long"))
+    )
+    assert sel.repeating_columns(df, df.columns) == want
 
 
 def neighbour_score(pairs, k=3):
