@@ -2,10 +2,12 @@
 
 A tree is grown leaf by leaf, the leaf with the largest gain first. Every task holds some
 rows; what it knows of a leaf is a histogram of gradients, hessians and rows per bin, and only
-the sum of all tasks' histograms decides, so all tasks grow the same tree. Only the smaller
-child of a split is counted, the other is the difference to the parent. Leaves that are
-likely to be split are counted together, so a tree takes about as many exchanges as it is
-deep, not one per leaf; which leaves are split in the end does not depend on that.
+the sum of all tasks' histograms decides. Every task adds up the bins of its share of the
+features and searches them; the tasks tell each other the best splits they found, so all grow
+the same tree. Only the smaller child of a split is counted, the other is the difference to the
+parent. Leaves that are likely to be split are counted together, so a tree takes about as many
+exchanges as it is deep, not one per leaf; which leaves are split in the end does not depend on
+that.
 
 Numbers are cut into bins at borders; bin 0 is for missing values, which go to the side with
 the larger gain. The levels of a category are ordered by gradient over hessian in every leaf
@@ -16,7 +18,6 @@ penalty of its own; a category with few levels in a leaf is cut one level agains
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -67,22 +68,31 @@ class Tree:
     def goes_left(self, node: int, codes: np.ndarray) -> np.ndarray:
         """Where the codes of the node's feature go."""
         if self.levels[node] is not None:
-            return np.isin(codes, self.levels[node])
+            named = np.zeros(max(self.levels[node]) + 2, bool)
+            named[list(self.levels[node])] = True
+            return named[np.minimum(codes, len(named) - 1)]
         if self.missing_left[node]:
             return codes <= self.border[node]
         return (codes <= self.border[node]) & (codes > 0)
 
-    def leaf_of(self, bins: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(bins), np.int32)
-        waiting = [(0, np.arange(len(bins)))]
+    def leaves(self, bins: np.ndarray, rows: np.ndarray):
+        """(leaf, those of the rows that are in it)"""
+        waiting = [(0, rows)]
         while waiting:
             node, rows = waiting.pop()
-            if self.feature[node] < 0 or not len(rows):
-                out[rows] = node
+            if not len(rows):
+                continue
+            if self.feature[node] < 0:
+                yield node, rows
                 continue
-            left = self.goes_left(node, bins[rows, self.feature[node]])
+            left = self.goes_left(node, bins[:, self.feature[node]].take(rows))
             waiting.append((self.left[node], rows[left]))
             waiting.append((self.right[node], rows[~left]))
+
+    def leaf_of(self, bins: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(bins), np.int32)
+        for node, rows in self.leaves(bins, np.arange(len(bins))):
+            out[rows] = node
         return out
 
     def predict(self, bins: np.ndarray) -> np.ndarray:
@@ -96,7 +106,7 @@ def _score(g: np.ndarray, h: np.ndarray) -> np.ndarray:
 @dataclass
 class _Leaf:
     rows: np.ndarray
-    histogram: np.ndarray  # (gradient, hessian, rows) by bin
+    histogram: np.ndarray | None  # (gradient, hessian, rows) by bin of the task's features
     total: np.ndarray
     node: int
     gain: float = 0.0
@@ -104,9 +114,23 @@ class _Leaf:
     children: tuple | None = None
 
 
+class Alone:
+    """The exchange of a single task."""
+
+    tasks, own = 1, 0
+
+    def summed(self, parts: list[np.ndarray]) -> np.ndarray:
+        """The sum of what all tasks have for this one; a part for each task."""
+        return parts[0]
+
+    def told(self, message) -> list:
+        """The messages of all tasks."""
+        return [message]
+
+
 class Grower:
-    """Grows trees over one task's rows. `sizes` are the features' numbers of bins, `reduce`
-    adds up an array over all tasks."""
+    """Grows trees over one task's rows. `sizes` are the features' numbers of bins, `exchange`
+    joins the tasks that hold the other rows."""
 
     def __init__(
         self,
@@ -114,9 +138,9 @@ class Grower:
         sizes: list[int],
         is_category: list[bool],
         growth: Growth,
-        reduce: Callable[[np.ndarray], np.ndarray] = lambda a: a,
+        exchange=Alone(),
     ):
-        self.bins, self.growth, self.reduce = bins, growth, reduce
+        self.bins, self.growth, self.exchange = np.asfortranarray(bins), growth, exchange
         self.sizes, self.is_category = np.array(sizes), np.array(is_category, bool)
 
     def grow(
@@ -128,21 +152,13 @@ class Grower:
         step: float,
     ) -> tuple[Tree, list[tuple[int, np.ndarray]]]:
         """A tree over `rows` and `features`, and the rows of each leaf."""
-        self.features = features
-        sizes = self.sizes[features]
-        self.starts = np.concatenate([[0], np.cumsum(sizes)])
-        self.width = int(self.starts[-1])
-        self.of_bin = np.repeat(np.arange(len(features)), sizes)
-        self.bin_no = np.arange(self.width) - self.starts[self.of_bin]
-        self.numeric = ~self.is_category[features][self.of_bin]
-        self.flat = self.bins[:, features].astype(np.int32) + self.starts[:-1].astype(np.int32)
+        self._share_out(features)
         self.weights = (gradient, hessian)
         tree = Tree()
         histogram = self._counted([rows])[0]
-        first = self.starts[1] if len(features) else 0
-        total = histogram[:, :first].sum(axis=1)
-        root = _Leaf(rows, histogram, total, tree.add(self._value(total, step), total[2]))
+        root = _Leaf(rows, histogram, self._total(histogram), 0)
         self._find([root])
+        tree.add(self._value(root.total, step), root.total[2])
         ended, queue, order = [], [], 0
         if root.split is None:
             ended.append(root)
@@ -156,7 +172,7 @@ class Grower:
                 self._expand([leaf, *(x for _, _, x in likely if x.children is None)])
             n += 1
             node = leaf.node
-            place, code, missing_left, levels = leaf.split
+            place, code, missing_left, levels, _ = leaf.split
             tree.feature[node], tree.border[node] = int(features[place]), code
             tree.missing_left[node], tree.levels[node] = missing_left, levels
             tree.gain[node] = leaf.gain
@@ -171,42 +187,63 @@ class Grower:
         ended += [leaf for _, _, leaf in queue]
         return tree, [(leaf.node, leaf.rows) for leaf in ended]
 
+    def _share_out(self, features: np.ndarray) -> None:
+        """The features of each task, in order, with about as many bins each. The first task
+        has the first feature."""
+        tasks, sizes = self.exchange.tasks, self.sizes[features]
+        self.all_starts = np.concatenate([[0], np.cumsum(sizes)])
+        self.all_width = int(self.all_starts[-1])
+        even = np.arange(tasks + 1) * self.all_width / tasks
+        bounds = np.searchsorted(self.all_starts, even)
+        bounds[-1] = len(features)
+        self.shares = [tuple(self.all_starts[[a, b]]) for a, b in zip(bounds, bounds[1:])]
+        self.first, last = int(bounds[self.exchange.own]), int(bounds[self.exchange.own + 1])
+        self.features, own = features, features[self.first : last]
+        self.starts = self.all_starts[self.first : last + 1] - self.all_starts[self.first]
+        self.width = int(self.starts[-1])
+        self.of_bin = np.repeat(np.arange(len(own)), self.sizes[own])
+        self.bin_no = np.arange(self.width) - self.starts[self.of_bin]
+        self.categories = self.is_category[own]
+        self.numeric = ~self.categories[self.of_bin]
+
+    def _total(self, histogram: np.ndarray) -> np.ndarray:
+        return histogram[:, : self.starts[1] if len(self.starts) > 1 else 0].sum(axis=1)
+
     def _value(self, total: np.ndarray, step: float) -> float:
         return float(-step * total[0] / total[1]) if total[1] > 0 else 0.0
 
     def _counted(self, groups: list[np.ndarray]) -> np.ndarray:
-        """Histograms of groups of rows, summed over all tasks."""
-        rows = np.concatenate(groups) if len(groups) > 1 else groups[0]
-        at = self.flat[rows]
-        if len(groups) > 1:
-            slot = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
-            at = at + (slot * self.width)[:, None]
-        at, size, wide = at.ravel(), len(groups) * self.width, len(self.features)
-        out = np.empty((3, size))
-        for i, weight in enumerate(self.weights):
-            out[i] = np.bincount(at, np.repeat(weight[rows], wide), size)
-        out[2] = np.bincount(at, minlength=size)
-        summed = self.reduce(out).reshape(3, len(groups), self.width)
-        return np.ascontiguousarray(summed.transpose(1, 0, 2))
+        """Histograms of groups of rows, summed over all tasks, for this task's features."""
+        n = len(groups)
+        rows = np.concatenate(groups) if n > 1 else groups[0]
+        slot = np.repeat(np.arange(n), [len(g) for g in groups])
+        weights = [weight.take(rows) for weight in self.weights]
+        out = np.empty((n, 3, self.all_width))
+        for j, feature in enumerate(self.features):
+            start, size = self.all_starts[j], self.sizes[feature]
+            codes = self.bins[:, feature].take(rows).astype(np.intp)
+            if n > 1:
+                codes += slot * size
+            for i, weight in enumerate((*weights, None)):
+                counts = np.bincount(codes, weight, n * size)
+                out[:, i, start : start + size] = counts.reshape(n, size)
+        return self.exchange.summed([out[:, :, a:b] for a, b in self.shares])
 
     def _expand(self, leaves: list[_Leaf]) -> None:
-        room = max(1, PASS_BYTES // (24 * max(1, self.width)))
+        room = max(1, PASS_BYTES // (24 * max(1, self.all_width)))
         for i in range(0, len(leaves), room):
             some, smaller, parts = leaves[i : i + room], [], []
             for leaf in some:
-                place, code, missing_left, levels = leaf.split
-                codes = self.flat[leaf.rows, place] - self.starts[place]
-                probe = Tree([0], [code], [missing_left], [levels])
-                left = probe.goes_left(0, codes)
+                place, code, missing_left, levels, on_left = leaf.split
+                codes = self.bins[:, self.features[place]].take(leaf.rows)
+                left = Tree([0], [code], [missing_left], [levels]).goes_left(0, codes)
                 parts.append((leaf.rows[left], leaf.rows[~left]))
                 # By the sum of all tasks, so that all count the same side.
-                held = leaf.histogram[2, self.starts[place] : self.starts[place + 1]]
-                on_left = held[probe.goes_left(0, np.arange(len(held)))].sum()
                 smaller.append(0 if 2 * on_left <= leaf.total[2] else 1)
             counted = self._counted([p[s] for p, s in zip(parts, smaller)])
             made = []
             for leaf, rows, s, own in zip(some, parts, smaller, counted):
-                total = own[:, : self.starts[1]].sum(axis=1)
+                total = self._total(own)
                 pair = [None, None]
                 pair[s] = _Leaf(rows[s], own, total, -1)
                 leaf.histogram -= own
@@ -216,26 +253,45 @@ class Grower:
             self._find(made)
 
     def _find(self, leaves: list[_Leaf]) -> None:
-        """The best split of each leaf."""
-        for leaf in leaves:
-            if leaf.total[2] < 2 * self.growth.min_rows:
+        """The best split of each leaf, and its total as the first task has it."""
+        told = self.exchange.told(([leaf.total for leaf in leaves], self._own_best(leaves)))
+        for j, leaf in enumerate(leaves):
+            leaf.total = told[0][0][j]
+            found = [best[j] for _, best in told if best[j] is not None]
+            # Equal gains: numbers first, missing values on the right, the first feature.
+            gain, _, _, split = min(found, default=(0.0, 0, 0, None), key=lambda b: (-b[0], *b[1:3]))
+            if split is not None and gain > 1e-12 * max(1.0, abs(leaf.total[0])):
+                leaf.gain, leaf.split = float(gain), split
+            else:
                 leaf.histogram = None
-        leaves = [leaf for leaf in leaves if leaf.histogram is not None]
-        room = max(1, FIND_BYTES // (24 * max(1, self.width)))
-        for i in range(0, len(leaves), room):
-            some = leaves[i : i + room]
-            h = np.stack([leaf.histogram for leaf in some])
-            totals = np.stack([leaf.total for leaf in some])
+
+    def _own_best(self, leaves: list[_Leaf]) -> list[tuple | None]:
+        """(gain, kind of cut, place, split) of each leaf among the task's features."""
+        out: list[tuple | None] = [None] * len(leaves)
+        if not self.width:
+            return out
+        few = 2 * self.growth.min_rows
+        large = [j for j, leaf in enumerate(leaves) if leaf.total[2] >= few]
+        room = max(1, FIND_BYTES // (24 * self.width))
+        for i in range(0, len(large), room):
+            some = large[i : i + room]
+            h = np.stack([leaves[j].histogram for j in some])
+            totals = np.stack([leaves[j].total for j in some])
             best = self._numeric(h, totals)
-            for place in np.flatnonzero(self.is_category[self.features]):
+            for place in np.flatnonzero(self.categories):
                 for j, found in enumerate(self._category(int(place), h, totals)):
                     if found and found[0] > best[j][0]:
-                        best[j] = found
-            for leaf, (gain, split) in zip(some, best):
-                if split is not None and gain > 1e-12 * max(1.0, abs(leaf.total[0])):
-                    leaf.gain, leaf.split = float(gain), split
-                else:
-                    leaf.histogram = None
+                        best[j] = (found[0], 2, found[1])
+            for j, own, (gain, kind, split) in zip(some, h, best):
+                if split is None:
+                    continue
+                place, code, missing_left, levels = split
+                held = own[2, self.starts[place] : self.starts[place + 1]]
+                probe = Tree([0], [code], [missing_left], [levels])
+                on_left = float(held[probe.goes_left(0, np.arange(len(held)))].sum())
+                place += self.first
+                out[j] = (float(gain), kind, place, (place, code, missing_left, levels, on_left))
+        return out
 
     def _allowed(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         few, light = self.growth.min_rows, self.growth.min_hessian
@@ -244,7 +300,7 @@ class Grower:
 
     def _numeric(self, h: np.ndarray, totals: np.ndarray) -> list[tuple]:
         if not self.numeric.any():
-            return [(0.0, None)] * len(h)
+            return [(0.0, 0, None)] * len(h)
         sizes = np.diff(self.starts)
         base = _score(totals[:, 0], totals[:, 1])
         at_start = np.ascontiguousarray(h[..., self.starts[:-1]])  # the missing ones
@@ -258,7 +314,7 @@ class Grower:
         left = upto - np.repeat(before + at_start, sizes, axis=2)
         right_way = self._gains(left, totals, usable)
         # On the left, where there are any.
-        held = np.flatnonzero(~none.all(axis=0) & ~self.is_category[self.features])
+        held = np.flatnonzero(~none.all(axis=0) & ~self.categories)
         left_way = None
         if len(held):
             bins = np.flatnonzero(np.isin(self.of_bin, held))
@@ -278,12 +334,13 @@ class Grower:
                     at, gain, to_left = int(bins[other]), left_way[j, other], True
             gain -= base[j]
             if gain <= 0:
-                out.append((0.0, None))
+                out.append((0.0, 0, None))
                 continue
+            kind = int(to_left)
             place = int(self.of_bin[at])
             if none[j, place]:  # missing values go with the larger side
                 to_left = bool(2 * left[j, 2, at] >= totals[j, 2])
-            out.append((gain, (place, int(self.bin_no[at]), to_left, None)))
+            out.append((gain, kind, (place, int(self.bin_no[at]), to_left, None)))
         return out
 
     def _gains(self, left: np.ndarray, totals: np.ndarray, usable: np.ndarray) -> np.ndarray:

@@ -1,5 +1,7 @@
 """Boosted trees against plain versions: growth, losses, blocks of rounds, attribution."""
 
+import threading
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 
 import numpy as np
@@ -169,6 +171,66 @@ def test_tasks_grow_the_same_trees(rows, settings):
         assert np.allclose(a[0].value, b[0].value) and a[0].cover == b[0].cover
 
 
+class Beside:
+    """The context of a task among threads; counts Spark's exchanges, which wait a second each."""
+
+    def __init__(self, own, tasks, meeting, told):
+        self.own, self.tasks, self.meeting, self.sent, self.calls = own, tasks, meeting, told, 0
+
+    def partitionId(self):
+        return self.own
+
+    def getTaskInfos(self):
+        return [None] * self.tasks
+
+    def allGather(self, message):
+        self.calls += 1
+        self.sent[self.own] = message
+        self.meeting.wait()
+        return [self.sent[i] for i in range(self.tasks)]
+
+
+@pytest.mark.parametrize("tasks", [2, 3, 6])
+def test_tasks_exchange_by_files_and_search_their_share_of_the_features(tmp_path, tasks):
+    bins, sizes, is_category, y = table(900, 5)
+    growth = Growth(leaves=12, min_rows=5)
+    g, h = (a[:, 0] for a in gradients("binary", y, np.zeros((len(y), 1))))
+    every = np.arange(4)
+    alone, _ = Grower(bins, sizes, is_category, growth).grow(g, h, np.arange(900), every, 0.1)
+    meeting, told = threading.Barrier(tasks), {}
+    contexts = [Beside(i, tasks, meeting, told) for i in range(tasks)]
+
+    def grown(i):
+        exchange = tr._Files(contexts[i], f"file:{tmp_path}")
+        mine = slice(i, None, tasks)
+        grower = Grower(bins[mine], sizes, is_category, growth, exchange)
+        rows = np.arange(len(bins[mine]))
+        tree = grower.grow(g[mine], h[mine], rows, every, 0.1)[0]
+        exchange.told(None)
+        return tree
+
+    with ThreadPoolExecutor(tasks) as pool:
+        trees = list(pool.map(grown, range(tasks), timeout=60))
+    for tree in trees:
+        assert tree.feature == alone.feature and tree.border == alone.border
+        assert tree.levels == alone.levels and tree.cover == alone.cover
+        assert np.allclose(tree.value, alone.value)
+    assert [c.calls for c in contexts] == [1] * tasks  # of Spark's, whatever the tree
+    assert len([f for f in tmp_path.rglob("*") if f.is_file()]) == tasks  # the last step's
+
+
+def test_round_aucs_in_slots_equal_the_ranks(spark):
+    rng = np.random.default_rng(2)
+    rows = [(float(rng.integers(0, 2)), [float(v) for v in rng.integers(0, 40, 3)]) for _ in range(700)]
+    held = spark.createDataFrame(rows, "y double, history array<double>").repartition(3)
+    wide = held.select("y", *(F.get("history", F.lit(i)).alias(f"r{i}") for i in range(3)))
+    want = {r["feature"]: r["auc"] for r in roc_aucs(wide, ["r0", "r1", "r2"], "y").collect()}
+    for rows_per_slot in (10, 100, 1000):
+        got = tr._round_aucs(held, 3, rows_per_slot)
+        assert got == pytest.approx([want[f"r{i}"] for i in range(3)], abs=1e-12)
+    assert tr._round_aucs(held.where("y = 1"), 3, 100) == [None] * 3
+
+
 def test_blocks_continue_from_their_margins(rows, model, monkeypatch):
     monkeypatch.setattr(tr, "BLOCK", 3)
     again = fit_trees(rows, FEATURES, ["kind"], "y", SMALL)
