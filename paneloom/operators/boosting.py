@@ -5,9 +5,9 @@ rows; what it knows of a leaf is a histogram of gradients, hessians and rows per
 the sum of all tasks' histograms decides. Every task adds up the bins of its share of the
 features and searches them; the tasks tell each other the best splits they found, so all grow
 the same tree. Only the smaller child of a split is counted, the other is the difference to the
-parent. Leaves that are likely to be split are counted together, so a tree takes about as many
-exchanges as it is deep, not one per leaf; which leaves are split in the end does not depend on
-that.
+parent. Leaves that are likely to be split are counted together, those below a split that is
+still to come among them, so a tree takes about as many exchanges as it is deep, not one per
+leaf; which leaves are split in the end does not depend on that.
 
 Numbers are cut into bins at borders; bin 0 is for missing values, which go to the side with
 the larger gain. The levels of a category are ordered by gradient over hessian in every leaf
@@ -158,6 +158,7 @@ class Grower:
         histogram = self._counted([rows])[0]
         root = _Leaf(rows, histogram, self._total(histogram), 0)
         self._find([root])
+        self.uncounted = [root] if root.split else []
         tree.add(self._value(root.total, step), root.total[2])
         ended, queue, order = [], [], 0
         if root.split is None:
@@ -168,8 +169,9 @@ class Grower:
         while queue and n < self.growth.leaves:
             _, _, leaf = heapq.heappop(queue)
             if leaf.children is None:
-                likely = heapq.nsmallest(self.growth.leaves - n - 1, queue)
-                self._expand([leaf, *(x for _, _, x in likely if x.children is None)])
+                others = (x for x in self.uncounted if x is not leaf)
+                most = max(0, self.growth.leaves - n - 1)
+                self._expand([leaf, *heapq.nlargest(most, others, key=lambda x: x.gain)])
             n += 1
             node = leaf.node
             place, code, missing_left, levels, _ = leaf.split
@@ -230,6 +232,7 @@ class Grower:
         return self.exchange.summed([out[:, :, a:b] for a, b in self.shares])
 
     def _expand(self, leaves: list[_Leaf]) -> None:
+        """Counts both sides of the leaves' splits, and finds theirs."""
         room = max(1, PASS_BYTES // (24 * max(1, self.all_width)))
         for i in range(0, len(leaves), room):
             some, smaller, parts = leaves[i : i + room], [], []
@@ -251,6 +254,9 @@ class Grower:
                 leaf.children, leaf.histogram = tuple(pair), None
                 made += pair
             self._find(made)
+        known = [leaf for leaf in self.uncounted if leaf.children is None]
+        below = (child for leaf in leaves for child in leaf.children)
+        self.uncounted = known + [child for child in below if child.split is not None]
 
     def _find(self, leaves: list[_Leaf]) -> None:
         """The best split of each leaf, and its total as the first task has it."""

@@ -13,7 +13,7 @@ from paneloom import PanelSpec
 from paneloom.catalog import models
 from paneloom.operators import attribution as at
 from paneloom.operators import trees as tr
-from paneloom.operators.boosting import Grower, Growth, Tree, gradients, losses, shares
+from paneloom.operators.boosting import Alone, Grower, Growth, Tree, gradients, losses, shares
 from paneloom.operators.correlation import roc_auc, roc_aucs
 from paneloom.operators.trees import (
     MAIN,
@@ -219,6 +219,31 @@ def test_tasks_exchange_by_files_and_search_their_share_of_the_features(tmp_path
     assert len([f for f in tmp_path.rglob("*") if f.is_file()]) == tasks  # the last step's
 
 
+def test_a_tree_takes_about_as_many_exchanges_as_it_is_deep():
+    rng = np.random.default_rng(4)
+    bins = rng.integers(1, 200, (20_000, 3)).astype("<u2")
+    y = (bins[:, 0].astype(float) + bins[:, 1] + rng.normal(0, 40, len(bins)) > 200).astype(float)
+    g, h = (a[:, 0] for a in gradients("binary", y, np.zeros((len(y), 1))))
+
+    class Counting(Alone):
+        steps = 0
+
+        def summed(self, parts):
+            self.steps += 1
+            return parts[0]
+
+    exchange = Counting()
+    grower = Grower(bins, [201] * 3, [False] * 3, Growth(leaves=127), exchange)
+    tree, _ = grower.grow(g, h, np.arange(len(bins)), np.arange(3), 0.1)
+
+    def depth(node):
+        if tree.feature[node] < 0:
+            return 0
+        return 1 + max(depth(tree.left[node]), depth(tree.right[node]))
+
+    assert tree.feature.count(-1) == 127 and exchange.steps <= depth(0) + 8
+
+
 def test_round_aucs_in_slots_equal_the_ranks(spark):
     rng = np.random.default_rng(2)
     rows = [(float(rng.integers(0, 2)), [float(v) for v in rng.integers(0, 40, 3)]) for _ in range(700)]
