@@ -3,11 +3,13 @@
 A row's score is shared out over the features by the tree-path rule: a feature that is not
 known follows both branches in proportion to the training rows there. The sum over all sets of
 known features is an integral over t from 0 to 1: on a path, every feature stands for a factor
-(1 - t) * share + t * follows, and Gauss-Legendre nodes integrate the product exactly. Each
-tree is walked once per block of rows, carrying that product for every row and node; coming
-back up, the sum below an edge, without what hangs below a deeper edge of the same feature,
-is divided by the edge's factor. That is linear in the tree's edges and in the number of
-features on a path.
+(1 - t) * share + t * follows, and Gauss-Legendre nodes integrate the product exactly. What a
+leaf adds depends only on which of its path's features follow, so where paths have few features
+it is worked out once for every such pattern, and rows look it up by their pattern. Where paths
+have many, a tree is walked once per block of rows, carrying that product for every row and
+node; coming back up, the sum below an edge, without what hangs below a deeper edge of the same
+feature, is divided by the edge's factor. That is linear in the tree's edges and in the number
+of features on a path.
 
 The trees travel to the tasks as a broadcast; every task attributes its own rows.
 
@@ -30,7 +32,9 @@ from paneloom.operators.correlation import NO_SPREAD
 from paneloom.operators.trees import TreeModel, _lists, _matrix
 
 #: Rows that are walked through a tree together.
-BLOCK = 2048
+BLOCK = 32_768
+#: Features on a path up to which a leaf's attributions are looked up by pattern.
+PATTERN_FEATURES = 6
 
 _SUMS = ["n", "absolute", "known", "phi", "phi2", "x", "x2", "x_phi"]
 
@@ -47,15 +51,62 @@ def depth_in_features(tree: Tree) -> int:
     return most
 
 
+def leaf_patterns(value: float, shares: np.ndarray) -> np.ndarray:
+    """What a leaf adds to each feature on its path (rows) in every pattern (columns): bit i
+    says that feature i follows the path, `shares` are those of the features' edges."""
+    n = len(shares)
+    at, weights = np.polynomial.legendre.leggauss((n + 1) // 2)
+    t = ((at + 1) / 2)[:, None, None]
+    follows = (np.arange(1 << n) >> np.arange(n)[:, None]) & 1
+    factors = (1 - t) * shares[:, None] + t * follows
+    out = np.empty((n, 1 << n))
+    for i in range(n):
+        others = np.delete(factors, i, axis=1).prod(axis=1)
+        out[i] = value * (follows[i] - shares[i]) * (weights[:, None] / 2 * others).sum(axis=0)
+    return out
+
+
+def _by_pattern(tree: Tree, columns: np.ndarray, out: np.ndarray) -> None:
+    def walk(node: int, pattern: np.ndarray, path: dict) -> None:
+        """`path` has the share of each feature so far, in the order of the pattern's bits."""
+        feature = tree.feature[node]
+        if feature < 0:
+            adds = leaf_patterns(tree.value[node], np.array(list(path.values())))
+            place = pattern.astype(np.intp)
+            for f, of_pattern in zip(path, adds):
+                out[f] += of_pattern.take(place)
+            return
+        left = tree.goes_left(node, columns[feature])
+        known = feature in path
+        bit = list(path).index(feature) if known else len(path)
+        for child, taken in ((tree.left[node], left), (tree.right[node], ~left)):
+            share = path.get(feature, 1.0) * tree.cover[child] / tree.cover[node]
+            follows = taken.view(np.uint8) << np.uint8(bit)
+            if known:
+                below = pattern & (follows | np.uint8(255 ^ (1 << bit)))
+            else:
+                below = pattern | follows
+            walk(child, below, {**path, feature: share})
+
+    walk(0, np.zeros(columns.shape[1], np.uint8), {})
+
+
 def shapley(tree: Tree, bins: np.ndarray, out: np.ndarray) -> None:
     """Adds the tree's attributions of the rows to `out`, features x rows."""
     features = depth_in_features(tree)
     if not features:
         return
+    columns = np.ascontiguousarray(bins.T)
+    if features <= PATTERN_FEATURES:
+        _by_pattern(tree, columns, out)
+    else:
+        _by_walk(tree, columns, out, features)
+
+
+def _by_walk(tree: Tree, columns: np.ndarray, out: np.ndarray, features: int) -> None:
     at, weights = np.polynomial.legendre.leggauss((features + 1) // 2)
     t, weights = ((at + 1) / 2)[:, None], (weights / 2)[:, None]
-    columns = np.ascontiguousarray(bins.T)
-    ones = np.ones((len(t), len(bins)))
+    ones = np.ones((len(t), columns.shape[1]))
 
     def walk(node: int, product: np.ndarray, on_path: dict) -> tuple[np.ndarray, dict]:
         """Sums below a node of value times product, in all and below the topmost edges of
@@ -87,6 +138,18 @@ def shapley(tree: Tree, bins: np.ndarray, out: np.ndarray) -> None:
     walk(0, ones, {})
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `BLOCK`: a leaf's patterns are worked out for each."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) + batch.num_rows > BLOCK:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _attributed(trees: list[list[Tree]], bins: np.ndarray, wide: int, k: int) -> np.ndarray:
     """Rows x features attributions to class `k`."""
     out = np.zeros((wide, len(bins)))
@@ -112,7 +175,7 @@ def row_attributions(rows: DataFrame, model: TreeModel, keep: list[str]) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = sent.value
-        for batch in batches:
+        for batch in _blocks(batches):
             bins = _matrix(batch["bins"])
             for k in range(classes):
                 n = len(bins)
@@ -166,7 +229,7 @@ def attribution(rows: DataFrame, model: TreeModel, of_class: int = 1) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(_SUMS), wide))
-        for batch in batches:
+        for batch in _blocks(batches):
             if batch.num_rows == 0:
                 continue
             bins = _matrix(batch["bins"])

@@ -244,6 +244,20 @@ def test_a_tree_takes_about_as_many_exchanges_as_it_is_deep():
     assert tree.feature.count(-1) == 127 and exchange.steps <= depth(0) + 8
 
 
+def test_attribution_by_pattern_equals_the_walk():
+    bins, sizes, is_category, y = table(900, 6)
+    g, h = (a[:, 0] for a in gradients("binary", y, np.zeros((len(y), 1))))
+    grower = Grower(bins, sizes, is_category, Growth(leaves=25, min_rows=5))
+    tree, _ = grower.grow(g, h, np.arange(900), np.arange(4), 0.1)
+    features = at.depth_in_features(tree)
+    assert 3 <= features <= at.PATTERN_FEATURES
+    columns = np.ascontiguousarray(bins.T)
+    pattern, walk = np.zeros((4, 900)), np.zeros((4, 900))
+    at._by_pattern(tree, columns, pattern)
+    at._by_walk(tree, columns, walk, features)
+    assert np.abs(walk).max() > 0 and np.allclose(pattern, walk, rtol=1e-9, atol=1e-13)
+
+
 def test_round_aucs_in_slots_equal_the_ranks(spark):
     rng = np.random.default_rng(2)
     rows = [(float(rng.integers(0, 2)), [float(v) for v in rng.integers(0, 40, 3)]) for _ in range(700)]
