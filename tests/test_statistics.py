@@ -19,7 +19,16 @@ from paneloom.operators.correlation import (
     strong_features,
 )
 from paneloom.operators.information import mutual_information
-from paneloom.operators.joint_neighbours import cell_tree, cells_reached, number_information, upper_border
+from paneloom.operators.joint_neighbours import (
+    Leaves,
+    cell_of,
+    cell_tree,
+    cells_reached,
+    nearest,
+    number_information,
+    parts_of,
+    upper_border,
+)
 from paneloom.operators.neighbours import neighbour_information
 from paneloom.operators.profile import dominant_value, null_share, task_type, value_profile
 from paneloom.operators.quantiles import exact_quantiles, fill_with_median, keep_from_percentile
@@ -465,9 +474,71 @@ def test_crowded_values_are_cut_along_the_other_direction():
     assert len(rows) == len(x) * len(set(cells))
 
 
+def test_rows_of_few_values_stay_in_their_cells_and_parts():
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(0, 9, 4000).astype(float), rng.random(4000) * 100
+    tree = cell_tree(x, y, 1.0, 1e6, 2)  # cut between values of x only
+    own = cell_of(tree, x, y)
+    assert len(set(own)) == 4
+    rows, cells = cells_reached(tree, x, y, np.full(len(x), 0.1), (1.0, 1e6))
+    assert len(rows) == len(x) and (cells == own[rows]).all()
+    borders, turns = parts_of(x, len(x), 450)
+    assert len(borders) > 4 and (np.abs(x[:, None] - borders) == 0.5).any()
+    assert (np.abs(x[:, None] - borders) >= 0.1).all() and len(turns) == len(borders) + 1
+    crowded = np.concatenate([np.full(3000, 5.0), x[:1000]])
+    assert parts_of(crowded, len(crowded), 450)[1].max() == 4
+
+
+@pytest.mark.parametrize("wanted", [1, 3, 20])
+def test_nearest_points_of_crowds_and_outliers(wanted):
+    rng = np.random.default_rng(wanted)
+    x = np.concatenate([rng.random(300), np.full(200, 50.0), rng.integers(0, 5, 200), [1e9]])
+    y = np.concatenate([rng.random(300) * 1e-6, rng.random(200), rng.integers(0, 5, 200), [1e9]])
+    x, y = np.unique(np.stack([x, y]), axis=1)
+    n = rng.integers(1, 4, len(x))
+    scales = (3.0, 0.7)
+    leaves = Leaves(x, y, n, scales)
+
+    def kth(qx, qy, own):
+        d = np.maximum(np.abs(x - qx) / scales[0], np.abs(y - qy) / scales[1])
+        left = n.copy()
+        if own is not None:
+            left[own] -= 1
+        return np.sort(np.repeat(d, left))[wanted - 1]
+
+    _, _, radius = nearest(leaves, x, y, wanted)
+    assert radius.tolist() == [kth(a, b, i) for i, (a, b) in enumerate(zip(x, y))]
+    qx, qy = rng.random(50) * 60, rng.random(50)
+    for bound in (np.inf, 0.5):
+        _, _, radius = nearest(leaves, qx, qy, wanted, np.full(50, bound))
+        assert radius.tolist() == [min(bound, kth(a, b, None)) for a, b in zip(qx, qy)]
+
+
+def test_number_information_of_parts_that_are_given_out(spark, monkeypatch):
+    monkeypatch.setattr("paneloom.operators.joint_neighbours.CELLS_PER_PART", 2)
+    rng = random.Random(8)
+    rows = [(rng.choice([0.0, 0.0, rng.gauss(0, 1)]), rng.choice([1.0, 1.0, 1.0, 2.0, rng.random()]))
+            for _ in range(400)]
+    df = spark.createDataFrame([(*r, r[1] * 1e9) for r in rows], "y double, x double, wide double")
+    got = dict(tuple(r) for r in number_information(df.repartition(5), ["x", "wide"], "y", 3, 5).collect())
+    assert abs(got["x"] - number_score([(x, y) for y, x in rows], 3)) < 1e-9
+    assert abs(got["wide"] - number_score([(x * 1e9, y) for y, x in rows], 3)) < 1e-9
+
+
 def test_a_border_is_the_first_number_that_far():
     v = np.array([0.0, 1.0, -3.5, 1e300, 0.1, 5e-324, 0.3])
     radius = np.array([0.1, 1.0, 3.5, 1.0, 0.2, 1e-300, 0.0])
     border = upper_border(v, radius, 0.7)
     for b, x, r in zip(border, v, radius):
         assert (b - x) / 0.7 >= r and (b == x or not (np.nextafter(b, -np.inf) - x) / 0.7 >= r)
+
+
+def test_borders_of_many_numbers():
+    rng = np.random.default_rng(6)
+    v = np.concatenate([rng.normal(size=500), rng.integers(-9, 9, 500), rng.normal(size=500) * 1e12])
+    radius = np.concatenate([np.abs(v[:750]), rng.random(750) * 1e-9])  # some end next to zero
+    for scale in (1.0, 0.3, 2e5):
+        border = upper_border(v, radius, scale)
+        assert ((border - v) / scale >= radius).all()
+        below = np.nextafter(border, -np.inf)
+        assert ((border == v) | ((below - v) / scale < radius)).all()
