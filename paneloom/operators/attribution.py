@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from paneloom.operators.boosting import Tree
 from paneloom.operators.correlation import NO_SPREAD
-from paneloom.operators.trees import TreeModel, _lists, _matrix
+from paneloom.operators.trees import TreeModel, _blocks, _lists, _matrix
 
 #: Rows that are walked through a tree together.
 BLOCK = 32_768
@@ -138,18 +138,6 @@ def _by_walk(tree: Tree, columns: np.ndarray, out: np.ndarray, features: int) ->
     walk(0, ones, {})
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about `BLOCK`: a leaf's patterns are worked out for each."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) + batch.num_rows > BLOCK:
-            yield pa.concat_batches(held)
-            held = []
-    if held:
-        yield pa.concat_batches(held)
-
-
 def _attributed(trees: list[list[Tree]], bins: np.ndarray, wide: int, k: int) -> np.ndarray:
     """Rows x features attributions to class `k`."""
     out = np.zeros((wide, len(bins)))
@@ -175,7 +163,7 @@ def row_attributions(rows: DataFrame, model: TreeModel, keep: list[str]) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = sent.value
-        for batch in _blocks(batches):
+        for batch in _blocks(batches, BLOCK):
             bins = _matrix(batch["bins"])
             for k in range(classes):
                 n = len(bins)
@@ -229,7 +217,7 @@ def attribution(rows: DataFrame, model: TreeModel, of_class: int = 1) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(_SUMS), wide))
-        for batch in _blocks(batches):
+        for batch in _blocks(batches, BLOCK):
             if batch.num_rows == 0:
                 continue
             bins = _matrix(batch["bins"])

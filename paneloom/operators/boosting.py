@@ -9,6 +9,10 @@ parent. Leaves that are likely to be split are counted together, those below a s
 still to come among them, so a tree takes about as many exchanges as it is deep, not one per
 leaf; which leaves are split in the end does not depend on that.
 
+Beside its rows' bins a task holds their gradients and hessians and one list of row numbers, in
+which every leaf is a stretch that is parted in place. Rows are counted and parted some at a time,
+so what a tree needs on top does not grow with the rows.
+
 Numbers are cut into bins at borders; bin 0 is for missing values, which go to the side with
 the larger gain. The levels of a category are ordered by gradient over hessian in every leaf
 and cut there, from either end, at most `most_levels` on the side that is named, under a
@@ -26,6 +30,8 @@ import numpy as np
 PASS_BYTES = 64 << 20
 #: Bytes of histograms that are searched at a time.
 FIND_BYTES = 4 << 20
+#: Rows that are counted or parted at a time.
+SOME_ROWS = 1 << 16
 TINY = 1e-300
 #: Categories with up to this many levels in a leaf are cut one level against the rest.
 FEW_LEVELS = 4
@@ -70,7 +76,7 @@ class Tree:
         if self.levels[node] is not None:
             named = np.zeros(max(self.levels[node]) + 2, bool)
             named[list(self.levels[node])] = True
-            return named[np.minimum(codes, len(named) - 1)]
+            return named.take(codes, mode="clip")
         if self.missing_left[node]:
             return codes <= self.border[node]
         return (codes <= self.border[node]) & (codes > 0)
@@ -105,7 +111,8 @@ def _score(g: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 @dataclass
 class _Leaf:
-    rows: np.ndarray
+    begin: int  # its rows' stretch
+    end: int
     histogram: np.ndarray | None  # (gradient, hessian, rows) by bin of the task's features
     total: np.ndarray
     node: int
@@ -128,6 +135,22 @@ class Alone:
         return [message]
 
 
+def _some_of(groups: list[np.ndarray]):
+    """(the first group, its rows and those of the groups after it), about `SOME_ROWS` rows at a
+    time; a larger group comes in several parts."""
+    first, parts, n = 0, [], 0
+    for i, group in enumerate(groups):
+        at = 0
+        while len(group) - at > SOME_ROWS - n:
+            yield first, [*parts, group[at : at + SOME_ROWS - n]]
+            at += SOME_ROWS - n
+            first, parts, n = i, [], 0
+        parts.append(group[at:])
+        n += len(group) - at
+    if n:
+        yield first, parts
+
+
 class Grower:
     """Grows trees over one task's rows. `sizes` are the features' numbers of bins, `exchange`
     joins the tasks that hold the other rows."""
@@ -154,9 +177,10 @@ class Grower:
         """A tree over `rows` and `features`, and the rows of each leaf."""
         self._share_out(features)
         self.weights = (gradient, hessian)
+        self.order = rows.astype(np.int32 if len(self.bins) < 1 << 31 else np.int64)
         tree = Tree()
-        histogram = self._counted([rows])[0]
-        root = _Leaf(rows, histogram, self._total(histogram), 0)
+        histogram = self._counted([self.order])[0]
+        root = _Leaf(0, len(self.order), histogram, self._total(histogram), 0)
         self._find([root])
         self.uncounted = [root] if root.split else []
         tree.add(self._value(root.total, step), root.total[2])
@@ -187,7 +211,7 @@ class Grower:
                     order += 1
                     heapq.heappush(queue, (-child.gain, order, child))
         ended += [leaf for _, _, leaf in queue]
-        return tree, [(leaf.node, leaf.rows) for leaf in ended]
+        return tree, [(leaf.node, self.order[leaf.begin : leaf.end]) for leaf in ended]
 
     def _share_out(self, features: np.ndarray) -> None:
         """The features of each task, in order, with about as many bins each. The first task
@@ -216,41 +240,58 @@ class Grower:
 
     def _counted(self, groups: list[np.ndarray]) -> np.ndarray:
         """Histograms of groups of rows, summed over all tasks, for this task's features."""
-        n = len(groups)
-        rows = np.concatenate(groups) if n > 1 else groups[0]
-        slot = np.repeat(np.arange(n), [len(g) for g in groups])
-        weights = [weight.take(rows) for weight in self.weights]
-        out = np.empty((n, 3, self.all_width))
-        for j, feature in enumerate(self.features):
-            start, size = self.all_starts[j], self.sizes[feature]
-            codes = self.bins[:, feature].take(rows).astype(np.intp)
-            if n > 1:
-                codes += slot * size
-            for i, weight in enumerate((*weights, None)):
-                counts = np.bincount(codes, weight, n * size)
-                out[:, i, start : start + size] = counts.reshape(n, size)
+        out = np.zeros((len(groups), 3, self.all_width))
+        for first, parts in _some_of(groups):
+            n = len(parts)
+            rows = np.concatenate(parts).astype(np.intp)
+            slot = np.repeat(np.arange(n), [len(part) for part in parts])
+            weights = [weight.take(rows) for weight in self.weights]
+            for j, feature in enumerate(self.features):
+                start, size = self.all_starts[j], self.sizes[feature]
+                codes = self.bins[:, feature].take(rows).astype(np.intp)
+                if n > 1:
+                    codes += slot * size
+                for i, weight in enumerate((*weights, None)):
+                    counts = np.bincount(codes, weight, n * size).reshape(n, size)
+                    out[first : first + n, i, start : start + size] += counts
         return self.exchange.summed([out[:, :, a:b] for a, b in self.shares])
 
+    def _parted(self, leaf: _Leaf) -> int:
+        """Parts the rows of a leaf by its split, each side in the order they had; where the
+        right side begins."""
+        place, code, missing_left, levels, _ = leaf.split
+        column = self.bins[:, self.features[place]]
+        probe = Tree([0], [code], [missing_left], [levels])
+        end, others = leaf.begin, []
+        for at in range(leaf.begin, leaf.end, SOME_ROWS):
+            rows = self.order[at : min(leaf.end, at + SOME_ROWS)]
+            left = probe.goes_left(0, column.take(rows))
+            others.append(rows.compress(~left))
+            own = rows.compress(left)
+            self.order[end : end + len(own)] = own
+            end += len(own)
+        if others:
+            np.concatenate(others, out=self.order[end : leaf.end])
+        return end
+
     def _expand(self, leaves: list[_Leaf]) -> None:
         """Counts both sides of the leaves' splits, and finds theirs."""
         room = max(1, PASS_BYTES // (24 * max(1, self.all_width)))
         for i in range(0, len(leaves), room):
             some, smaller, parts = leaves[i : i + room], [], []
             for leaf in some:
-                place, code, missing_left, levels, on_left = leaf.split
-                codes = self.bins[:, self.features[place]].take(leaf.rows)
-                left = Tree([0], [code], [missing_left], [levels]).goes_left(0, codes)
-                parts.append((leaf.rows[left], leaf.rows[~left]))
+                middle = self._parted(leaf)
+                parts.append(((leaf.begin, middle), (middle, leaf.end)))
                 # By the sum of all tasks, so that all count the same side.
-                smaller.append(0 if 2 * on_left <= leaf.total[2] else 1)
-            counted = self._counted([p[s] for p, s in zip(parts, smaller)])
+                smaller.append(0 if 2 * leaf.split[-1] <= leaf.total[2] else 1)
+            counted = self._counted([self.order[slice(*p[s])] for p, s in zip(parts, smaller)])
             made = []
             for leaf, rows, s, own in zip(some, parts, smaller, counted):
                 total = self._total(own)
                 pair = [None, None]
-                pair[s] = _Leaf(rows[s], own, total, -1)
+                pair[s] = _Leaf(*rows[s], own, total, -1)
                 leaf.histogram -= own
-                pair[1 - s] = _Leaf(rows[1 - s], leaf.histogram, leaf.total - total, -1)
+                pair[1 - s] = _Leaf(*rows[1 - s], leaf.histogram, leaf.total - total, -1)
                 leaf.children, leaf.histogram = tuple(pair), None
                 made += pair
             self._find(made)

@@ -4,11 +4,14 @@ Columns are binned once, numbers at borders from estimated quantiles, categories
 Trees are grown leaf by leaf on histograms (see `boosting`): the tasks of a barrier stage each
 hold a part of the rows and add up their histograms, and a stage trains a block of rounds.
 Between blocks the rows are a written table with their margins, from which the next block
-continues, so a lost executor costs a block, and a held part's margins after every round are
-there to be judged.
+continues, so a lost executor costs a block. A held part is no part of that stage: once a block's
+trees are known, they are added up over the held rows, a batch at a time, and its margins after
+every round are judged from there.
 
 How many tasks there are follows from the size of the binned table and of a tree's histograms,
-at most as many as run at once; each holds its part of the table in memory, two bytes a cell.
+at most as many as run at once; each holds its part of the table in memory: for a row, a byte a
+cell (two where a feature has more than 256 bins), its number and target, a margin, gradient and
+hessian for each class, and its place in the list of rows.
 Tasks pass histograms to each other as files in the shared folder: each adds up the bins of its
 share of the features, and tells the others only the best splits. Spark's own exchange between
 the tasks of a stage serves once a block, and where the folder is in a store that tasks can't
@@ -27,7 +30,7 @@ import pickle
 import time
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -56,6 +59,8 @@ TASK_BINS = 8 << 20
 WAIT = 1800
 #: Rounds that one stage trains.
 BLOCK = 50
+#: Held rows that a block's trees are added up over at a time.
+HELD_ROWS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -242,6 +247,19 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(rows), "<u2").reshape(len(rows), -1)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `rows`, for work that has a cost for each batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) + batch.num_rows > rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _lists(values: np.ndarray) -> pa.Array:
     n, wide = values.shape
     flat = pa.array(np.ascontiguousarray(values).ravel(), pa.float64())
@@ -274,20 +292,18 @@ def fit_trees(
     if settings.weigh_classes and task == "binary":
         for r in class_weights(known, target).collect():
             weight = F.when(F.col(target) == r[target], r["weight"]).otherwise(weight)
-    parts = [(known, False)]
+    margins = F.lit([float(s) for s in start])
+
+    def binned(part: DataFrame, columns: dict[str, Column]) -> DataFrame:
+        # Numbers that stay with the rows; they decide which are drawn.
+        number = F.monotonically_increasing_id()
+        one = encoding.apply(part, columns).where("y IS NOT NULL").withColumn("row_id", number)
+        return saved(one.withColumn("margins", margins))
+
+    rows = binned(known, {"y": code, "weight": weight})
+    held = None
     if valid is not None:
-        parts.append((valid.where(F.col(target).isNotNull()), True))
-    rows = None
-    for part, held in parts:
-        columns = {"y": code, "weight": weight, "held": F.lit(held)}
-        one = encoding.apply(part, columns).where("y IS NOT NULL")
-        rows = one if rows is None else rows.union(one)
-    # Numbers that stay with the rows; they decide which are drawn.
-    rows = saved(
-        rows.withColumn("row_id", F.monotonically_increasing_id()).withColumn(
-            "margins", F.lit([float(s) for s in start])
-        )
-    )
+        held = binned(valid.where(F.col(target).isNotNull()), {"y": code})
     if tasks is None:
         tasks = min(
             spark.sparkContext.defaultParallelism,
@@ -298,15 +314,17 @@ def fit_trees(
     while len(trees) < settings.rounds:
         n = min(BLOCK, settings.rounds - len(trees))
         block = saved(_trained(rows, encoding, settings, task, len(trees), n, tasks))
-        made = block.where("trees IS NOT NULL").select("trees").first()["trees"]
-        trees += pickle.loads(zlib.decompress(made))
+        packed = block.where("trees IS NOT NULL").select("trees").first()["trees"]
+        made = pickle.loads(zlib.decompress(packed))
+        trees += made
         rows = block.where("row_id IS NOT NULL").select(rows.columns)
-        if valid is not None:
-            metric += _metric(block, task, n)
+        if held is not None:
+            metric += _metric(held, made, task)
             best, ended = best_round([-m for m in metric], settings.patience)
             if ended or len(trees) == settings.rounds:
                 trees = trees[:best]
                 break
+            held = saved(_continued(held, made))
     return TreeModel(trees, start, encoding, task, classes, metric)
 
 
@@ -457,58 +475,33 @@ def _trained(
     rounds: int,
     tasks: int,
 ) -> DataFrame:
-    """The rows with their margins after `rounds` more rounds, `history`, the margins a held
-    row had after each, `lost`, its losses; and a row with the trees."""
+    """The rows with their margins after `rounds` more rounds; and a row with the trees."""
     growth = Growth(settings.leaves, settings.min_rows, settings.min_hessian)
     sizes, is_category = encoding.sizes, encoding.is_category
-    schema = T.StructType(
-        [
-            *rows.schema.fields,
-            T.StructField("history", T.ArrayType(T.DoubleType())),
-            T.StructField("trees", T.BinaryType()),
-        ]
-    )
+    schema = T.StructType([*rows.schema.fields, T.StructField("trees", T.BinaryType())])
     names = rows.columns
     alone = tasks == 1
     folder = shared_folder(rows.sparkSession)
     by_files = not alone and _can_open(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_batches = [b for b in batches if b.num_rows]
+        own = _Rows(batches, sizes, classes)
         exchange = Alone()
         if not alone:
             context = BarrierTaskContext.get()
             exchange = _Files(context, folder) if by_files else _Gathered(context)
-
-        def column(name: str) -> np.ndarray:
-            parts = [b[name].to_numpy(zero_copy_only=False) for b in held_batches]
-            return np.concatenate(parts) if parts else np.zeros(0)
-
-        n, wide = sum(b.num_rows for b in held_batches), len(sizes)
-        ids = column("row_id").astype(np.int64)
-        order = np.argsort(ids)  # sums then don't depend on how rows came
-        y, weight = column("y")[order], column("weight")[order]
-        held, ids = column("held").astype(bool)[order], ids[order]
-        bins = np.zeros((0, wide), "<u2")
-        margins = np.zeros((0, 1))
-        if n:
-            bins = np.concatenate([_matrix(b["bins"]) for b in held_batches])[order]
-            bins = np.asfortranarray(bins)
-            margins = np.concatenate(
-                [np.array(b["margins"].flatten()).reshape(b.num_rows, -1) for b in held_batches]
-            )[order]
-        classes = len(rows_start)
-        margins = margins.reshape(n, classes)
-        grower = Grower(bins, sizes, is_category, growth, exchange)
-        history = np.zeros((int(held.sum()), rounds))
+        grower = Grower(own.bins, sizes, is_category, growth, exchange)
+        n, wide = len(own.ids), len(sizes)
+        slopes = np.empty((classes, n)), np.empty((classes, n))
+        drawn, drawn_by = np.ones(n, bool), None
         made: list[list[Tree]] = []
         for r in range(done, done + rounds):
-            drawn = ~held
-            if settings.row_share < 1:
-                part = settings.seed + 1_000_003 * (r // settings.row_every)
-                drawn &= _drawn(part, ids) < settings.row_share
-            in_bag, others = np.flatnonzero(drawn), np.flatnonzero(~drawn)
-            gradient, hessian = gradients(task, y, margins)
+            part = settings.seed + 1_000_003 * (r // settings.row_every)
+            if settings.row_share < 1 and part != drawn_by:
+                for some in _slices(n):
+                    drawn[some] = _drawn(part, own.ids[some]) < settings.row_share
+                drawn_by = part
+            own.slopes(task, slopes)
             of_round = []
             for k in range(classes):
                 features = np.arange(wide)
@@ -516,35 +509,21 @@ def _trained(
                     rng = np.random.default_rng([settings.seed, r, k])
                     size = max(1, round(settings.column_share * wide))
                     features = np.sort(rng.choice(wide, size, replace=False))
+                in_bag = np.flatnonzero(drawn)
                 tree, leaves = grower.grow(
-                    gradient[:, k] * weight, hessian[:, k] * weight, in_bag, features, settings.step
+                    slopes[0][k], slopes[1][k], in_bag, features, settings.step
                 )
                 for node, in_leaf in leaves:
-                    margins[in_leaf, k] += tree.value[node]
-                for node, in_leaf in tree.leaves(bins, others):
-                    margins[in_leaf, k] += tree.value[node]
+                    own.margins[k, in_leaf] += tree.value[node]
+                for some in _slices(n):
+                    others = some.start + np.flatnonzero(~drawn[some])
+                    for node, in_leaf in tree.leaves(own.bins, others):
+                        own.margins[k, in_leaf] += tree.value[node]
                 of_round.append(tree)
             made.append(of_round)
-            if held.any():
-                history[:, r - done] = (
-                    margins[held, 0] if task == "binary" else losses(task, y[held], margins[held])
-                )
-        step = 2000
-        after = iter(history)
-        for at in range(0, n, step):
-            some = slice(at, min(n, at + step))
-            told = [next(after).tolist() if h else None for h in held[some]]
-            columns = {
-                "y": pa.array(y[some], pa.float64()),
-                "weight": pa.array(weight[some], pa.float64()),
-                "held": pa.array(held[some]),
-                "bins": pa.array([row.tobytes() for row in bins[some]], pa.binary()),
-                "row_id": pa.array(ids[some]),
-                "margins": _lists(margins[some]),
-                "history": pa.array(told, pa.list_(pa.float64())),
-                "trees": pa.nulls(some.stop - some.start, pa.binary()),
-            }
-            yield pa.RecordBatch.from_pydict({c: columns[c] for c in (*names, "history", "trees")})
+        for some in _slices(n, 2000):
+            columns = own.written(some) | {"trees": pa.nulls(some.stop - some.start, pa.binary())}
+            yield pa.RecordBatch.from_pydict({c: columns[c] for c in (*names, "trees")})
         if TaskContext.get().partitionId() == 0:
             packed = zlib.compress(pickle.dumps(made))
             fields = {f.name: f.type for f in _arrow_of(schema)}
@@ -552,11 +531,84 @@ def _trained(
                 {c: pa.array([packed if c == "trees" else None], t) for c, t in fields.items()}
             )
 
-    rows_start = [0.0] * _classes(rows)
+    classes = _classes(rows)
     spread = rows.repartition(tasks, F.col("row_id")) if tasks > 1 else rows.coalesce(1)
     return spread.mapInArrow(run, schema, barrier=not alone)
 
 
+def _slices(n: int, rows: int = 1 << 18) -> Iterator[slice]:
+    return (slice(at, min(n, at + rows)) for at in range(0, n, rows))
+
+
+class _Rows:
+    """The rows that a task trains on, by their numbers, so that sums don't depend on how they
+    came. Batches are copied as they come, in the narrowest form that has the same values."""
+
+    def __init__(self, batches: Iterator[pa.RecordBatch], sizes: list[int], classes: int):
+        narrow = np.uint8 if max(sizes, default=0) <= 256 else np.dtype("<u2")
+        parts = {"row_id": [], "y": [], "weight": [], "bins": [], "margins": []}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for name in ("row_id", "y", "weight"):
+                parts[name].append(np.array(batch[name].to_numpy(zero_copy_only=False)))
+            parts["bins"].append(_matrix(batch["bins"]).astype(narrow))
+            margins = np.array(batch["margins"].flatten(), float)
+            parts["margins"].append(margins.reshape(batch.num_rows, classes))
+
+        def joined(name: str, *shape: int) -> np.ndarray:
+            given = parts.pop(name)
+            return np.concatenate(given) if given else np.zeros((0, *shape))
+
+        ids = joined("row_id").astype(np.int64, copy=False)
+        order = np.argsort(ids)
+        self.ids = ids[order]
+        del ids
+        self.y = _whole(joined("y")[order])
+        self.weight = _single(joined("weight")[order])
+        self.bins = _columns(joined("bins", len(sizes)), order, narrow).T
+        self.margins = _columns(joined("margins", classes), order, float)
+
+    def slopes(self, task: str, out: tuple[np.ndarray, np.ndarray]) -> None:
+        """Gradients and hessians with the rows' weights, classes x rows."""
+        for some in _slices(len(self.ids)):
+            for into, slope in zip(out, gradients(task, self.y[some], self.margins[:, some].T)):
+                np.multiply(slope.T, self.weight[some], out=into[:, some])
+
+    def written(self, some: slice) -> dict[str, pa.Array]:
+        return {
+            "y": pa.array(self.y[some].astype(float)),
+            "weight": pa.array(np.array(self.weight[some], float)),
+            "bins": pa.array([row.tobytes() for row in self.bins[some].astype("<u2")], pa.binary()),
+            "row_id": pa.array(self.ids[some]),
+            "margins": _lists(self.margins[:, some].T),
+        }
+
+
+def _columns(values: np.ndarray, order: np.ndarray, kind) -> np.ndarray:
+    """The columns one after the other, in an order of their rows."""
+    out = np.empty(values.shape[::-1], kind)
+    for column, given in zip(out, values.T):
+        column[:] = given[order]
+    return out
+
+
+def _whole(values: np.ndarray) -> np.ndarray:
+    """In a byte each, if that is the same."""
+    if len(values) and values.min() >= 0 and values.max() <= 255:
+        short = values.astype(np.uint8)
+        if (short == values).all():
+            return short
+    return values
+
+
+def _single(values: np.ndarray) -> np.ndarray:
+    """Held once, if all are the same."""
+    if len(values) and values.min() == values.max():
+        return np.broadcast_to(values[:1].copy(), values.shape)
+    return values
+
+
 def _classes(rows: DataFrame) -> int:
     """How many margins a row has."""
     return len(rows.select("margins").first()["margins"])
@@ -570,60 +622,123 @@ def _arrow_of(schema: T.StructType) -> pa.Schema:
     return pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in schema])
 
 
-def _metric(block: DataFrame, task: str, rounds: int) -> list[float]:
+def _added(
+    made: list[list[Tree]], batch: pa.RecordBatch
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(round, target, margins after it) of a batch of held rows."""
+    bins = np.asfortranarray(_matrix(batch["bins"]))
+    y = batch["y"].to_numpy(zero_copy_only=False)
+    margins = np.array(batch["margins"].flatten(), float).reshape(len(bins), -1)
+    for i, of_round in enumerate(made):
+        for k, tree in enumerate(of_round):
+            margins[:, k] += tree.predict(bins)
+        yield i, y, margins
+
+
+def _continued(held: DataFrame, made: list[list[Tree]]) -> DataFrame:
+    """The held rows with their margins after a block's rounds."""
+    sent, names = held.sparkSession.sparkContext.broadcast(made), held.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _blocks(batches, HELD_ROWS):
+            for _, _, margins in _added(sent.value, batch):
+                pass
+            columns = {c: batch[c] for c in names} | {"margins": _lists(margins)}
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return held.mapInArrow(run, held.schema)
+
+
+def _metric(held: DataFrame, made: list[list[Tree]], task: str) -> list[float]:
     """After each round of a block: ROC-AUC of the held part, or its mean loss, negative."""
-    held = block.where("held").select("y", "history")
-    if task != "binary":
-        row = held.agg(*(F.avg(F.get("history", F.lit(i))).alias(str(i)) for i in range(rounds)))
-        return [-v for v in row.first()]
-    found = _round_aucs(held, rounds)
-    return [0.5 if auc is None else auc for auc in found]
+    sent = held.sparkSession.sparkContext.broadcast(made)
+    if task == "binary":
+
+        def history(batch: pa.RecordBatch) -> np.ndarray:
+            out = np.empty((len(sent.value), batch.num_rows))
+            for i, _, margins in _added(sent.value, batch):
+                out[i] = margins[:, 0]
+            return out.T
+
+        found = _round_aucs(held, len(made), history=history)
+        return [0.5 if auc is None else auc for auc in found]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _blocks(batches, HELD_ROWS):
+            sums = [float(losses(task, y, m).sum()) for _, y, m in _added(sent.value, batch)]
+            columns = {"round": np.arange(len(sums)), "loss": sums, "n": [batch.num_rows] * len(sums)}
+            yield pa.RecordBatch.from_pydict(columns)
 
+    sums = held.mapInArrow(run, "round long, loss double, n long").groupBy("round")
+    mean = sums.agg((F.sum("loss") / F.sum("n")).alias("mean"))
+    found = {r["round"]: r["mean"] for r in mean.collect()}
+    return [-found[i] for i in range(len(made))]
 
-def _round_aucs(held: DataFrame, rounds: int, rows_per_slot: int = 200_000) -> list[float | None]:
-    """ROC-AUC of every place of `history`, from average ranks. Values are cut into slots of
+
+def _told_history(batch: pa.RecordBatch) -> np.ndarray:
+    return batch["history"].flatten().to_numpy().reshape(batch.num_rows, -1)
+
+
+def _round_aucs(
+    held: DataFrame,
+    rounds: int,
+    rows_per_slot: int = 200_000,
+    history: Callable[[pa.RecordBatch], np.ndarray] = _told_history,
+) -> list[float | None]:
+    """ROC-AUC of every column of `history`, from average ranks. Values are cut into slots of
     about `rows_per_slot` rows at borders from a sample, which only steers the balance; equal
-    values share a slot, and each slot is ranked in a task. The driver reads a row a slot."""
+    values share a slot, and each slot is ranked in a task. What belongs to one value of a batch
+    is added up before it goes there. The driver reads a row a slot."""
     n = held.count()
     slots = -(-n // rows_per_slot)
     borders = [np.zeros(0)] * rounds
     if slots > 1:
         share = max(1, n // (200 * slots))
-        some = held.where(F.pmod(F.xxhash64("history"), F.lit(share)) == 0).select("history")
-        drawn = np.array([r["history"] for r in some.limit(1000 * slots).collect()])
+        some = held.where(F.pmod(F.xxhash64(*held.columns), F.lit(share)) == 0)
+
+        def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([_lists(history(batch))], ["history"])
+
+        some = some.mapInArrow(told, "history array<double>").limit(1000 * slots)
+        drawn = np.array([r["history"] for r in some.collect()])
         if len(drawn):
             at = np.arange(1, slots) / slots
             borders = [np.unique(np.quantile(v, at, method="lower")) for v in drawn.T]
     sent = held.sparkSession.sparkContext.broadcast(borders)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _blocks(batches, HELD_ROWS):
             y = batch["y"].to_numpy(zero_copy_only=False).astype(np.int64)
-            history = batch["history"].flatten().to_numpy().reshape(len(y), -1)
-            out = []
-            for i, cuts in enumerate(sent.value):
-                x = history[:, i]
-                slot = np.searchsorted(cuts, x, "right")
-                for k in range(len(cuts) + 1):
-                    here = slot == k if len(cuts) else slice(None)
-                    if x[here].size:
-                        out.append((i, k, x[here].tobytes(), y[here].tobytes()))
-            columns = zip(*out) if out else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))],
-                ["round", "slot", "x", "y"],
-            )
+            for i, (x, cuts) in enumerate(zip(history(batch).T, sent.value)):
+                x, which, rows = np.unique(x, return_inverse=True, return_counts=True)
+                positive = np.bincount(which, y, len(x)).astype(np.int64)
+                ends = [0, *np.searchsorted(x, cuts, "left"), len(x)]
+                here = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(ends, ends[1:])) if a < b]
+                columns = [
+                    pa.array([i] * len(here), pa.int32()),
+                    pa.array([k for k, _ in here], pa.int32()),
+                    *(pa.array([v[of].tobytes() for _, of in here]) for v in (x, rows, positive)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["round", "slot", "x", "rows", "positive"])
 
     def ranked(table: pa.Table) -> pa.Table:
-        x, y = (
-            np.frombuffer(b"".join(table[c].to_pylist()), kind) for c, kind in (("x", float), ("y", np.int64))
+        x, rows, positive = (
+            np.frombuffer(b"".join(table[c].to_pylist()), kind)
+            for c, kind in (("x", float), ("rows", np.int64), ("positive", np.int64))
         )
-        values, which, n = np.unique(x, return_inverse=True, return_counts=True)
-        rank = np.cumsum(n) - (n - 1) / 2
-        sums = {"n": len(x), "positive": int(y.sum()), "ranks": float((rank[which] * y).sum())}
+        order = np.argsort(x)
+        x = x[order]
+        starts = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+        rows, positive = (np.add.reduceat(v[order], starts) for v in (rows, positive))
+        rank = np.cumsum(rows) - (rows - 1) / 2
+        sums = {
+            "n": int(rows.sum()), "positive": int(positive.sum()), "ranks": float((rank * positive).sum())
+        }
         return pa.table({c: table[c][:1] for c in ("round", "slot")} | {c: [v] for c, v in sums.items()})
 
-    parts = held.select("y", "history").mapInArrow(cut, "round int, slot int, x binary, y binary")
+    parts = held.mapInArrow(cut, "round int, slot int, x binary, rows binary, positive binary")
     tasks = min(rounds * max(1, slots), 4 * held.sparkSession.sparkContext.defaultParallelism)
     sums = (
         parts.repartition(tasks, "round", "slot")

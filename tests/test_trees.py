@@ -1,17 +1,22 @@
 """Boosted trees against plain versions: growth, losses, blocks of rounds, attribution."""
 
+import pickle
 import threading
+import tracemalloc
+import zlib
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 
 import numpy as np
 import plain_trees
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from paneloom import PanelSpec
 from paneloom.catalog import models
 from paneloom.operators import attribution as at
+from paneloom.operators import boosting
 from paneloom.operators import trees as tr
 from paneloom.operators.boosting import Alone, Grower, Growth, Tree, gradients, losses, shares
 from paneloom.operators.correlation import roc_auc, roc_aucs
@@ -59,6 +64,37 @@ def test_a_tree_equals_the_plain_one(seed, levels):
         assert (tree.leaf_of(bins)[own] == node).all() and tree.cover[node] == len(own)
 
 
+def test_rows_are_counted_and_parted_some_at_a_time(monkeypatch):
+    bins, sizes, is_category, y = table(900, 8)
+    g, h = (a[:, 0] for a in gradients("binary", y, np.zeros((len(y), 1))))
+    rows = np.flatnonzero(np.arange(900) % 5)
+    grown = []
+    for some in (1 << 16, 900, 7, 1):
+        monkeypatch.setattr(boosting, "SOME_ROWS", some)
+        grower = Grower(bins, sizes, is_category, Growth(leaves=25, min_rows=5))
+        grown.append(grower.grow(g, h, rows, np.arange(4), 0.5))
+    tree, leaves = grown[0]
+    assert len(leaves) == 25 and sorted(np.concatenate([r for _, r in leaves])) == rows.tolist()
+    for other, of_other in grown[1:]:
+        assert (other.feature, other.border, other.cover) == (tree.feature, tree.border, tree.cover)
+        assert np.allclose(other.value, tree.value)
+        assert [(n, r.tolist()) for n, r in of_other] == [(n, r.tolist()) for n, r in leaves]
+
+
+def test_a_tree_needs_few_bytes_for_each_of_its_rows():
+    rng = np.random.default_rng(9)
+    n = 400_000
+    bins = np.asfortranarray(rng.integers(1, 200, (n, 3)).astype(np.uint8))
+    g, h, rows = rng.normal(size=n), np.ones(n), np.arange(n)
+    grower = Grower(bins, [201] * 3, [False] * 3, Growth(leaves=8))
+    tracemalloc.start()
+    grower.grow(g, h, rows, np.arange(3), 0.1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # The list of rows has 4 bytes for each, and while it is parted at most that again.
+    assert peak < 16 * n
+
+
 def test_many_levels_are_ordered_in_each_leaf():
     rng = np.random.default_rng(4)
     n, levels = 4000, 500
@@ -360,6 +396,68 @@ def test_attribution_table(rows, model):
     assert at.attribution(rows.limit(0), model).count() == 0
 
 
+def test_held_rows_stay_out_of_the_training_stage(rows, monkeypatch):
+    kept, save = [], tr.saved
+    monkeypatch.setattr(tr, "saved", lambda df: kept.append(save(df)) or kept[-1])
+    monkeypatch.setattr(tr, "BLOCK", 3)
+    settings = replace(quick(SCREENING, 6, 4), patience=100)
+    valid = rows.where("id < 100")
+    model = fit_trees(rows, ["x", "kind"], ["kind"], "y", settings, valid=valid)
+    blocks = [df for df in kept if "trees" in df.columns]
+    assert len(blocks) == 2 and len(model.metric) == 6
+    assert all(df.count() == 600 + 1 for df in blocks)  # the training rows, and the trees
+    lists = [f for df in kept for f in df.dtypes if f[1].startswith("array")]
+    assert {name for name, _ in lists} == {"margins"}  # no number for each round of a block
+    # Margins of the held part are those that its trees add up to.
+    continued = [df for df in kept if df.columns == ["y", "bins", "row_id", "margins"]][-1]
+    packed = blocks[0].where("trees IS NOT NULL").first()["trees"]
+    full = replace(model, trees=pickle.loads(zlib.decompress(packed)))
+    assert len(full.trees) == 3
+    want = sorted(r["margins"][0] for r in full.margins(valid, ["id"]).collect())
+    assert np.allclose(sorted(r["margins"][0] for r in continued.collect()), want)
+
+
+def test_what_a_task_trains_on_is_held_in_few_bytes():
+    n, classes = 5000, 2
+    rng = np.random.default_rng(3)
+    ids = rng.permutation(n)
+    columns = {
+        "row_id": pa.array(ids),
+        "y": pa.array((ids % 2).astype(float)),
+        "weight": pa.array(np.ones(n)),
+        "bins": pa.array([np.array([i % 256, i % 7], "<u2").tobytes() for i in ids], pa.binary()),
+        "margins": tr._lists(np.column_stack([ids * 1.0, -ids * 1.0])),
+    }
+    whole = pa.RecordBatch.from_pydict(columns)
+    batches = [whole.slice(0, 2000), whole.slice(0, 0), whole.slice(2000)]
+    own = tr._Rows(iter(batches), [256, 8], classes)
+    assert own.ids.tolist() == list(range(n)) and own.bins.dtype == np.uint8
+    assert (own.bins == np.column_stack([np.arange(n) % 256, np.arange(n) % 7])).all()
+    assert own.y.dtype == np.uint8 and (own.y == np.arange(n) % 2).all()
+    assert (own.margins == [np.arange(n), -np.arange(n)]).all()
+    told = pa.RecordBatch.from_pydict(own.written(slice(0, n)))
+    back = whole.take(pa.array(np.argsort(ids)))
+    assert all(told[c].to_pylist() == back[c].to_pylist() for c in columns)
+    wide = tr._Rows(iter([whole]), [257, 8], classes)
+    assert wide.bins.dtype == np.uint16
+    uneven = pa.RecordBatch.from_pydict(columns | {"y": pa.array(ids + 0.5), "weight": pa.array(ids * 1.0)})
+    odd = tr._Rows(iter([uneven]), [256, 8], classes)
+    assert (odd.y == np.arange(n) + 0.5).all() and (odd.weight == np.arange(n)).all()
+    assert len(tr._Rows(iter([]), [256, 8], classes).bins) == 0
+
+
+def test_a_value_of_many_held_rows_is_ranked_from_counts(spark, monkeypatch):
+    monkeypatch.setattr(tr, "HELD_ROWS", 50)
+    rng = np.random.default_rng(4)
+    x = np.where(rng.random(2000) < 0.7, 0.0, rng.integers(-9, 9, 2000) / 2)
+    rows = [(float(rng.random() < 0.3 + 0.02 * v), [float(v), 1.0]) for v in x]
+    held = spark.createDataFrame(rows, "y double, history array<double>").repartition(3)
+    want = roc_auc(held.select("y", F.col("history")[0].alias("s")), "s", "y").first()["auc"]
+    for rows_per_slot in (100, 5000):
+        got = tr._round_aucs(held, 2, rows_per_slot)
+        assert got == pytest.approx([want, 0.5], abs=1e-12)
+
+
 def test_patience():
     falling = [1.0, 0.9, 0.95, 0.8, 0.85, 0.9, 0.7]
     assert best_round(falling, 50) == (7, False)
