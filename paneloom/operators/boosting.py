@@ -5,9 +5,9 @@ rows; what it knows of a leaf is a histogram of gradients, hessians and rows per
 the sum of all tasks' histograms decides. Every task adds up the bins of its share of the
 features and searches them; the tasks tell each other the best splits they found, so all grow
 the same tree. Only the smaller child of a split is counted, the other is the difference to the
-parent. Leaves that are likely to be split are counted together, those below a split that is
-still to come among them, so a tree takes about as many exchanges as it is deep, not one per
-leaf; which leaves are split in the end does not depend on that.
+parent. All leaves that may still be split, as far as is known, are counted together, those below
+a split that is still to come among them, so a tree takes about as many exchanges as it is deep,
+not one per leaf; which leaves are split in the end does not depend on that.
 
 Beside its rows' bins a task holds their gradients and hessians and one list of row numbers, in
 which every leaf is a stretch that is parted in place. Rows are counted and parted some at a time,
@@ -182,7 +182,6 @@ class Grower:
         histogram = self._counted([self.order])[0]
         root = _Leaf(0, len(self.order), histogram, self._total(histogram), 0)
         self._find([root])
-        self.uncounted = [root] if root.split else []
         tree.add(self._value(root.total, step), root.total[2])
         ended, queue, order = [], [], 0
         if root.split is None:
@@ -193,9 +192,7 @@ class Grower:
         while queue and n < self.growth.leaves:
             _, _, leaf = heapq.heappop(queue)
             if leaf.children is None:
-                others = (x for x in self.uncounted if x is not leaf)
-                most = max(0, self.growth.leaves - n - 1)
-                self._expand([leaf, *heapq.nlargest(most, others, key=lambda x: x.gain)])
+                self._expand(self._ahead([leaf, *(x for _, _, x in queue)], self.growth.leaves - n))
             n += 1
             node = leaf.node
             place, code, missing_left, levels, _ = leaf.split
@@ -213,6 +210,26 @@ class Grower:
         ended += [leaf for _, _, leaf in queue]
         return tree, [(leaf.node, self.order[leaf.begin : leaf.end]) for leaf in ended]
 
+    def _ahead(self, leaves: list[_Leaf], splits: int) -> list[_Leaf]:
+        """Those of the next `splits` leaves to be split that are not counted yet, the first one
+        among them. Leaves that are still unknown can only come in between, so that others have
+        no turn."""
+        found, made = [], len(leaves)
+        queue = [(-leaf.gain, i, leaf) for i, leaf in enumerate(leaves)]
+        heapq.heapify(queue)
+        for _ in range(splits):
+            if not queue:
+                break
+            leaf = heapq.heappop(queue)[2]
+            if leaf.children is None:
+                found.append(leaf)
+                continue
+            for child in leaf.children:
+                if child.split is not None:
+                    heapq.heappush(queue, (-child.gain, made, child))
+                    made += 1
+        return found
+
     def _share_out(self, features: np.ndarray) -> None:
         """The features of each task, in order, with about as many bins each. The first task
         has the first feature."""
@@ -245,12 +262,12 @@ class Grower:
             n = len(parts)
             rows = np.concatenate(parts).astype(np.intp)
             slot = np.repeat(np.arange(n), [len(part) for part in parts])
-            weights = [weight.take(rows) for weight in self.weights]
+            # Clipping looks up faster; no row is out of bounds.
+            weights = [weight.take(rows, mode="clip") for weight in self.weights]
             for j, feature in enumerate(self.features):
                 start, size = self.all_starts[j], self.sizes[feature]
-                codes = self.bins[:, feature].take(rows).astype(np.intp)
-                if n > 1:
-                    codes += slot * size
+                codes = slot * size
+                codes += self.bins[:, feature].take(rows, mode="clip")
                 for i, weight in enumerate((*weights, None)):
                     counts = np.bincount(codes, weight, n * size).reshape(n, size)
                     out[first : first + n, i, start : start + size] += counts
@@ -265,7 +282,7 @@ class Grower:
         end, others = leaf.begin, []
         for at in range(leaf.begin, leaf.end, SOME_ROWS):
             rows = self.order[at : min(leaf.end, at + SOME_ROWS)]
-            left = probe.goes_left(0, column.take(rows))
+            left = probe.goes_left(0, column.take(rows, mode="clip"))
             others.append(rows.compress(~left))
             own = rows.compress(left)
             self.order[end : end + len(own)] = own
@@ -295,9 +312,6 @@ class Grower:
                 leaf.children, leaf.histogram = tuple(pair), None
                 made += pair
             self._find(made)
-        known = [leaf for leaf in self.uncounted if leaf.children is None]
-        below = (child for leaf in leaves for child in leaf.children)
-        self.uncounted = known + [child for child in below if child.split is not None]
 
     def _find(self, leaves: list[_Leaf]) -> None:
         """The best split of each leaf, and its total as the first task has it."""
